@@ -138,8 +138,7 @@ def prefix_exists(lines: DataFrame, queries: DataFrame, query_col: str = "query"
         .agg(F.array_sort(F.collect_set(F.length(query_col))).alias("lengths"))
         .scalar()
     )
-    cuts = F.filter(lengths, lambda n: n <= F.length("line"))
-    heads = lines.select("line", F.explode(cuts).alias("n")).select(
+    heads = lines.select("line", F.explode(lengths).alias("n")).where(F.col("n") <= F.length("line")).select(
         F.substring(F.col("line"), F.lit(1), F.col("n")).alias("line")
     )
     needles = broadcast_if_small(_needles(queries, query_col))

@@ -175,8 +175,9 @@ def offsets(lines: DataFrame, needle: str, text_col: str = "line") -> DataFrame:
     return (
         lines.where(F.contains(F.col(text_col), F.lit(needle)))
         .withColumn("pieces", pieces)
-        .select(*lines.columns, F.explode(walked).alias("offset"))
-        .where(F.substring(F.col(text_col), F.col("offset") + 1, F.lit(len(needle))) == F.lit(needle))
+        .select(*lines.columns, F.explode(walked).alias("place"))
+        .select(*lines.columns, F.col("place").cast("bigint").alias("offset"))
+        .where(F.substring(F.col(text_col), F.col("offset").cast("int") + 1, F.lit(len(needle))) == F.lit(needle))
     )
 
 
@@ -185,7 +186,8 @@ def batch_search(exact: DataFrame, folded: DataFrame, queries: DataFrame) -> Dat
 
     ``queries``: (query_id, query, case_sensitive, whole_line, regex, invert,
     max_count), already validated. Whole-line and substring queries are joined;
-    regex and inverted ones are literal tests of shared scans.
+    regex and inverted ones are literal tests of shared scans. The views are read
+    several times, so give it those of a persisted index.
     """
     from lineseek.operators.search import SearchOptions, limit_per_query, predicate
 

@@ -33,25 +33,26 @@ class _Ordered(StatefulProcessor):
         self.memory = handle.getValueState("memory", self.state_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
+        earliest = None
         for frame in rows:
             if frame.empty:
                 continue
-            times = (frame["ts_us"]).astype("int64").tolist()
+            times = frame["ts_us"].astype("int64").tolist()
             self.waiting.appendList(list(zip(times, frame["id"].astype("int64").tolist())))
-            latest = max(times) if latest is None else max(latest, *times)
-        if latest is not None:
-            # fires once the watermark is past the newest row seen here
-            self.handle.registerTimer(latest // 1000 + 1)
+            earliest = min(times) if earliest is None else min(earliest, *times)
+        if earliest is not None:
+            # fires once the watermark has passed the oldest of these rows
+            self.handle.registerTimer(earliest // 1000 + 1)
         yield self._empty()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted(self.waiting.get())
         ready = [r for r in rows if r[0] < passed]
         left = [r for r in rows if r[0] >= passed]
         if left:
             self.waiting.put(left)
+            self.handle.registerTimer(left[0][0] // 1000 + 1)
         else:
             self.waiting.clear()
         if not ready:

@@ -61,7 +61,7 @@ class _Transitions(StatefulProcessor):
         self.firing = handle.getValueState("firing", "firing boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
+        earliest = None
         for frame in rows:
             if frame.empty:
                 continue
@@ -70,17 +70,18 @@ class _Transitions(StatefulProcessor):
                 list(zip(times, frame["id"].astype("int64").tolist(), frame["value"].astype("float64").tolist(),
                          frame["firing"].astype(bool).tolist()))
             )
-            latest = max(times) if latest is None else max(latest, *times)
-        if latest is not None:
-            self.handle.registerTimer(latest // 1000 + 1)
+            earliest = min(times) if earliest is None else min(earliest, *times)
+        if earliest is not None:
+            self.handle.registerTimer(earliest // 1000 + 1)
         yield self._frame(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted(self.waiting.get())
         left = [r for r in rows if r[0] >= passed]
         if left:
             self.waiting.put(left)
+            self.handle.registerTimer(left[0][0] // 1000 + 1)
         else:
             self.waiting.clear()
         kept = self.firing.get()
