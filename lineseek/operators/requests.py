@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lineseek.functions import regex
 from lineseek.plans.sizing import broadcast_if_small
@@ -27,7 +28,7 @@ ERROR_CODES = {
 }
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _compiles(patterns: pd.Series) -> pd.Series:
     return patterns.map(regex.is_valid)
 
