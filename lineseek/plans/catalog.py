@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineseek.plans import catalog_requests, catalog_search, catalog_telemetry  # noqa: F401
+from lineseek.plans import catalog_requests, catalog_search, catalog_streaming, catalog_telemetry  # noqa: F401
 from lineseek.plans.registry import ORACLE, QUERIES, Query
 
 

@@ -101,7 +101,7 @@ class _Transitions(StatefulProcessor):
     def _frame(key, changes: list) -> pd.DataFrame:
         return pd.DataFrame(
             {
-                "source": pd.Series([str(key[0])] * len(changes), dtype="object"),
+                "series": pd.Series([str(key[0])] * len(changes), dtype="object"),
                 "ts": pd.to_datetime(pd.Series([c[0] for c in changes], dtype="int64"), unit="us"),
                 "id": pd.Series([c[1] for c in changes], dtype="int64"),
                 "value": pd.Series([c[2] for c in changes], dtype="float64"),
@@ -110,15 +110,16 @@ class _Transitions(StatefulProcessor):
         )
 
 
-def transitions(states: DataFrame, ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
-    """Stream form of ``operators.alerts.transitions`` over (source, ts, id, value, firing)."""
+def transitions(states: DataFrame, series: str = "series", ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
+    """Stream form of ``operators.alerts.transitions`` over (series, ts, id, value,
+    firing). A series is one source of one server, so state is spread by both."""
     rows = states.select(
-        "source", F.col(ts).cast("timestamp").alias("ts"), F.col("id").cast("bigint").alias("id"),
-        F.col("value").cast("double").alias("value"), "firing",
+        F.col(series).cast("string").alias("series"), F.col(ts).cast("timestamp").alias("ts"),
+        F.col("id").cast("bigint").alias("id"), F.col("value").cast("double").alias("value"), "firing",
     ).withWatermark("ts", delay)
-    return rows.withColumn("ts_us", F.unix_micros("ts")).groupBy("source").transformWithStateInPandas(
+    return rows.withColumn("ts_us", F.unix_micros("ts")).groupBy("series").transformWithStateInPandas(
         _Transitions(),
-        outputStructType="source string, ts timestamp, id bigint, value double, change string",
+        outputStructType="series string, ts timestamp, id bigint, value double, change string",
         outputMode="Append",
         timeMode="EventTime",
     )
