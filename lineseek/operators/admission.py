@@ -147,10 +147,14 @@ def token_bucket(
     burst: float = 20,
 ) -> DataFrame:
     """(client, ts_us, tie, admitted): admit while a whole token is left."""
+    return _fold(df, client, ts_us, tie, refill_us(rate, burst), lambda: TokenBucket(rate, burst))
+
+
+def refill_us(rate: float, burst: float) -> int:
+    """Time after which any bucket is full again."""
     if rate <= 0:
         raise ValueError("rate must be positive")
-    refill_us = max(1, int(np.ceil(burst * MICROS / rate)))
-    return _fold(df, client, ts_us, tie, refill_us, lambda: TokenBucket(rate, burst))
+    return max(1, int(np.ceil(burst * MICROS / rate)))
 
 
 def with_verdicts(requests: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:

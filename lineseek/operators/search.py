@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lineseek.functions import regex
+from lineseek.plans.session import materialise
+from lineseek.plans.sizing import broadcast_if_small
 
 # Option names, with the spellings accepted in requests.
 OPTION_SPELLINGS = {
@@ -87,14 +89,25 @@ def limit_per_query(matches: DataFrame, queries: DataFrame, query_id: str = "que
     """Keep each query's first ``max_count`` matches.
 
     Unlimited queries skip the ranking altogether, so a query that matches a
-    third of the corpus is never gathered in one task.
+    third of the corpus is never gathered in one task; limited ones are cut to
+    the largest limit on the map side. A mixed batch writes its matches down
+    once, so that the search itself does not run twice.
     """
-    limits = queries.select(query_id, F.col("max_count").alias("k")).where(F.col("k") > 0)
+    limited = F.coalesce(F.col("max_count"), F.lit(0)) > 0
+    n_limited, n_free, largest = queries.agg(
+        F.count_if(limited), F.count_if(~limited), F.max(F.when(limited, F.col("max_count")))
+    ).first()
+    if not n_limited:
+        return matches
+    limits = broadcast_if_small(queries.where(limited).select(query_id, F.col("max_count").alias("k")))
+    if n_free:
+        matches = materialise(matches, "matches")
     free = matches.join(limits, query_id, "left_anti")
     ranked = matches.join(limits, query_id).withColumn(
         "rn", F.row_number().over(W.partitionBy(query_id).orderBy("first_pos"))
     )
-    return free.unionByName(ranked.where(F.col("rn") <= F.col("k")).select(*free.columns))
+    ranked = ranked.where((F.col("rn") <= largest) & (F.col("rn") <= F.col("k"))).select(*free.columns)
+    return free.unionByName(ranked) if n_free else ranked
 
 
 def result_counts(queries: DataFrame, matches: DataFrame, query_id: str = "query_id") -> DataFrame:

@@ -94,7 +94,7 @@ PASSED = "ts_us < (SELECT epoch_ms(max(ts)) * 1000 FROM events)"
 
 def _decided(out: DataFrame) -> DataFrame:
     return out.select(
-        F.col("client").cast("bigint").alias("user_id"), F.unix_micros("ts").alias("ts_us"),
+        F.col("client").cast("bigint").alias("user_id"), "ts_us",
         F.col("id").alias("event_id"), "admitted",
     )
 

@@ -1,139 +1,51 @@
-"""Rate limits on a stream of requests.
-
-Rows of one micro-batch come in any order, so requests wait in state until the
-watermark has passed them and are then decided in (time, id) order by the same
-code as in batch. Stream and batch therefore agree on all rows that are not
-later than the watermark.
-"""
+"""Rate limits on a stream of requests, decided by the same code as in batch."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lineseek.operators.admission import SlidingLog, TokenBucket
+from lineseek.operators.admission import SlidingLog, TokenBucket, refill_us
 from lineseek.operators.ordered import MICROS
+from lineseek.streaming.ordered import event_rows, fold_in_order
 
-OUTPUT = "client string, ts timestamp, id bigint, admitted boolean"
-
-
-class _Ordered(StatefulProcessor):
-    """Buffers rows per client and decides those the watermark has passed."""
-
-    state_schema = ""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts_us bigint, id bigint")
-        self.memory = handle.getValueState("memory", self.state_schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
-        for frame in rows:
-            if frame.empty:
-                continue
-            times = frame["ts_us"].astype("int64").tolist()
-            self.waiting.appendList(list(zip(times, frame["id"].astype("int64").tolist())))
-            earliest = min(times) if earliest is None else min(earliest, *times)
-        if earliest is not None:
-            # fires once the watermark has passed the oldest of these rows
-            self.handle.registerTimer(earliest // 1000 + 1)
-        yield self._empty()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get())
-        ready = [r for r in rows if r[0] < passed]
-        left = [r for r in rows if r[0] >= passed]
-        if left:
-            self.waiting.put(left)
-            self.handle.registerTimer(left[0][0] // 1000 + 1)
-        else:
-            self.waiting.clear()
-        if not ready:
-            yield self._empty()
-            return
-        times = np.array([r[0] for r in ready], dtype="int64")
-        limiter = self._load()
-        admitted = limiter.decide(times)
-        self._save(limiter)
-        yield pd.DataFrame(
-            {
-                "client": [str(key[0])] * len(ready),
-                "ts": pd.to_datetime(times, unit="us"),
-                "id": [r[1] for r in ready],
-                "admitted": admitted,
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def _empty() -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "client": pd.Series([], dtype="object"), "ts": pd.Series([], dtype="datetime64[us]"),
-                "id": pd.Series([], dtype="int64"), "admitted": pd.Series([], dtype="bool"),
-            }
-        )
-
-
-class SlidingLogProcessor(_Ordered):
-    state_schema = "admitted array<bigint>"
+OUTPUT = "client string, ts_us bigint, id bigint, admitted boolean"
 
-    def __init__(self, limit: int, window_us: int) -> None:
-        self.limit, self.window_us = limit, window_us
 
-    def _load(self) -> SlidingLog:
-        kept = self.memory.get()
-        return SlidingLog(self.limit, self.window_us, tuple(kept[0]) if kept else ())
-
-    def _save(self, limiter: SlidingLog) -> None:
-        self.memory.update((list(limiter.log),))
-
-
-class TokenBucketProcessor(_Ordered):
-    state_schema = "credit double, last bigint"
-
-    def __init__(self, rate: float, burst: float) -> None:
-        self.rate, self.burst = rate, burst
-
-    def _load(self) -> TokenBucket:
-        kept = self.memory.get()
-        return TokenBucket(self.rate, self.burst, *(kept or ()))
-
-    def _save(self, limiter: TokenBucket) -> None:
-        self.memory.update((float(limiter.credit), int(limiter.last)))
-
-
-def _limited(requests: DataFrame, client: str, ts: str, tie: str, delay: str, processor: StatefulProcessor) -> DataFrame:
-    rows = requests.select(
-        F.col(client).cast("string").alias("client"),
-        F.col(ts).cast("timestamp").alias("ts"),
-        F.col(tie).cast("bigint").alias("id"),
-    ).withWatermark("ts", delay)
-    return (
-        rows.withColumn("ts_us", F.unix_micros("ts"))
-        .groupBy("client")
-        .transformWithStateInPandas(processor, outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+def _answers(client: str, rows: pd.DataFrame, admitted) -> pd.DataFrame:
+    return pd.DataFrame(
+        {"client": client, "ts_us": rows["ts_us"].to_numpy(), "id": rows["id"].to_numpy(), "admitted": admitted}
     )
 
 
 def sliding_log(
     requests: DataFrame, client: str, ts: str, tie: str, limit: int, window_seconds: float, delay: str = "0 seconds"
 ) -> DataFrame:
-    """Stream form of ``operators.admission.sliding_log``. Needs the RocksDB state
-    store (``plans.session.STATE_STORE``)."""
-    return _limited(requests, client, ts, tie, delay, SlidingLogProcessor(limit, int(window_seconds * MICROS)))
+    """Stream form of ``operators.admission.sliding_log``. The state of a client
+    that has been quiet for a window is dropped."""
+    window_us = int(window_seconds * MICROS)
+
+    def fold(client_key: str, rows: pd.DataFrame, memory: tuple | None):
+        limiter = SlidingLog(limit, window_us, tuple(memory[0]) if memory else ())
+        admitted = limiter.decide(rows["ts_us"].to_numpy(dtype="int64"))
+        log = list(limiter.log)
+        return _answers(client_key, rows, admitted), (log,), (log[-1] + window_us if log else 0)
+
+    rows = event_rows(requests, client, ts, tie, delay)
+    return fold_in_order(rows, "key", {}, {"admitted": "array<bigint>"}, fold, OUTPUT)
 
 
 def token_bucket(
     requests: DataFrame, client: str, ts: str, tie: str, rate: float, burst: float, delay: str = "0 seconds"
 ) -> DataFrame:
-    return _limited(requests, client, ts, tie, delay, TokenBucketProcessor(rate, burst))
+    """Stream form of ``operators.admission.token_bucket``. The state of a client
+    whose bucket has filled up again is dropped."""
+    full_after = refill_us(rate, burst)
+
+    def fold(client_key: str, rows: pd.DataFrame, memory: tuple | None):
+        limiter = TokenBucket(rate, burst, *(memory or ()))
+        admitted = limiter.decide(rows["ts_us"].to_numpy(dtype="int64"))
+        return _answers(client_key, rows, admitted), (float(limiter.credit), limiter.last), limiter.last + full_after
+
+    rows = event_rows(requests, client, ts, tie, delay)
+    return fold_in_order(rows, "key", {}, {"credit": "double", "last": "bigint"}, fold, OUTPUT)

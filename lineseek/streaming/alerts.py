@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from lineseek.streaming.ordered import event_rows, fold_in_order
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -52,74 +54,28 @@ def file_sink(path: str, kind: str = "parquet") -> Sink:
     return write
 
 
-class _Transitions(StatefulProcessor):
-    """Emits a row whenever a series changes between quiet and firing."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts_us bigint, id bigint, value double, firing boolean")
-        self.firing = handle.getValueState("firing", "firing boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
-        for frame in rows:
-            if frame.empty:
-                continue
-            times = frame["ts_us"].astype("int64").tolist()
-            self.waiting.appendList(
-                list(zip(times, frame["id"].astype("int64").tolist(), frame["value"].astype("float64").tolist(),
-                         frame["firing"].astype(bool).tolist()))
-            )
-            earliest = min(times) if earliest is None else min(earliest, *times)
-        if earliest is not None:
-            self.handle.registerTimer(earliest // 1000 + 1)
-        yield self._frame(key, [])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get())
-        left = [r for r in rows if r[0] >= passed]
-        if left:
-            self.waiting.put(left)
-            self.handle.registerTimer(left[0][0] // 1000 + 1)
-        else:
-            self.waiting.clear()
-        kept = self.firing.get()
-        state = bool(kept[0]) if kept else False
-        changes = []
-        for ts_us, row_id, value, firing in (r for r in rows if r[0] < passed):
-            if firing != state:
-                changes.append((ts_us, row_id, value, "raised" if firing else "resolved"))
-                state = firing
-        self.firing.update((state,))
-        yield self._frame(key, changes)
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def _frame(key, changes: list) -> pd.DataFrame:
-        return pd.DataFrame(
+def transitions(states: DataFrame, series: str = "series", ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
+    """Stream form of ``operators.alerts.transitions`` over (series, ts, id, value,
+    firing). A series is one source of one server, so state is spread by both; it
+    is one boolean per series."""
+
+    def fold(name: str, rows: pd.DataFrame, memory: tuple | None):
+        firing = rows["firing"].to_numpy(dtype=bool)
+        before = np.concatenate([[bool(memory[0]) if memory else False], firing[:-1]])
+        changed = firing != before
+        out = pd.DataFrame(
             {
-                "series": pd.Series([str(key[0])] * len(changes), dtype="object"),
-                "ts": pd.to_datetime(pd.Series([c[0] for c in changes], dtype="int64"), unit="us"),
-                "id": pd.Series([c[1] for c in changes], dtype="int64"),
-                "value": pd.Series([c[2] for c in changes], dtype="float64"),
-                "change": pd.Series([c[3] for c in changes], dtype="object"),
+                "series": name,
+                "ts_us": rows["ts_us"].to_numpy()[changed],
+                "id": rows["id"].to_numpy()[changed],
+                "value": rows["value"].to_numpy()[changed],
+                "change": np.where(firing[changed], "raised", "resolved"),
             }
         )
+        return out, (bool(firing[-1]),), None
 
-
-def transitions(states: DataFrame, series: str = "series", ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
-    """Stream form of ``operators.alerts.transitions`` over (series, ts, id, value,
-    firing). A series is one source of one server, so state is spread by both."""
-    rows = states.select(
-        F.col(series).cast("string").alias("series"), F.col(ts).cast("timestamp").alias("ts"),
-        F.col("id").cast("bigint").alias("id"), F.col("value").cast("double").alias("value"), "firing",
-    ).withWatermark("ts", delay)
-    return rows.withColumn("ts_us", F.unix_micros("ts")).groupBy("series").transformWithStateInPandas(
-        _Transitions(),
-        outputStructType="series string, ts timestamp, id bigint, value double, change string",
-        outputMode="Append",
-        timeMode="EventTime",
+    rows = event_rows(states, series, ts, "id", delay, "value", "firing")
+    return fold_in_order(
+        rows, "key", {"value": "double", "firing": "boolean"}, {"firing": "boolean"}, fold,
+        "series string, ts_us bigint, id bigint, value double, change string",
     )
