@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineseek.operators.stats import REPORT_PERCENTILES, latency_summary, on_groups, outcomes, percentiles
+from lineseek.operators.stats import REPORT_PERCENTILES, on_groups, outcome_columns, percentiles, summary_columns
 
 # Allowed mean lookup time in ms, snapshot and re-read mode.
 SNAPSHOT_LIMIT_MS = 0.5
@@ -18,9 +18,8 @@ def run_metrics(runs: DataFrame, run_col: str, value: str, duration_seconds: Dat
     ``duration_seconds``: (run, seconds) of each run.
     """
     keys = [run_col]
-    wide = on_groups(latency_summary(runs, keys, value), percentiles(runs, keys, value), keys)
-    wide = on_groups(wide, outcomes(runs, keys).select(*keys, "success_rate"), keys)
-    wide = wide.join(duration_seconds, run_col)
+    sums = runs.groupBy(*keys).agg(*summary_columns(value), *outcome_columns())
+    wide = on_groups(sums, percentiles(runs, keys, value), keys).join(duration_seconds, run_col)
     metrics = {
         "avg_response_time": F.col("avg_response_time"),
         "success_rate": F.col("success_rate"),

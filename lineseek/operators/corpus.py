@@ -30,12 +30,27 @@ def exact_view(lines: DataFrame) -> DataFrame:
     )
 
 
+def with_fold(exact: DataFrame) -> DataFrame:
+    """Exact view with the figures of each line's lower-cased group.
+
+    The group holds the distinct spellings of one line, so a window over it is
+    small; unlike an aggregation that carries text it sorts once.
+    """
+    spellings = W.partitionBy("line_lower")
+    return (
+        exact.withColumn("is_fold", F.col("last_pos") == F.max("last_pos").over(spellings))
+        .withColumn("fold_first_pos", F.min("first_pos").over(spellings))
+        .withColumn("fold_occurrences", F.sum("n_occurrences").over(spellings))
+    )
+
+
 def folded_view(exact: DataFrame) -> DataFrame:
-    return exact.groupBy("line_lower").agg(
-        F.max_by("line", "last_pos").alias("line"),
-        F.sum("n_occurrences").alias("n_occurrences"),
-        F.min("first_pos").alias("first_pos"),
-        F.max("last_pos").alias("last_pos"),
+    return with_fold(exact).where("is_fold").select(
+        "line_lower",
+        "line",
+        F.col("fold_occurrences").alias("n_occurrences"),
+        F.col("fold_first_pos").alias("first_pos"),
+        "last_pos",
     )
 
 

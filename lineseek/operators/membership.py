@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lineseek.functions.hashing import FILTER_BITS, bit_address
 from lineseek.functions.text import WHITESPACE, normalise_query
 from lineseek.functions.verdicts import verdict
-from lineseek.plans.sizing import broadcast_if_small
+from lineseek.plans.sizing import broadcast_if_small, fits
 
 
 def single(lines: DataFrame, needle: str) -> DataFrame:
@@ -141,8 +141,12 @@ def prefix_exists(lines: DataFrame, queries: DataFrame, query_col: str = "query"
     heads = lines.select("line", F.explode(lengths).alias("n")).where(F.col("n") <= F.length("line")).select(
         F.substring(F.col("line"), F.lit(1), F.col("n")).alias("line")
     )
-    needles = broadcast_if_small(_needles(queries, query_col))
-    hits = heads.join(needles, "line", "left_semi").distinct()
+    needles = _needles(queries, query_col)
+    if fits(needles):
+        hits = heads.join(F.broadcast(needles), "line", "left_semi").distinct()
+    else:
+        # combine equal beginnings before they are shuffled
+        hits = heads.distinct().join(needles, "line", "left_semi")
     return (
         queries.join(hits.select(F.col("line").alias(query_col), F.lit(True).alias("hit")), query_col, "left")
         .withColumn("found", F.coalesce("hit", F.lit(False)))

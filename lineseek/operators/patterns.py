@@ -16,14 +16,18 @@ Both return ``(pattern_id, <line columns>)``, one row per match.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lineseek.functions import regex
+from lineseek.operators.search import SearchOptions, limit_per_query, predicate
+from lineseek.plans.session import materialise
 from lineseek.plans.sizing import fits
 
 PER_SCAN = 64
+PER_PLAN = 1024
 FEW_PATTERNS = 64
 # (shortest pattern, gram length, stride); shorter patterns are their own gram.
 # Long grams keep candidate pairs few, strides keep cuts few.
@@ -50,13 +54,23 @@ def literal_matches(
     )
 
 
-def _passes(lines: DataFrame, rows: list, test: Callable[[str], Column]) -> DataFrame:
-    out = None
-    for start in range(0, len(rows), PER_SCAN):
-        part = literal_matches(lines, [(r["pattern_id"], test(r["pattern"])) for r in rows[start:start + PER_SCAN]])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return lines.select(F.lit(None).cast("bigint").alias("pattern_id"), "*").limit(0)
+def _passes(lines: DataFrame, patterns: DataFrame, test: Callable[[Row], Column | None]) -> DataFrame:
+    """Literal tests for a whole pattern table; ``test`` may leave a pattern out.
+
+    Patterns come to the driver ``PER_PLAN`` at a time and become the literals of
+    scans of ``PER_SCAN`` tests. A longer table is worked off plan by plan, each
+    writing its matches down, so that neither plan nor driver grows with it.
+    """
+    n_plans = -(-patterns.count() // PER_PLAN)
+    out = lines.select(F.lit(None).cast("bigint").alias("pattern_id"), "*").limit(0)
+    for i in range(n_plans):
+        mine = patterns.where(F.pmod(F.xxhash64("pattern_id"), F.lit(n_plans)) == i) if n_plans > 1 else patterns
+        tests = [(r["pattern_id"], t) for r in mine.collect() if (t := test(r)) is not None]
+        scans = [literal_matches(lines, tests[k:k + PER_SCAN]) for k in range(0, len(tests), PER_SCAN)]
+        if scans:
+            found = reduce(DataFrame.unionByName, scans)
+            found = materialise(found, "matches") if n_plans > 1 else found
+            out = found if i == 0 else out.unionByName(found)
     return out
 
 
@@ -110,7 +124,7 @@ def substring_matches(
     if strategy == "auto":
         strategy = "scan" if len(_first(patterns, FEW_PATTERNS + 1)) <= FEW_PATTERNS else "grams"
     if strategy == "scan":
-        return _passes(lines, patterns.collect(), lambda p: F.contains(F.col(text_col), F.lit(p)))
+        return _passes(lines, patterns, lambda r: F.contains(F.col(text_col), F.lit(r["pattern"])))
     if strategy != "grams":
         raise ValueError("strategy must be auto, scan or grams")
 
@@ -118,7 +132,7 @@ def substring_matches(
     # at most one row per band and per length below the bands
     bands = sorted((r["q"], r["stride"]) for r in keyed.select("q", "stride").distinct().collect())
     if not bands:
-        return _passes(lines, [], lambda p: F.lit(False))
+        return _passes(lines, patterns, lambda r: None)
     small = fits(keyed)
     kept = lines.columns if small else [line_key, text_col]
     grams = (
@@ -147,8 +161,12 @@ def regex_matches(
 
     Invalid patterns match nothing here; ``operators.requests`` reports them.
     """
-    rows = [r for r in patterns.select("pattern_id", "pattern").collect() if regex.is_valid(r["pattern"])]
-    return _passes(lines, rows, lambda p: F.col(text_col).rlike(regex.to_jvm(p, ignore_case)))
+    def test(r: Row) -> Column | None:
+        if regex.is_valid(r["pattern"]):
+            return F.col(text_col).rlike(regex.to_jvm(r["pattern"], ignore_case))
+        return None
+
+    return _passes(lines, patterns.select("pattern_id", "pattern"), test)
 
 
 def offsets(lines: DataFrame, needle: str, text_col: str = "line") -> DataFrame:
@@ -189,8 +207,6 @@ def batch_search(exact: DataFrame, folded: DataFrame, queries: DataFrame) -> Dat
     regex and inverted ones are literal tests of shared scans. The views are read
     several times, so give it those of a persisted index.
     """
-    from lineseek.operators.search import SearchOptions, limit_per_query, predicate
-
     q = queries.fillna({"case_sensitive": False, "whole_line": False, "regex": False, "invert": False})
     parts = []
     for sensitive, view in ((True, exact), (False, folded)):
@@ -205,17 +221,10 @@ def batch_search(exact: DataFrame, folded: DataFrame, queries: DataFrame) -> Dat
         parts.append(
             substring_matches(lines, joined.where("not whole_line"), text)
         )
-        scanned = mine.where("regex or invert").collect()
-        for start in range(0, len(scanned), PER_SCAN):
-            tests = [
-                (r["pattern_id"], predicate(
-                    r["query"],
-                    SearchOptions(sensitive, r["whole_line"], r["regex"], r["invert"]),
-                ))
-                for r in scanned[start:start + PER_SCAN]
-            ]
-            parts.append(literal_matches(lines, tests))
-    out = parts[0].select("pattern_id", "line", "first_pos")
-    for part in parts[1:]:
-        out = out.unionByName(part.select("pattern_id", "line", "first_pos"))
+        parts.append(_passes(lines, mine.where("regex or invert"), _option_test))
+    out = reduce(DataFrame.unionByName, [p.select("pattern_id", "line", "first_pos") for p in parts])
     return limit_per_query(out.withColumnRenamed("pattern_id", "query_id"), q)
+
+
+def _option_test(r: Row) -> Column:
+    return predicate(r["query"], SearchOptions(r["case_sensitive"], r["whole_line"], r["regex"], r["invert"]))

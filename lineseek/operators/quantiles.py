@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lineseek.plans.sizing import fits
+
 BINS_PER_DOUBLING = 64
 METHODS = ("linear", "exclusive")
+MAX_BROADCAST_GROUPS = 100_000
 
 
 def value_counts(df: DataFrame, keys: list[str], value_col: str) -> DataFrame:
@@ -54,12 +57,28 @@ def quantiles(
     df: DataFrame, keys: list[str], value_col: str, ps: dict[str, float], method: str = "linear"
 ) -> DataFrame:
     """One row per group: the group columns and one double per entry of ``ps``."""
-    if method not in METHODS:
-        raise ValueError(f"method must be one of {METHODS}")
-    return from_value_counts(value_counts(df, keys, value_col), keys, ps, method)
+    wanted = {name: (p, method) for name, p in ps.items()}
+    return mixed_quantiles(df, keys, value_col, wanted)
+
+
+def mixed_quantiles(df: DataFrame, keys: list[str], value_col: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """Like ``quantiles`` with a method for each entry, from one set of counts."""
+    return from_value_counts(value_counts(df, keys, value_col), keys, wanted, few_groups(df, keys))
 
 
-def from_value_counts(counts: DataFrame, keys: list[str], ps: dict[str, float], method: str = "linear") -> DataFrame:
+def few_groups(df: DataFrame, keys: list[str]) -> bool:
+    """Are per-group results small enough to broadcast? Reads the keys only."""
+    return not keys or fits(df.select(*keys).distinct(), max_rows=MAX_BROADCAST_GROUPS)
+
+
+def from_value_counts(
+    counts: DataFrame, keys: list[str], ps: dict[str, tuple[float, str]], small: bool
+) -> DataFrame:
+    """``small``: see ``few_groups``; the wanted bins are then broadcast, and only
+    values of those bins are shuffled a second time."""
+    for _, method in ps.values():
+        if method not in METHODS:
+            raise ValueError(f"method must be one of {METHODS}")
     group = keys or ["__all"]
     if not keys:
         counts = counts.withColumn("__all", F.lit(1))
@@ -74,7 +93,7 @@ def from_value_counts(counts: DataFrame, keys: list[str], ps: dict[str, float],
         F.sum("__n").over(whole).alias("__total"),
     )
     wanted = []
-    for name, p in ps.items():
+    for name, (p, method) in ps.items():
         low, fraction = _position(p, F.col("__total"), method)
         for end in (0, 1):
             rank = F.least(low + end, F.col("__total")).cast("bigint")
@@ -95,7 +114,7 @@ def from_value_counts(counts: DataFrame, keys: list[str], ps: dict[str, float],
     )
     inside = W.partitionBy(*group, "__bin").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
     ranked = (
-        binned.join(needed, [*group, "__bin"])
+        binned.join(F.broadcast(needed) if small else needed, [*group, "__bin"])
         .withColumn("__hi", F.col("__lo") + F.sum("__c").over(inside))
         .withColumn("t", F.explode("ts"))
         .where((F.col("t.rank") <= F.col("__hi")) & (F.col("t.rank") > F.col("__hi") - F.col("__c")))
@@ -110,7 +129,7 @@ def from_value_counts(counts: DataFrame, keys: list[str], ps: dict[str, float],
         F.max("__total").alias("__total"),
     )
     out = []
-    for name in ps:
+    for name, (_, method) in ps.items():
         low, high, fraction = (F.col(f"__{name}_{x}") for x in (0, 1, "f"))
         value = low + fraction * (high - low)
         if method == "exclusive":

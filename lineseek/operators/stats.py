@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lineseek.operators.quantiles import from_value_counts, quantiles, value_counts
+from lineseek.operators.quantiles import few_groups, from_value_counts, mixed_quantiles, quantiles, value_counts
 
 # Report percentiles and histogram size.
 REPORT_PERCENTILES = (50, 75, 90, 95, 99)
@@ -21,18 +21,39 @@ def on_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Join two per-group results; without keys both hold one row."""
     if keys:
         return left.join(right, keys)
-    return left.withColumn("__one", F.lit(1)).join(right.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    one = F.broadcast(right.withColumn("__one", F.lit(1)))  # a single row
+    return left.withColumn("__one", F.lit(1)).join(one, "__one").drop("__one")
 
 
-def latency_summary(df: DataFrame, keys: list[str], value: str = "response_ms") -> DataFrame:
-    """count, mean, min, max, sample standard deviation (null for one sample)."""
-    return df.groupBy(*keys).agg(
+def summary_columns(value: str) -> list[Column]:
+    return [
         F.count(value).alias("total_requests"),
         F.avg(value).alias("avg_response_time"),
         F.min(value).alias("min_response_time"),
         F.max(value).alias("max_response_time"),
         F.stddev_samp(value).alias("std_dev"),
-    )
+    ]
+
+
+def outcome_columns() -> list[Column]:
+    has_error = F.coalesce(F.col("error"), F.lit("")) != ""
+    n = F.count(F.lit(1))
+    return [
+        F.when(n > 0, F.count_if("success") * 100.0 / n).alias("success_rate"),
+        F.count_if(has_error).alias("error_count"),
+        F.count_distinct(F.when(has_error, F.col("error"))).alias("unique_errors"),
+        F.when(n > 0, F.count_if(has_error) / n).otherwise(1.0).alias("error_rate"),
+    ]
+
+
+def throughput_column(ts_seconds: Column) -> Column:
+    span = F.max(ts_seconds) - F.min(ts_seconds)
+    return F.when(span > 0, F.count(F.lit(1)) / span).otherwise(0.0).alias("requests_per_second")
+
+
+def latency_summary(df: DataFrame, keys: list[str], value: str = "response_ms") -> DataFrame:
+    """count, mean, min, max, sample standard deviation (null for one sample)."""
+    return df.groupBy(*keys).agg(*summary_columns(value))
 
 
 def median(df: DataFrame, keys: list[str], value: str = "response_ms") -> DataFrame:
@@ -64,23 +85,12 @@ def variation(df: DataFrame, keys: list[str], value: str = "response_ms") -> Dat
 
 def outcomes(df: DataFrame, keys: list[str]) -> DataFrame:
     """Success rate in percent, errors, distinct errors, error share."""
-    has_error = F.coalesce(F.col("error"), F.lit("")) != ""
-    n = F.count(F.lit(1))
-    return df.groupBy(*keys).agg(
-        n.alias("total_requests"),
-        F.when(n > 0, F.count_if("success") * 100.0 / n).alias("success_rate"),
-        F.count_if(has_error).alias("error_count"),
-        F.count_distinct(F.when(has_error, F.col("error"))).alias("unique_errors"),
-        F.when(n > 0, F.count_if(has_error) / n).otherwise(1.0).alias("error_rate"),
-    )
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_requests"), *outcome_columns())
 
 
 def throughput(df: DataFrame, keys: list[str], ts_seconds: Column) -> DataFrame:
     """Requests per second over the observed span; 0 when the span is 0."""
-    span = F.max(ts_seconds) - F.min(ts_seconds)
-    return df.groupBy(*keys).agg(
-        F.when(span > 0, F.count(F.lit(1)) / span).otherwise(0.0).alias("requests_per_second")
-    )
+    return df.groupBy(*keys).agg(throughput_column(ts_seconds))
 
 
 def throughput_fixed(df: DataFrame, keys: list[str], duration_seconds: float) -> DataFrame:
@@ -89,12 +99,15 @@ def throughput_fixed(df: DataFrame, keys: list[str], duration_seconds: float) ->
 
 
 def load_test_report(df: DataFrame, keys: list[str], ts_seconds: Column, value: str = "response_ms") -> DataFrame:
-    """The full load-test analysis, one row per run."""
-    out = latency_summary(df, keys, value)
-    out = on_groups(out, median(df, keys, value), keys)
-    out = on_groups(out, tail_latency(df, keys, value), keys)
-    out = on_groups(out, throughput(df, keys, ts_seconds), keys)
-    return on_groups(out, outcomes(df, keys).drop("total_requests"), keys)
+    """The full load-test analysis, one row per run: one aggregation and one
+    quantile pass."""
+    sums = df.groupBy(*keys).agg(*summary_columns(value), throughput_column(ts_seconds), *outcome_columns())
+    ranks = {
+        "median_response_time": (0.5, "linear"),
+        "p95_response_time": (0.95, "exclusive"),
+        "p99_response_time": (0.99, "exclusive"),
+    }
+    return on_groups(sums, mixed_quantiles(df, keys, value, ranks), keys)
 
 
 def histogram(df: DataFrame, keys: list[str], value: str = "response_ms", bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -114,6 +127,8 @@ def histogram(df: DataFrame, keys: list[str], value: str = "response_ms", bins:
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
     ).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
+    if few_groups(df, keys):
+        edges = F.broadcast(edges)
     index = F.least(F.floor((F.col("__v") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
     filled = (
         counts.join(edges, group)
@@ -136,11 +151,15 @@ def histogram(df: DataFrame, keys: list[str], value: str = "response_ms", bins:
 def boxplot(df: DataFrame, keys: list[str], value: str = "response_ms") -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 IQR) and outlier count."""
     counts = value_counts(df, keys, value)
-    box = from_value_counts(counts, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    small = few_groups(df, keys)
+    quartiles = {"q1": (0.25, "linear"), "median": (0.5, "linear"), "q3": (0.75, "linear")}
     iqr = F.col("q3") - F.col("q1")
-    fenced = on_groups(
-        counts, box.withColumn("low", F.col("q1") - 1.5 * iqr).withColumn("high", F.col("q3") + 1.5 * iqr), keys
+    box = (
+        from_value_counts(counts, keys, quartiles, small)
+        .withColumn("low", F.col("q1") - 1.5 * iqr)
+        .withColumn("high", F.col("q3") + 1.5 * iqr)
     )
+    fenced = on_groups(counts, F.broadcast(box) if small else box, keys)
     within = (F.col("__v") >= F.col("low")) & (F.col("__v") <= F.col("high"))
     # the box columns are the same on every row of a group
     group = [*keys, "q1", "median", "q3"]

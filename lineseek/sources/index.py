@@ -11,21 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineseek.operators.corpus import exact_view, folded_view
+from lineseek.operators.corpus import exact_view, with_fold
 
 COLUMNS = ("line", "line_lower", "n_occurrences", "first_pos", "last_pos", "last_line_no", "is_fold", "fold_first_pos")
 
 
 def build(lines: DataFrame) -> DataFrame:
-    exact = exact_view(lines)
-    folded = folded_view(exact).select(
-        "line_lower", F.col("last_pos").alias("__fold_pos"), F.col("first_pos").alias("fold_first_pos")
-    )
-    return (
-        exact.join(folded, "line_lower")
-        .withColumn("is_fold", F.col("last_pos") == F.col("__fold_pos"))
-        .select(*COLUMNS)
-    )
+    return with_fold(exact_view(lines)).select(*COLUMNS)
 
 
 def write(lines: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists") -> None:

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from lineseek.functions.text import normalise_query
 from lineseek.functions.verdicts import verdict
 from lineseek.operators.membership import lookup
-from lineseek.plans.sizing import broadcast_if_small
 
 
 def live_lookup(requests: DataFrame, corpus: DataFrame, query_col: str = "query") -> DataFrame:
     """Stream of requests against a corpus table: a stateless left join.
 
     With a corpus read from files and not cached, every micro-batch reads the
-    files as they are then; a written table is a snapshot.
+    files as they are then; a written table is a snapshot. The corpus may grow,
+    so no broadcast is asked for. ``lookup_batches`` is the form for a corpus
+    much larger than a micro-batch.
     """
     lines = corpus.select(F.col("line").alias(query_col)).distinct().withColumn("hit", F.lit(True))
     return (
         requests.withColumn(query_col, normalise_query(F.col(query_col)))
-        .join(broadcast_if_small(lines), query_col, "left")
+        .join(lines, query_col, "left")
         .withColumn("found", F.coalesce("hit", F.lit(False)))
         .drop("hit")
         .withColumn("verdict", verdict(F.col("found")))
