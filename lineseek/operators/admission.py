@@ -27,6 +27,7 @@ from lineseek.operators.ordered import MICROS
 # Default limits.
 REQUESTS_PER_WINDOW = 1000
 WINDOW_SECONDS = 60
+NO_CLIENT = "\0"
 
 
 class SlidingLog:
@@ -93,11 +94,13 @@ def _fold(
     df: DataFrame, client: str, ts_us: str, tie: str, pause_us: int, new_state: Callable[[], SlidingLog | TokenBucket]
 ) -> DataFrame:
     """(client, ts_us, tie, admitted)."""
-    narrow = df.select(client, F.col(ts_us).alias("__t"), F.col(tie).alias("__id"))
+    # clients travel as text: any type, and requests without a client are one client
+    name = F.coalesce(F.col(client).cast("string"), F.lit(NO_CLIENT))
+    narrow = df.select(name.alias("__k"), F.col(ts_us).alias("__t"), F.col(tie).alias("__id"))
     ordered = (
-        _stretches(narrow, client, pause_us)
-        .repartition(client, "__stretch")
-        .sortWithinPartitions(client, "__stretch", "__t", "__id")
+        _stretches(narrow, "__k", pause_us)
+        .repartition("__k", "__stretch")
+        .sortWithinPartitions("__k", "__stretch", "__t", "__id")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +108,7 @@ def _fold(
         for batch in batches:
             if batch.empty:
                 continue
-            clients, stretches, times = batch[client].to_numpy(), batch["__stretch"].to_numpy(), batch["__t"].to_numpy()
+            clients, stretches, times = batch["__k"].to_numpy(), batch["__stretch"].to_numpy(), batch["__t"].to_numpy()
             changed = (clients[1:] != clients[:-1]) | (stretches[1:] != stretches[:-1])
             cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(batch)]
             admitted = np.zeros(len(batch), dtype=bool)
@@ -114,11 +117,14 @@ def _fold(
                 if key != here:
                     key, state = here, new_state()
                 admitted[a:b] = state.decide(times[a:b])
-            yield pd.DataFrame({client: batch[client], ts_us: times, tie: batch["__id"], "admitted": admitted})
+            yield pd.DataFrame({"__k": batch["__k"], "__t": times, "__id": batch["__id"], "admitted": admitted})
 
-    kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = f"`{client}` {kind[client]}, `{ts_us}` bigint, `{tie}` {kind[tie]}, admitted boolean"
-    return ordered.mapInPandas(run, schema)
+    kind = {f.name: f.dataType for f in df.schema.fields}
+    decided = ordered.mapInPandas(run, f"__k string, __t bigint, __id {kind[tie].simpleString()}, admitted boolean")
+    return decided.select(
+        F.when(F.col("__k") != NO_CLIENT, F.col("__k")).cast(kind[client]).alias(client),
+        F.col("__t").alias(ts_us), F.col("__id").alias(tie), "admitted",
+    )
 
 
 def sliding_log(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lineseek.operators.ordered import slice_of
+from lineseek.plans.joins import join_groups
 
 # Alert levels; per-source metric, limit, level and detail name.
 LEVELS = ("info", "warning", "error", "critical")
@@ -127,7 +128,7 @@ def transitions(
     inside = W.partitionBy(*keys, "__slice").orderBy(*order)
     before = F.coalesce(F.lag(firing).over(inside), F.col("__carried"))
     return (
-        sliced.join(handed, [*keys, "__slice"])
+        join_groups(sliced, handed, [*keys, "__slice"])
         .withColumn("__before", before)
         .where(F.col(firing) != F.col("__before"))
         .withColumn("change", F.when(F.col(firing), "raised").otherwise("resolved"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineseek.functions.text import number
+from lineseek.plans.joins import join_groups
 
 # Default limits.
 SYSTEM_LIMITS = {"memory_percent": 80.0, "cpu_percent": 80.0}
@@ -64,7 +65,7 @@ def component_report(checks: DataFrame) -> DataFrame:
         F.bool_and("healthy").alias("healthy"), F.count(F.lit(1)).alias("checks"),
         F.count_if(~F.col("healthy")).alias("failed_checks"),
     )
-    return status.join(texts, "component", "left").withColumn(
+    return join_groups(status, texts, ["component"], "left").withColumn(
         "issues", F.coalesce("issues", F.array().cast("array<string>"))
     )
 

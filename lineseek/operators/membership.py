@@ -164,6 +164,11 @@ def coverage(required: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def raw_line_exists(raw_lines: DataFrame, needle: str, raw_col: str = "raw") -> DataFrame:
+    """Is some unstripped line exactly this text? White space at the ends counts."""
+    return raw_lines.agg(F.coalesce(F.bool_or(F.col(raw_col) == F.lit(needle)), F.lit(False)).alias("found"))
+
+
 def any_line_contains(raw_lines: DataFrame, needle: str, raw_col: str = "raw") -> DataFrame:
     """Does any unstripped line hold the text? Part of a line is enough."""
     return raw_lines.agg(F.coalesce(F.bool_or(F.contains(F.col(raw_col), F.lit(needle))), F.lit(False)).alias("found"))

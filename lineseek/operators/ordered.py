@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lineseek.plans.joins import join_groups
+
 MICROS = 1_000_000
 
 
@@ -54,7 +56,7 @@ def with_running(
         .orderBy(*[direction(o) for o in order])
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    out = sliced.join(bases, [*keys, "__slice"])
+    out = join_groups(sliced, bases, [*keys, "__slice"])
     for name in totals:
         out = out.withColumn(name, F.col(f"__b_{name}") + F.sum(f"__v_{name}").over(inside))
     return out.drop("__slice", *[f"__v_{n}" for n in totals], *[f"__b_{n}" for n in totals])

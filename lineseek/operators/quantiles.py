@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lineseek.plans.joins import join_groups
 from lineseek.plans.sizing import fits
 
 BINS_PER_DOUBLING = 64
@@ -99,33 +100,33 @@ def from_value_counts(
             rank = F.least(low + end, F.col("__total")).cast("bigint")
             wanted.append(
                 F.struct(
-                    F.lit(name).alias("name"), F.lit(end).alias("end"), rank.alias("rank"),
-                    fraction.cast("double").alias("fraction"),
+                    F.lit(name).alias("__name"), F.lit(end).alias("__end"), rank.alias("__rank"),
+                    fraction.cast("double").alias("__fraction"),
                 )
             )
     targets = (
-        edges.withColumn("t", F.explode(F.array(*wanted)))
-        .where((F.col("t.rank") > F.col("__lo")) & (F.col("t.rank") <= F.col("__lo") + F.col("__n")))
-        .select(*group, "__bin", "__lo", "__total", "t.*")
+        edges.withColumn("__t", F.explode(F.array(*wanted)))
+        .where((F.col("__t.__rank") > F.col("__lo")) & (F.col("__t.__rank") <= F.col("__lo") + F.col("__n")))
+        .select(*group, "__bin", "__lo", "__total", "__t.*")
     )
     needed = targets.groupBy(*group, "__bin").agg(
         F.first("__lo").alias("__lo"), F.first("__total").alias("__total"),
-        F.collect_list(F.struct("name", "end", "rank", "fraction")).alias("ts"),
+        F.collect_list(F.struct("__name", "__end", "__rank", "__fraction")).alias("__ts"),
     )
     inside = W.partitionBy(*group, "__bin").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
     ranked = (
-        binned.join(F.broadcast(needed) if small else needed, [*group, "__bin"])
+        join_groups(binned, needed, [*group, "__bin"], small=small)
         .withColumn("__hi", F.col("__lo") + F.sum("__c").over(inside))
-        .withColumn("t", F.explode("ts"))
-        .where((F.col("t.rank") <= F.col("__hi")) & (F.col("t.rank") > F.col("__hi") - F.col("__c")))
+        .withColumn("__t", F.explode("__ts"))
+        .where((F.col("__t.__rank") <= F.col("__hi")) & (F.col("__t.__rank") > F.col("__hi") - F.col("__c")))
     )
     picked = ranked.groupBy(*group).agg(
         *[
-            F.max(F.when((F.col("t.name") == name) & (F.col("t.end") == end), F.col("__v"))).alias(f"__{name}_{end}")
+            F.max(F.when((F.col("__t.__name") == name) & (F.col("__t.__end") == end), F.col("__v"))).alias(f"__{name}_{end}")
             for name in ps
             for end in (0, 1)
         ],
-        *[F.max(F.when(F.col("t.name") == name, F.col("t.fraction"))).alias(f"__{name}_f") for name in ps],
+        *[F.max(F.when(F.col("__t.__name") == name, F.col("__t.__fraction"))).alias(f"__{name}_f") for name in ps],
         F.max("__total").alias("__total"),
     )
     out = []

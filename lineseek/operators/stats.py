@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lineseek.operators.quantiles import few_groups, from_value_counts, mixed_quantiles, quantiles, value_counts
+from lineseek.plans.joins import join_groups
 
 # Report percentiles and histogram size.
 REPORT_PERCENTILES = (50, 75, 90, 95, 99)
 HISTOGRAM_BINS = 50
 
 
-def on_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def on_groups(left: DataFrame, right: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
     """Join two per-group results; without keys both hold one row."""
     if keys:
-        return left.join(right, keys)
-    one = F.broadcast(right.withColumn("__one", F.lit(1)))  # a single row
-    return left.withColumn("__one", F.lit(1)).join(one, "__one").drop("__one")
+        return join_groups(left, right, keys, small=small)
+    one = right.withColumn("__one", F.lit(1))  # a single row
+    return join_groups(left.withColumn("__one", F.lit(1)), one, ["__one"], small=True).drop("__one")
 
 
 def summary_columns(value: str) -> list[Column]:
@@ -127,17 +128,16 @@ def histogram(df: DataFrame, keys: list[str], value: str = "response_ms", bins:
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
     ).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
-    if few_groups(df, keys):
-        edges = F.broadcast(edges)
+    small = few_groups(df, keys)
     index = F.least(F.floor((F.col("__v") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
     filled = (
-        counts.join(edges, group)
+        join_groups(counts, edges, group, small=small)
         .groupBy(*group, index.alias("bin"))
         .agg(F.sum("__c").alias("n"))
     )
     slots = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return (
-        slots.join(filled, [*group, "bin"], "left")
+        join_groups(slots, filled, [*group, "bin"], "left")
         .select(
             *keys,
             "bin",
@@ -159,7 +159,7 @@ def boxplot(df: DataFrame, keys: list[str], value: str = "response_ms") -> DataF
         .withColumn("low", F.col("q1") - 1.5 * iqr)
         .withColumn("high", F.col("q3") + 1.5 * iqr)
     )
-    fenced = on_groups(counts, F.broadcast(box) if small else box, keys)
+    fenced = on_groups(counts, box, keys, small)
     within = (F.col("__v") >= F.col("low")) & (F.col("__v") <= F.col("high"))
     # the box columns are the same on every row of a group
     group = [*keys, "q1", "median", "q3"]

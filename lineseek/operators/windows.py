@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lineseek.operators.ordered import MICROS, slice_of, with_overlap, with_rank, with_running
+from lineseek.plans.joins import join_groups
 
 # History length, red line of a gauge, error-rate limit.
 KEEP_LAST = 1000
@@ -36,7 +37,7 @@ def keep_newest(
     )
     inside = W.partitionBy(*keys, "__slice").orderBy(*[F.col(o).desc() for o in order])
     return (
-        sliced.join(live, [*keys, "__slice"])
+        join_groups(sliced, live, [*keys, "__slice"])
         .withColumn("__rn", F.col("__newer") + F.row_number().over(inside))
         .where(F.col("__rn") <= n)
         .drop("__slice", "__newer", "__rn")

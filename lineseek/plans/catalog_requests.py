@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from lineseek.functions import verdicts
 from lineseek.functions.hashing import trace_bound, trace_sampled
 from lineseek.functions.text import decode_lossy, normalise_query
-from lineseek.operators import admission, requests
+from lineseek.operators import admission, requests, service
 from lineseek.operators.ordered import micros
-from lineseek.plans.registry import register, sql_strip, table
-from lineseek.sources import requests as sources
+from lineseek.plans.catalog_search import doc_lines
+from lineseek.plans.registry import SQL_FOLDED, register, sql_strip, table
+from lineseek.plans.session import scratch_path
+from lineseek.sources import index, requests as sources
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +195,26 @@ def request_metrics(spark, sf_dir):
     )
 
 
+SQL_ANSWERS = f"""{SQL_FOLDED}, {SQL_VALID},
+asked AS (SELECT req.*, error_code FROM req JOIN v USING (request_id)),
+m AS (
+  SELECT request_id, max_count AS k, first_pos FROM asked JOIN folded ON
+    CASE WHEN regex THEN regexp_matches(line_lower, query) WHEN whole_line THEN line_lower = lower(query)
+         ELSE contains(line_lower, lower(query)) END
+  WHERE error_code IS NULL AND command = 'search'),
+n AS (SELECT request_id, CASE WHEN max(k) > 0 THEN least(count(*), max(k)) ELSE count(*) END AS n FROM m GROUP BY 1)
+SELECT asked.request_id, error_code, CASE WHEN error_code IS NULL AND command = 'search' THEN coalesce(n, 0) END AS count
+FROM asked LEFT JOIN n USING (request_id)"""
+
+
+@register(f"WITH {SQL_ANSWERS}")
+def request_answers(spark, sf_dir):
+    """Every raw request answered against the documents, end to end."""
+    snap = index.snapshot(spark, doc_lines(spark, sf_dir), scratch_path(spark, "index"))
+    responses, _ = service.answer(raw_requests(spark, sf_dir), index.exact(snap), index.folded(snap))
+    return responses.select("request_id", "error_code", "count")
+
+
 # ----------------------------------------------------------------- admission
 LOG_LIMIT, LOG_WINDOW_S = 2, 86_400
 BUCKET_RATE, BUCKET_BURST = 1 / 40_000, 2

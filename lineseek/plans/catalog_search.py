@@ -146,6 +146,11 @@ def any_line_contains(spark, sf_dir):
     return membership.any_line_contains(doc_raw(spark, sf_dir), "tion the")
 
 
+@register(f"WITH {SQL_LINES} SELECT bool_or(raw = 'The') AS found FROM raw")
+def raw_line_exists(spark, sf_dir):
+    return membership.raw_line_exists(doc_raw(spark, sf_dir), "The")
+
+
 # -------------------------------------------------------------------- search
 
 def _search(spark, sf_dir, query: str, **options) -> DataFrame:

@@ -459,6 +459,16 @@ def alerts_from_health(spark, sf_dir):
     return raised.groupBy("level", "source", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(f"""WITH {SQL_HEALTH} SELECT ts_us, 'warning' AS level, 'system' AS source, 'System health check failed' AS message,
+  mem AS memory_percent FROM h WHERE mem > 80 OR cpu > 80""")
+def alerts_from_system_health(spark, sf_dir):
+    raised = alerts.from_health(health.system_health(health_samples(spark, sf_dir)))
+    return raised.select(
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "level", "source", "message",
+        F.col("details")["memory_percent"].cast("double").alias("memory_percent"),
+    )
+
+
 @register(f"""WITH {SQL_TRAIL} SELECT epoch_us(ts) AS ts_us, 'warning' AS level, 'server' AS source,
   'High error rate detected' AS message FROM t WHERE m > 0.4::DOUBLE""")
 def alerts_from_error_rate(spark, sf_dir):

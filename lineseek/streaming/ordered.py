@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # fold(key, rows sorted by ts_us and id, memory) -> (output rows, new memory,
 #      event time in microseconds after which the memory says nothing; None = never)
-Fold = Callable[[str, pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple, int | None]]
+Fold = Callable[[str | None, pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple, int | None]]
 
 
 def fold_in_order(
@@ -47,7 +47,7 @@ def fold_in_order(
         ready = waiting[waiting["ts_us"] < passed].sort_values(["ts_us", "id"])
         left = waiting[waiting["ts_us"] >= passed]
         if len(ready):
-            out, held, forget = fold(str(group[0]), ready, held)
+            out, held, forget = fold(group[0], ready, held)
             if len(out):
                 yield out
         if left.empty and (held is None or (forget is not None and forget < passed)):

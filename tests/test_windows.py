@@ -110,3 +110,19 @@ def test_gauges_and_sessions(spark):
     assert {(r.m, r.latest, r.colour) for r in windows.gauges(df, ["m"], "ts", "v").collect()} == {("m", 80.0, "red"), ("k", 79.9, "green")}
     log = spark.createDataFrame([("s", 1, 1, 1), ("s", 2, 2, 1), ("s", 3, 3, -1)], "s string, ts_us bigint, id bigint, d int")
     assert [r.open_sessions for r in windows.open_sessions(log, ["s"], ["ts_us", "id"], F.col("d")).orderBy("id").collect()] == [1, 2, 1]
+
+
+def test_rows_without_a_key_stay(spark):
+    rows = [(None, i * SECOND, i, 1.0, True) for i in range(5)] + [("x", 0, 9, 2.0, False)]
+    df = spark.createDataFrame(rows, "name string, ts_us bigint, id bigint, value double, found boolean")
+    assert with_rank(df, ["name"], ["ts_us", "id"], slice_seconds=2).where("name is null").count() == 5
+    assert windows.keep_newest(df, ["name"], ["ts_us", "id"], 2, 2).where("name is null").count() == 2
+    assert windows.rolling_mean(df, ["name"], ["ts_us", "id"], "value", 2, 2, block=2).count() == 6
+    assert windows.trailing_mean_alarm(df, ["name"], "ts_us", "value", 60, 0.1, 60).count() == 6
+    from lineseek.operators import admission, alerts, stats
+    assert {r.name: r.median_response_time for r in stats.median(df, ["name"], "value").collect()} == {None: 1.0, "x": 2.0}
+    assert stats.histogram(df, ["name"], "value").where("name is null").agg(F.sum("n")).first()[0] == 5
+    changed = alerts.transitions(df, ["name"], ["ts_us", "id"], "found", 2)
+    assert [(r.name, r.id) for r in changed.collect()] == [(None, 0)]
+    got = admission.sliding_log(df, "name", "ts_us", "id", 2, 60).orderBy("id").collect()
+    assert [(r.name, r.admitted) for r in got] == [(None, True)] * 2 + [(None, False)] * 3 + [("x", True)]
