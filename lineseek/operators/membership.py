@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lineseek.functions.hashing import FILTER_BITS, bit_address
 from lineseek.functions.text import WHITESPACE, normalise_query
 from lineseek.functions.verdicts import verdict
+from lineseek.plans.session import materialise
 from lineseek.plans.sizing import broadcast_if_small, fits
 
 
@@ -28,7 +29,9 @@ def prepare(queries: DataFrame, query_col: str = "query") -> DataFrame:
 
 
 def _needles(queries: DataFrame, query_col: str) -> DataFrame:
-    return queries.select(F.col(query_col).alias("line")).where(F.col("line") != "").distinct()
+    """Distinct query texts, written down: they are counted first and used after."""
+    texts = queries.select(F.col(query_col).alias("line")).where(F.col("line") != "").distinct()
+    return materialise(texts, "needles")
 
 
 def found_lines(lines: DataFrame, queries: DataFrame, query_col: str = "query") -> DataFrame:

@@ -1,7 +1,7 @@
 """Many patterns against many lines.
 
 Substring patterns
-    few patterns:  all tests are literals of one scan (``literal_matches``)
+    few patterns:  tests are literals of shared scans (``literal_matches``)
     more patterns: patterns and lines are cut into short grams and meet by an
                    equality join on the gram's hash; the text itself then decides.
                    Work grows with the text, not with patterns x lines.
@@ -24,19 +24,17 @@ from pyspark.sql import functions as F
 from lineseek.functions import regex
 from lineseek.operators.search import SearchOptions, limit_per_query, predicate
 from lineseek.plans.session import materialise
-from lineseek.plans.sizing import fits
+from lineseek.plans.sizing import broadcast_if_small, fits
 
 PER_SCAN = 64
 PER_PLAN = 1024
-FEW_PATTERNS = 64
-# (shortest pattern, gram length, stride); shorter patterns are their own gram.
-# Long grams keep candidate pairs few, strides keep cuts few.
-BANDS = ((16, 9, 8), (6, 6, 1), (4, 4, 1))
-
-
-def _first(patterns: DataFrame, n: int) -> list:
-    """At most n rows of the (small) pattern table."""
-    return patterns.limit(n).collect()
+# literal tests that cost as much as cutting the text at every character once
+TESTS_PER_WALK = 200
+# (shortest pattern, gram length, stride). Long grams keep candidate pairs few,
+# strides keep cuts few. Patterns shorter than the last band are their own gram.
+LONG_BAND = (16, 9, 8)
+MIDDLE_BANDS = ((12, 7, 6), (8, 6, 3), (6, 6, 1))
+SHORT_BAND = (4, 4, 1)
 
 
 def literal_matches(
@@ -74,12 +72,17 @@ def _passes(lines: DataFrame, patterns: DataFrame, test: Callable[[Row], Column
     return out
 
 
-def _band(size: int) -> tuple[int, int]:
-    """(gram length q, stride s) used for patterns of a length: q + s - 1 <= length."""
-    for low, q, s in BANDS:
-        if size >= low:
-            return q, s
-    return size, 1
+def _bands(lengths: list[int]) -> list[tuple[int, int, int]]:
+    """Bands for the pattern lengths at hand. All need q + s - 1 <= length.
+
+    Each band is one more walk over the text, so the middle lengths share one: the
+    one its shortest pattern allows.
+    """
+    middle = [n for n in lengths if MIDDLE_BANDS[-1][0] <= n < LONG_BAND[0]]
+    chosen = [LONG_BAND]
+    if middle:
+        chosen.append(next(b for b in MIDDLE_BANDS if b[0] <= min(middle)))
+    return [*chosen, SHORT_BAND]
 
 
 def _cut(text: Column, q: int, s: int) -> Column:
@@ -87,18 +90,18 @@ def _cut(text: Column, q: int, s: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}})).{{1,{s}}}"), F.lit(1))
 
 
-def _keyed(patterns: DataFrame) -> DataFrame:
+def _keyed(patterns: DataFrame, bands: list[tuple[int, int, int]], within: tuple[str, ...]) -> DataFrame:
     """Patterns by gram: one row for each of the s places a cut can fall on."""
     size = F.length("pattern")
     q, s = size, F.lit(1)
-    for low, band_q, band_s in reversed(BANDS):
+    for low, band_q, band_s in reversed(bands):
         q = F.when(size >= low, band_q).otherwise(q)
         s = F.when(size >= low, band_s).otherwise(s)
     return (
         patterns.withColumn("q", q)
         .withColumn("stride", s)
         .withColumn("shift", F.explode(F.sequence(F.lit(0), F.col("stride") - 1)))
-        .withColumn("gram_key", F.xxhash64(F.substring(F.col("pattern"), F.col("shift") + 1, F.col("q"))))
+        .withColumn("gram_key", F.xxhash64(F.substring(F.col("pattern"), F.col("shift") + 1, F.col("q")), *within))
     )
 
 
@@ -108,11 +111,14 @@ def substring_matches(
     text_col: str = "line",
     line_key: str = "first_pos",
     strategy: str = "auto",
+    within: tuple[str, ...] = (),
 ) -> DataFrame:
     """Every (pattern, line) where the line contains the pattern, once each.
 
     ``patterns`` has ``(pattern_id bigint, pattern string)``; ``line_key`` is
     unique in ``lines``. ``strategy``: auto, scan or grams - same rows each way.
+    ``within``: columns of both tables that must be equal as well (``line_key`` is
+    then unique together with them).
 
     Gram join: a line is cut at every s-th character only, and the pattern is
     keyed by its grams at s consecutive places. An occurrence then always covers
@@ -120,38 +126,60 @@ def substring_matches(
     testing for that pair verifies the match and keeps it single without a
     ``distinct``. The big side is cut s times less often than the text is long.
     """
-    patterns = patterns.where(F.length("pattern") > 0).select("pattern_id", "pattern")
-    if strategy == "auto":
-        strategy = "scan" if len(_first(patterns, FEW_PATTERNS + 1)) <= FEW_PATTERNS else "grams"
-    if strategy == "scan":
-        return _passes(lines, patterns, lambda r: F.contains(F.col(text_col), F.lit(r["pattern"])))
-    if strategy != "grams":
+    if strategy not in ("auto", "scan", "grams"):
         raise ValueError("strategy must be auto, scan or grams")
+    patterns = patterns.where(F.length("pattern") > 0).select("pattern_id", "pattern", *within)
+    # one row per length up to that of the long band
+    size = F.least(F.length("pattern"), F.lit(LONG_BAND[0]))
+    counts = {r["n"]: r["count"] for r in patterns.groupBy(size.alias("n")).count().collect()}
+    bands = _bands(list(counts))
+    walk_of = {n: next(((q, s) for low, q, s in bands if n >= low), (n, 1)) for n in counts}
+    per_walk: dict[tuple[int, int], int] = {}
+    for n, count in counts.items():
+        per_walk[walk_of[n]] = per_walk.get(walk_of[n], 0) + count
+    # a walk over the text pays once it replaces enough literal tests
+    walks = sorted(
+        w for w, count in per_walk.items() if strategy == "grams" or (strategy == "auto" and count * w[1] > TESTS_PER_WALK)
+    )
+    walked = [n for n in counts if walk_of[n] in walks]
+
+    def holds(r: Row) -> Column:
+        same = [F.col(c) == F.lit(r[c]) for c in within]
+        return reduce(lambda a, b: a & b, [*same, F.contains(F.col(text_col), F.lit(r["pattern"]))])
 
-    keyed = _keyed(patterns)
-    # at most one row per band and per length below the bands
-    bands = sorted((r["q"], r["stride"]) for r in keyed.select("q", "stride").distinct().collect())
-    if not bands:
-        return _passes(lines, patterns, lambda r: None)
+    if not walked:
+        return _passes(lines, patterns, holds)
+    by_gram = _gram_matches(lines, patterns.where(size.isin(walked)), text_col, line_key, within, bands, walks)
+    if len(walked) == len(counts):
+        return by_gram
+    return by_gram.unionByName(_passes(lines, patterns.where(~size.isin(walked)), holds))
+
+
+def _gram_matches(
+    lines: DataFrame, patterns: DataFrame, text_col: str, line_key: str, within: tuple[str, ...],
+    bands: list[tuple[int, int, int]], walks: list[tuple[int, int]],
+) -> DataFrame:
+    keyed = _keyed(patterns, bands, within)
     small = fits(keyed)
-    kept = lines.columns if small else [line_key, text_col]
+    kept = lines.columns if small else [*within, line_key, text_col]
     grams = (
-        lines.select(*kept, F.explode(F.array(*[_cut(F.col(text_col), q, s) for q, s in bands])).alias("grams"))
+        lines.select(*kept, F.explode(F.array(*[_cut(F.col(text_col), q, s) for q, s in walks])).alias("grams"))
         .select(*kept, F.posexplode("grams").alias("cut", "gram"))
-        .withColumn("gram_key", F.xxhash64("gram"))
+        .withColumn("gram_key", F.xxhash64("gram", *within))
     )
     at = F.instr(F.col(text_col), F.col("pattern"))
     first_hit = (at > 0) & (at - 1 == F.col("cut") * F.col("stride") - F.col("shift"))
+    on = ["gram_key", *within]
     if small:
         # the gram lookup happens where the line is read; no shuffle
-        return grams.join(F.broadcast(keyed), "gram_key").where(first_hit).select("pattern_id", *lines.columns)
+        return grams.join(F.broadcast(keyed), on).where(first_hit).select("pattern_id", *lines.columns)
     # Pattern tables past the bound: shuffle (gram, line key, cut), not the text,
     # then bring the text to the candidate pairs only. A frequent gram is split by
     # AQE's skew join.
-    pairs = grams.select("gram_key", line_key, "cut").join(
-        keyed.select("gram_key", "pattern_id", "pattern", "stride", "shift"), "gram_key"
+    pairs = grams.select(*on, line_key, "cut").join(
+        keyed.select(*on, "pattern_id", "pattern", "stride", "shift"), on
     )
-    return pairs.join(lines, line_key).where(first_hit).select("pattern_id", *lines.columns)
+    return pairs.join(lines, [*within, line_key]).where(first_hit).select("pattern_id", *lines.columns)
 
 
 def regex_matches(
@@ -199,32 +227,39 @@ def offsets(lines: DataFrame, needle: str, text_col: str = "line") -> DataFrame:
     )
 
 
-def batch_search(exact: DataFrame, folded: DataFrame, queries: DataFrame) -> DataFrame:
+def batch_search(index: DataFrame, queries: DataFrame) -> DataFrame:
     """A batch of option searches: matches ``(query_id, line, first_pos)``.
 
+    ``index`` is the table of ``sources.index`` (persisted, or just built);
     ``queries``: (query_id, query, case_sensitive, whole_line, regex, invert,
-    max_count), already validated. Whole-line and substring queries are joined;
-    regex and inverted ones are literal tests of shared scans. The views are read
-    several times, so give it those of a persisted index.
+    max_count), already validated. Both search views are laid under each other,
+    so each kind of query needs one scan for both: whole-line queries are an
+    equality join, substrings the pattern join, regex and inverted queries literal
+    tests.
     """
-    q = queries.fillna({"case_sensitive": False, "whole_line": False, "regex": False, "invert": False})
-    parts = []
-    for sensitive, view in ((True, exact), (False, folded)):
-        text = "line" if sensitive else "line_lower"
-        lines = view.select("line", "line_lower", "first_pos")
-        mine = q.where(F.col("case_sensitive") == sensitive).withColumn(
-            "pattern", F.col("query") if sensitive else F.lower("query")
-        ).withColumnRenamed("query_id", "pattern_id")
-        joined = mine.where(~F.col("regex") & ~F.col("invert"))
-        whole = joined.where("whole_line").select("pattern_id", F.col("pattern").alias(text))
-        parts.append(lines.join(F.broadcast(whole) if fits(whole) else whole, text))
-        parts.append(
-            substring_matches(lines, joined.where("not whole_line"), text)
-        )
-        parts.append(_passes(lines, mine.where("regex or invert"), _option_test))
-    out = reduce(DataFrame.unionByName, [p.select("pattern_id", "line", "first_pos") for p in parts])
-    return limit_per_query(out.withColumnRenamed("pattern_id", "query_id"), q)
+    sensitive = F.struct(F.lit(True).alias("sensitive"), F.col("line").alias("text"), "first_pos")
+    folded = F.struct(
+        F.lit(False).alias("sensitive"), F.col("line_lower").alias("text"), F.col("fold_first_pos").alias("first_pos")
+    )
+    views = index.select("line", F.explode(F.array_compact(F.array(sensitive, F.when(F.col("is_fold"), folded)))).alias("v"))
+    views = views.select("line", "v.*")
+    q = (
+        queries.fillna({"case_sensitive": False, "whole_line": False, "regex": False, "invert": False})
+        .withColumnRenamed("case_sensitive", "sensitive")
+        .withColumnRenamed("query_id", "pattern_id")
+        .withColumn("pattern", F.when(F.col("sensitive"), F.col("query")).otherwise(F.lower("query")))
+    )
+    joined = q.where("not regex and not invert")
+    whole = joined.where("whole_line").select("pattern_id", "sensitive", F.col("pattern").alias("text"))
+    parts = [
+        views.join(broadcast_if_small(whole), ["sensitive", "text"]),
+        substring_matches(views, joined.where("not whole_line"), "text", within=("sensitive",)),
+        _passes(views, q.where("regex or invert"), _option_test),
+    ]
+    out = reduce(DataFrame.unionByName, [p.select(F.col("pattern_id").alias("query_id"), "line", "first_pos") for p in parts])
+    return limit_per_query(out, queries)
 
 
 def _option_test(r: Row) -> Column:
-    return predicate(r["query"], SearchOptions(r["case_sensitive"], r["whole_line"], r["regex"], r["invert"]))
+    options = SearchOptions(r["sensitive"], r["whole_line"], r["regex"], r["invert"])
+    return (F.col("sensitive") == r["sensitive"]) & predicate(r["query"], options, F.col("text"))

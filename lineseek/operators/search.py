@@ -61,14 +61,16 @@ def check_query(query: str, options: SearchOptions) -> None:
         raise ValueError("INVALID_PATTERN: not a regular expression")
 
 
-def predicate(query: str, options: SearchOptions) -> Column:
-    """The test one query puts to one line. Regex wins over whole line."""
+def predicate(query: str, options: SearchOptions, text: Column | None = None) -> Column:
+    """The test one query puts to one line. Regex wins over whole line.
+
+    ``text`` is the line as the search sees it: lower-cased unless case matters.
+    """
+    if text is None:
+        text = F.col("line" if options.case_sensitive else "line_lower")
     if options.regex:
-        test = F.col("line" if options.case_sensitive else "line_lower").rlike(
-            regex.to_jvm(query, ignore_case=not options.case_sensitive)
-        )
+        test = text.rlike(regex.to_jvm(query, ignore_case=not options.case_sensitive))
     else:
-        text = F.col("line") if options.case_sensitive else F.col("line_lower")
         needle = F.lit(query) if options.case_sensitive else F.lower(F.lit(query))
         test = (text == needle) if options.whole_line else F.contains(text, needle)
     return ~test if options.invert else test

@@ -33,19 +33,19 @@ def query_key():
 
 
 def answer(
-    log: DataFrame, exact: DataFrame, folded: DataFrame, raw_col: str = "raw", **limits
+    log: DataFrame, index: DataFrame, raw_col: str = "raw", **limits
 ) -> tuple[DataFrame, DataFrame]:
     """(responses, matches).
 
     ``responses``: each request with ``error_code, error_message, query_id`` and
     ``count`` (null for requests that are not searches or were refused).
     ``matches``: (query_id, line, first_pos), one row per match of each distinct
-    query. ``exact`` and ``folded`` are best taken from a persisted index.
+    query. ``index`` is the table of ``sources.index``, best a persisted one.
     """
     # the requests are needed for the queries and again for the responses
     requests = materialise(checked_requests(log, raw_col, **limits), "requests")
     queries = distinct_queries(requests)
-    matches = materialise(batch_search(exact, folded, queries), "answers")
+    matches = materialise(batch_search(index, queries), "answers")
     counts = queries.select("query_id").join(
         matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left"
     ).select("query_id", F.coalesce("n", F.lit(0)).alias("count"))

@@ -11,7 +11,7 @@ from lineseek.functions.text import decode_lossy, normalise_query
 from lineseek.operators import admission, requests, service
 from lineseek.operators.ordered import micros
 from lineseek.plans.catalog_search import doc_lines
-from lineseek.plans.registry import SQL_FOLDED, register, sql_strip, table
+from lineseek.plans.registry import SQL_FOLDED, register, spread, sql_strip, table
 from lineseek.plans.session import scratch_path
 from lineseek.sources import index, requests as sources
 
@@ -144,7 +144,7 @@ def verdict_parse(spark, sf_dir):
 FROM events e, LATERAL (SELECT event_type || ' ''' || props || ''' | IP: x' AS query) p""")
 def service_log_parse(spark, sf_dir):
     """Service-log lines written from events; the queries hold quotes and bars."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"), "event_id")
     found = F.col("event_type") != "error"
     query = F.concat("event_type", F.lit(" '"), "props", F.lit("' | IP: x"))
     line = sources.service_log_line(
@@ -211,7 +211,7 @@ FROM asked LEFT JOIN n USING (request_id)"""
 def request_answers(spark, sf_dir):
     """Every raw request answered against the documents, end to end."""
     snap = index.snapshot(spark, doc_lines(spark, sf_dir), scratch_path(spark, "index"))
-    responses, _ = service.answer(raw_requests(spark, sf_dir), index.exact(snap), index.folded(snap))
+    responses, _ = service.answer(raw_requests(spark, sf_dir), snap)
     return responses.select("request_id", "error_code", "count")
 
 

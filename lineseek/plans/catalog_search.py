@@ -279,7 +279,7 @@ def batch_search(spark, sf_dir):
     )
     queries = membership.prepare(queries)
     snap = index.snapshot(spark, doc_lines(spark, sf_dir), scratch_path(spark, "index"))
-    return patterns.batch_search(index.exact(snap), index.folded(snap), queries)
+    return patterns.batch_search(snap, queries)
 
 
 @register(f"""WITH {SQL_EXACT}, {SQL_WORDS}

@@ -17,7 +17,7 @@ from lineseek.operators.search import OPTION_SPELLINGS
 # Fixed value: layout of one service-log line.
 SERVICE_LOG_FORMAT = "%s Query: '%s' | IP: %s | Result: %s | Time: %.2fms | Cache Hit Rate: %.1f%%"
 SERVICE_LOG_PATTERN = (
-    r"(?s)^(\S+) Query: '(.*)' \| IP: (.*?) \| Result: (.*?) \| "
+    r"(?s)^\S+ Query: '(.*)' \| IP: ([^\x01]*?) \| Result: ([^\x01]*?) \| "
     r"Time: ([0-9.]+)ms \| Cache Hit Rate: ([0-9.]+)%$"
 )
 _END = "#end-of-request"
@@ -76,15 +76,19 @@ def service_log_line(
 def parse_service_log(log: DataFrame, line_col: str = "value") -> DataFrame:
     """Columns of a service-log line. The query may itself hold quotes and bars:
     the match is greedy, so it ends at the last place where the layout fits."""
+    # one match gives all parts; the query comes last, so it may hold any character
+    parts = F.split(F.regexp_replace(line_col, SERVICE_LOG_PATTERN, "$2\x01$3\x01$4\x01$5\x01$1"), "\x01", 5)
+    kept = [c for c in log.columns if c != line_col]
+
     def part(i: int) -> Column:
-        return F.regexp_extract(line_col, SERVICE_LOG_PATTERN, i)
-
-    return log.where(F.col(line_col).rlike(SERVICE_LOG_PATTERN)).select(
-        *[c for c in log.columns if c != line_col],
-        part(2).alias("query"),
-        part(3).alias("client_ip"),
-        part(4).alias("verdict"),
-        (part(4) == EXISTS).alias("found"),
-        part(5).cast("double").alias("duration_ms"),
-        part(6).cast("double").alias("hit_rate"),
+        return F.col("__parts")[i]
+
+    return log.where(F.col(line_col).rlike(SERVICE_LOG_PATTERN)).select(*kept, parts.alias("__parts")).select(
+        *kept,
+        part(4).alias("query"),
+        part(0).alias("client_ip"),
+        part(1).alias("verdict"),
+        (part(1) == EXISTS).alias("found"),
+        part(2).cast("double").alias("duration_ms"),
+        part(3).cast("double").alias("hit_rate"),
     )

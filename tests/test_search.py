@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lineseek.operators import corpus, membership, patterns
 from lineseek.operators.search import SearchOptions, result_counts, result_lists, search
+from lineseek.sources import index
 from lineseek.sources.generators import REQUIRED_LINES
 
 FOUR = ["test line 1", "test line 2", "another test line", "final test line"]
@@ -105,7 +106,7 @@ def check_patterns(spark, corpus_of):
     view = corpus.exact_view(corpus_of(lines)).select("line", "first_pos")
     table = spark.createDataFrame(list(enumerate(pats)), "pattern_id bigint, pattern string")
     want = sorted((p, i) for i, p in brute(lines, pats))
-    for strategy in ("grams", "scan"):
+    for strategy in ("grams", "scan", "auto"):
         got = patterns.substring_matches(view, table, strategy=strategy).select("pattern_id", "first_pos").collect()
         assert sorted(map(tuple, got)) == want, strategy
 
@@ -141,7 +142,11 @@ def test_prefixes(spark, corpus_of):
     assert got == {"al": True, "alphabet": True, "alphabets": False, "b": True, "lpha": False, "": False}
 
 
-def test_batch_search_equals_single_searches(spark, views):
+@pytest.mark.parametrize("strategy_limit", [0, 3, 200])
+def test_batch_search_equals_single_searches(spark, views, corpus_of, strategy_limit, monkeypatch):
+    monkeypatch.setattr(patterns, "TESTS_PER_WALK", strategy_limit)
+    table = index.build(corpus_of([*FOUR, FOUR[0], "Final TEST line"]))
+    views = index.exact(table), index.folded(table)
     cases = [
         ("test", {}), ("TEST", {"case_sensitive": True}), ("test line 1", {"whole_line": True}), (r"\d$", {"regex": True}),
         ("final", {"invert": True}), ("line", {"max_count": 2}), ("Line 1", {}), ("zzz", {}), ("test line 1", {"whole_line": True, "invert": True}),
@@ -155,14 +160,14 @@ def test_batch_search_equals_single_searches(spark, views):
         rows, "query_id bigint, query string, case_sensitive boolean, whole_line boolean, regex boolean, invert boolean, max_count int"
     )
     exact, folded = views
-    got = sorted((r.query_id, r.line) for r in patterns.batch_search(exact, folded, queries).collect())
+    got = sorted((r.query_id, r.line) for r in patterns.batch_search(table, queries).collect())
     want = []
     for i, (q, o) in enumerate(cases):
         c = SearchOptions(**o)
         want += [(i, r.line) for r in search(exact if c.case_sensitive else folded, q, c).collect()]
     assert got == sorted(want)
-    counts = {r.query_id: r["count"] for r in result_counts(queries, patterns.batch_search(exact, folded, queries)).collect()}
-    assert counts[7] == 0 and counts[0] == 4
+    counts = {r.query_id: r["count"] for r in result_counts(queries, patterns.batch_search(table, queries)).collect()}
+    assert counts[7] == 0 and counts[0] == 4 and counts[10] == 4
 
 
 def test_result_lists(spark, views):
