@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lineseek.functions.text import strip
 from lineseek.operators.corpus import missing, repaired
 from lineseek.operators.membership import any_line_contains, lookup
+from lineseek.plans.sizing import broadcast_if_small
 from lineseek.sources.generators import REQUIRED_LINES
 
 
@@ -49,7 +50,7 @@ def format_check(raw_lines: DataFrame, required: DataFrame, keys: tuple[str, ...
     )
     hits = (
         raw_lines.select(*group, strip(F.col("raw")).alias("line"))
-        .join(need, "line", "left_semi")
+        .join(broadcast_if_small(need), "line", "left_semi")
         .groupBy(*group)
         .agg(F.count_distinct("line").alias("n_present"))
     )

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineseek.operators.patterns import batch_search
 from lineseek.operators.requests import validate
+from lineseek.plans.joins import join_groups
 from lineseek.plans.session import materialise
 from lineseek.sources.requests import parse
 
-_OPTIONS = ("case_sensitive", "whole_line", "regex", "invert", "max_count")
+OPTIONS = ("case_sensitive", "whole_line", "regex", "invert", "max_count")
 
 
 def checked_requests(log: DataFrame, raw_col: str = "raw", **limits) -> DataFrame:
@@ -23,18 +24,14 @@ def distinct_queries(requests: DataFrame) -> DataFrame:
 
     A query that makes up a third of the log is searched a single time.
     """
-    valid = requests.where(F.col("error_code").isNull() & (F.col("command") == "search"))
-    return valid.select(query_key().alias("query_id"), "query", *[F.col(f"options.{o}") for o in _OPTIONS]).distinct()
+    return requests.where(is_search()).select("query", *[F.col(f"options.{o}") for o in OPTIONS]).distinct()
 
 
-def query_key():
-    """Key of a (query, options) pair."""
-    return F.xxhash64("query", *[F.coalesce(F.col(f"options.{o}").cast("int"), F.lit(0)) for o in _OPTIONS])
+def is_search() -> Column:
+    return F.col("error_code").isNull() & (F.col("command") == "search")
 
 
-def answer(
-    log: DataFrame, index: DataFrame, raw_col: str = "raw", **limits
-) -> tuple[DataFrame, DataFrame]:
+def answer(log: DataFrame, index: DataFrame, raw_col: str = "raw", **limits) -> tuple[DataFrame, DataFrame]:
     """(responses, matches).
 
     ``responses``: each request with ``error_code, error_message, query_id`` and
@@ -44,11 +41,14 @@ def answer(
     """
     # the requests are needed for the queries and again for the responses
     requests = materialise(checked_requests(log, raw_col, **limits), "requests")
-    queries = distinct_queries(requests)
+    # written down, so that every later use sees the same ids
+    numbered = distinct_queries(requests).withColumn("query_id", F.monotonically_increasing_id())
+    queries = materialise(numbered, "queries")
     matches = materialise(batch_search(index, queries), "answers")
-    counts = queries.select("query_id").join(
-        matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left"
-    ).select("query_id", F.coalesce("n", F.lit(0)).alias("count"))
-    is_search = F.col("error_code").isNull() & (F.col("command") == "search")
-    responses = requests.withColumn("query_id", F.when(is_search, query_key())).join(counts, "query_id", "left")
+    found = matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = queries.join(found, "query_id", "left").select(
+        "query", *OPTIONS, "query_id", F.coalesce("n", F.lit(0)).alias("count")
+    )
+    asked = requests.select("*", *[F.when(is_search(), F.col(f"options.{o}")).alias(o) for o in OPTIONS])
+    responses = join_groups(asked, counts, ["query", *OPTIONS], "left").drop(*OPTIONS)
     return responses, matches

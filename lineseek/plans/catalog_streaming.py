@@ -73,7 +73,7 @@ def request_metrics_sliding(spark, sf_dir):
     return rounded(metrics.per_window(log, "ts", ("event_type",), "1 day", "6 hours"))
 
 
-CLOSED = "ws + 60000000 <= (SELECT epoch_ms(max(ts)) * 1000 FROM events) - 600000000"
+CLOSED = "ws + 60000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events) - 600000000"
 
 
 @register(sql_windows(60, 60))
@@ -89,7 +89,7 @@ def stream_metrics_60s(spark, sf_dir):
 
 
 # rows of the last millisecond are still waiting for the watermark
-PASSED = "ts_us < (SELECT epoch_ms(max(ts)) * 1000 FROM events)"
+PASSED = "ts_us < (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events)"
 
 
 def _decided(out: DataFrame) -> DataFrame:

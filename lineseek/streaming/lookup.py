@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lineseek.functions.text import normalise_query
 from lineseek.functions.verdicts import verdict
-from lineseek.operators.membership import lookup
+from lineseek.operators.membership import anti, lookup
 
 
 def live_lookup(requests: DataFrame, corpus: DataFrame, query_col: str = "query") -> DataFrame:
@@ -45,8 +45,9 @@ def lookup_batches(requests: DataFrame, corpus_path: str, out_path: str, query_c
 def grow_corpus(lines: DataFrame, index_path: str):
     """Writer that adds the new lines of each micro-batch to the corpus table.
 
-    Known lines are left out by an anti join with the table, so the stream keeps
-    no state. A retried batch replaces its own folder, which the join leaves out.
+    Known lines are left out by looking the batch up in the table (which is
+    filtered where it is read, not shuffled), so the stream keeps no state. A
+    retried batch replaces its own folder, which the lookup leaves out.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
@@ -54,7 +55,7 @@ def grow_corpus(lines: DataFrame, index_path: str):
         fresh = batch.select("line").distinct()
         known = _corpus(spark, index_path, batch_id)
         if known is not None:
-            fresh = fresh.join(known, "line", "left_anti")
+            fresh = anti(fresh, known, "line")
         fresh.write.mode("overwrite").parquet(f"{index_path}/batch={batch_id}")
 
     return lines.writeStream.foreachBatch(one_batch)
