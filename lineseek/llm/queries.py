@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lineseek.llm import minhash
+from lineseek.llm import bpe, minhash, packing
 from lineseek.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_minmax_near_duplicates,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op2_best_fit_packing, op4_segment_tree_bpe, op6_minmax_near_duplicates,
+)}
 ORACLE: dict[str, str] = {}
