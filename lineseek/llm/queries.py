@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lineseek.llm import bpe, minhash, packing
+from lineseek.llm import bpe, lm, minhash, packing
 from lineseek.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def fold(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -25,7 +30,12 @@ def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op9_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op2_best_fit_packing, op4_segment_tree_bpe, op6_minmax_near_duplicates,
+    op9_log_frequency_bloom_lm,
 )}
 ORACLE: dict[str, str] = {}
