@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineseek.llm import bpe, lm, minhash, packing
+from lineseek.llm import bpe, gam, lm, minhash, packing
 from lineseek.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3) == 1)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,7 +39,7 @@ def op9_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_best_fit_packing, op4_segment_tree_bpe, op6_minmax_near_duplicates,
+    op1_additive_quality, op2_best_fit_packing, op4_segment_tree_bpe, op6_minmax_near_duplicates,
     op9_log_frequency_bloom_lm,
 )}
 ORACLE: dict[str, str] = {}
