@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineseek.llm import bpe, gam, lm, minhash, packing
+from lineseek.llm import bpe, embed, gam, lm, minhash, packing
 from lineseek.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_subspace_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -39,7 +43,7 @@ def op9_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_additive_quality, op2_best_fit_packing, op4_segment_tree_bpe, op6_minmax_near_duplicates,
+    op1_additive_quality, op2_best_fit_packing, op4_segment_tree_bpe, op5_subspace_near_duplicates, op6_minmax_near_duplicates,
     op9_log_frequency_bloom_lm,
 )}
 ORACLE: dict[str, str] = {}
