@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineseek.llm import bpe, embed, gam, lm, minhash, packing
+from lineseek.llm import bpe, embed, gam, lm, minhash, packing, rules
 from lineseek.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_decision_list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,7 +47,7 @@ def op9_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_additive_quality, op2_best_fit_packing, op4_segment_tree_bpe, op5_subspace_near_duplicates, op6_minmax_near_duplicates,
+    op1_additive_quality, op2_best_fit_packing, op3_decision_list_rules, op4_segment_tree_bpe, op5_subspace_near_duplicates, op6_minmax_near_duplicates,
     op9_log_frequency_bloom_lm,
 )}
 ORACLE: dict[str, str] = {}
