@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineseek.llm import bpe, embed, gam, lm, minhash, packing, passages, rules
+from lineseek.llm import bpe, embed, gam, lm, minhash, packing, passages, pii, rules
 from lineseek.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,8 +50,12 @@ def op9_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), fold(7) == 2)
 
 
+def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_additive_quality, op2_best_fit_packing, op3_decision_list_rules, op4_segment_tree_bpe, op5_subspace_near_duplicates, op6_minmax_near_duplicates,
-    op7_compact_window_passages, op9_log_frequency_bloom_lm,
+    op7_compact_window_passages, op9_log_frequency_bloom_lm, op10_bootstrapped_pii,
 )}
 ORACLE: dict[str, str] = {}
