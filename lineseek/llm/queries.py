@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineseek.llm import bpe, embed, gam, lm, minhash, packing, passages, pii, rules
+from lineseek.llm import bpe, embed, gam, html, lm, minhash, packing, passages, pii, rules
 from lineseek.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op7_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(table(spark, sf_dir, "documents"))
 
 
+def op8_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), fold(7) == 2)
 
@@ -56,6 +60,6 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_additive_quality, op2_best_fit_packing, op3_decision_list_rules, op4_segment_tree_bpe, op5_subspace_near_duplicates, op6_minmax_near_duplicates,
-    op7_compact_window_passages, op9_log_frequency_bloom_lm, op10_bootstrapped_pii,
+    op7_compact_window_passages, op8_wrapper_main_text, op9_log_frequency_bloom_lm, op10_bootstrapped_pii,
 )}
 ORACLE: dict[str, str] = {}
