@@ -220,3 +220,19 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int =
     model, table = learn(docs, labels, ~held, sample, key, text, label)
     scored = table.mapInArrow(_scores(model), "doc_id long, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _select(model: Additive, place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(place).fill_null("")
+            good = [model.score(features(data, offsets)) >= 0.5 for _, _, data, offsets in chunks(text)]
+            yield batch.filter(pa.array(np.concatenate(good))) if good else batch
+
+    return run
+
+
+def accepted(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
+    """The rows of ``docs`` that the classifier predicts to be good, with all their columns, unchanged."""
+    model, _ = learn(docs, labels, ~F.coalesce(held_out, F.lit(False)))
+    return docs.mapInArrow(_select(model, docs.columns.index("text")), docs.schema)

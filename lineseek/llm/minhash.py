@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineseek.llm.common import Scratch, chunks, lists, mix, numbers, shingles, texts, words
@@ -168,3 +168,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     out = digest.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the one of smallest id.
+
+    Rows without an id stay; of rows that repeat an id one stays.
+    """
+    kept = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    both = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left").where("doc_id is null or __kept is not null")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    return both.withColumn("__row", first).where("doc_id is null or __row = 1").select(*docs.columns)
