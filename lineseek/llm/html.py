@@ -3,7 +3,7 @@
 Pages of a host come from one template. Their token streams are aligned one after
 the other; where they differ, the wrapper gets an optional group, a repeated
 group or a text slot. The wrapper says which element holds the text that varies
-from page to page, and which slots inside it say the same on every page.
+from page to page.
 """
 
 from __future__ import annotations
@@ -38,8 +38,6 @@ WORDS = re.compile(
     r"gdpr|header|login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo|promos|promotion|related|replies|reply|"
     r"search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|sponsors|subscribe|toolbar|topbar|widget|complementary|contentinfo)(?:$|[^a-z])")
 MAIN = re.compile(r"(?:^|[^a-z])(?:main|article|articlebody|post|postbody|entry|story|content)(?:$|[^a-z])")
-#: A slot that says the same on so many pages or more is part of the template.
-PAGES = 5
 
 
 def opened(name: str, rest: str) -> tuple[str, bool, bool]:
@@ -98,9 +96,9 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     yield from close("")
 
 
-# A wrapper node: [label, children, optional, repeated, beside, main, first text, varies, signs, pages]
+# A wrapper node: [label, children, optional, repeated, beside, main, first text, varies, signs]
 def node(label: str, beside: bool = False, main: bool = False) -> list:
-    return [label, [], False, False, beside, main, None, False, 0, 1]
+    return [label, [], False, False, beside, main, None, False, 0]
 
 
 def tree(page: str) -> list:
@@ -140,7 +138,7 @@ def merge(a: list, b: list) -> list:
     """Align two wrappers of one element."""
     children = a[1] if not b[1] and not a[1] else align(a[1], b[1])
     return [a[0], children, a[2] or b[2], a[3] or b[3], a[4] or b[4], a[5] or b[5], a[6],
-            a[7] or b[7] or a[6] != b[6], a[8] + b[8], a[9] + b[9]]
+            a[7] or b[7] or a[6] != b[6], a[8] + b[8]]
 
 
 def align(a: list, b: list) -> list:
@@ -184,47 +182,43 @@ def expression(w: list) -> str:
     return f"({body}){mark}" if mark else body
 
 
-def rules(w: list) -> dict:
-    """What the wrapper says of a host: paths of the article's element, best first, and paths of template text in it."""
+def rules(w: list) -> list[str]:
+    """Paths of the element that holds a host's articles, best first.
+
+    Elements named so are ranked by their name and the text they hold. Where there
+    is none, the way leads down from the root as long as one child holds most of
+    the text; on hosts of several pages, text that varies between them.
+    """
     found: list[tuple[bool, int, int, str]] = []
-    constant: dict[str, list[bool]] = {}
 
-    def size(x: list) -> int:
+    def size(x: list, varying: bool = False) -> int:
         if x[0] == "#":
-            return x[8]
-        return 0 if x[4] else sum(map(size, x[1]))
+            return x[8] if x[7] or x[3] or not varying else 0
+        return 0 if x[4] else sum(size(c, varying) for c in x[1])
 
     def walk(x: list, path: str, depth: int) -> None:
-        if x[4]:
-            return
-        if x[0] == "#":
-            constant.setdefault(path, []).append(not x[7] and not x[3] and x[9] >= PAGES)
+        if x[4] or x[0] == "#":
             return
         path = f"{path}/{x[0]}" if x[0] else path
         if x[5]:
-            named = x[0].split(".")[0] in ("article", "main")
-            found.append((named, size(x), -depth, path))
+            found.append((x[0].split(".")[0] in ("article", "main"), size(x), -depth, path))
         for c in x[1]:
             walk(c, path, depth + 1)
 
     walk(w, "", 0)
-    if not found:  # no element is called so: go down while one child holds most of the text
-        at, path = w, ""
-        while True:
-            most = max((c for c in at[1] if c[0] != "#"), key=size, default=None)
-            if most is None or size(most) * 10 < size(at) * 6 or most[0].split(".")[0] in INLINE | {"p", "h1", "h2", "h3"}:
-                break
-            at, path = most, f"{path}/{most[0]}"
-        found = [(False, size(at), 0, path)]
-    best = [p for *_, p in sorted(found, reverse=True)]
-    inside = {p: all(v) for p, v in constant.items() if any(p == b or p.startswith(b + "/") for b in best[:1])}
-    template = [p for p, same in inside.items() if same] if not all(inside.values()) else []
-    return {"main": best, "template": template}
-
-
-def extract(page: str, rule: dict) -> str:
+    if found:
+        return [p for *_, p in sorted(found, reverse=True)]
+    varying = size(w, True) > 0
+    at, path = w, ""
+    while True:
+        most = max((c for c in at[1] if c[0] != "#"), key=lambda c: size(c, varying), default=None)
+        if most is None or size(most, varying) * 10 < size(at, varying) * 6 or most[0].split(".")[0] in INLINE | {"p", "h1", "h2", "h3"}:
+            return [path]
+        at, path = most, f"{path}/{most[0]}"
+
+
+def extract(page: str, main: list[str]) -> str:
     """The article's text of one page: white space is one space, blocks are joined by one space."""
-    main, template = rule["main"], set(rule["template"])
     parts: dict[str, list[str]] = {}
     path, names = "", []
     inside: list[tuple[str, int]] = []
@@ -247,9 +241,8 @@ def extract(page: str, rule: dict) -> str:
                 parts[p].append(" ")
             rest.append(" ")
         elif not beside:
-            if path not in template:
-                for p, _ in inside:
-                    parts[p].append(value)
+            for p, _ in inside:
+                parts[p].append(value)
             rest.append(value)
     chosen = next((parts[p] for p in main if p in parts), rest)
     return " ".join("".join(chosen).split())
@@ -275,12 +268,12 @@ def _join(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, dict] = {}
+    known: dict[str | None, list[str]] = {None: []}
     for batch in batches:
         out = []
         for page, rule in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
             if rule not in known:
-                known[rule] = json.loads(rule) if rule else {"main": [], "template": []}
+                known[rule] = json.loads(rule)
             out.append(extract(page.as_py(), known[rule]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                                          ["page_id", "url", "text", "n_chars"])
