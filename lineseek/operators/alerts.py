@@ -116,17 +116,18 @@ def transitions(
 ) -> DataFrame:
     """Rows at which a state changes; ``change`` is raised or resolved.
 
-    A series starts out quiet. The last state of each time slice is found by an
+    A series starts out quiet, and an unknown (null) state leaves it as it was. The last state of each time slice is found by an
     aggregation and handed to the next slice, so a busy series is many tasks.
     """
     sliced = states_df.withColumn("__slice", slice_of(F.col(order[0]), slice_seconds))
-    last = sliced.groupBy(*keys, "__slice").agg(F.max_by(firing, F.struct(*order)).alias("__last"))
+    last = sliced.groupBy(*keys, "__slice").agg(F.max_by(firing, F.when(F.col(firing).isNotNull(), F.struct(*order))).alias("__last"))
     handed = last.select(
         *keys, "__slice",
-        F.lag("__last", 1, False).over(W.partitionBy(*keys).orderBy("__slice")).alias("__carried"),
+        F.coalesce(F.last("__last", ignorenulls=True).over(
+            W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(False)).alias("__carried"),
     )
-    inside = W.partitionBy(*keys, "__slice").orderBy(*order)
-    before = F.coalesce(F.lag(firing).over(inside), F.col("__carried"))
+    inside = W.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.last(firing, ignorenulls=True).over(inside), F.col("__carried"))
     return (
         join_groups(sliced, handed, [*keys, "__slice"])
         .withColumn("__before", before)

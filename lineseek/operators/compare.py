@@ -19,7 +19,7 @@ def run_metrics(runs: DataFrame, run_col: str, value: str, duration_seconds: Dat
     """
     keys = [run_col]
     sums = runs.groupBy(*keys).agg(*summary_columns(value), *outcome_columns())
-    wide = on_groups(sums, percentiles(runs, keys, value), keys).join(duration_seconds, run_col)
+    wide = on_groups(sums, percentiles(runs, keys, value), keys, how="left").join(duration_seconds, run_col)
     metrics = {
         "avg_response_time": F.col("avg_response_time"),
         "success_rate": F.col("success_rate"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lineseek.functions.text import strip
+from lineseek.operators.membership import anti, semi
 
 
 def exact_view(lines: DataFrame) -> DataFrame:
@@ -75,11 +76,11 @@ def sorted_lines(lines: DataFrame) -> DataFrame:
 
 def missing(required: DataFrame, lines: DataFrame) -> DataFrame:
     """Required lines the corpus lacks (set difference)."""
-    return required.select("line").subtract(lines.select("line"))
+    return anti(required.select("line").distinct(), lines, "line")
 
 
 def present(required: DataFrame, lines: DataFrame) -> DataFrame:
-    return required.select("line").intersect(lines.select("line"))
+    return semi(required.select("line").distinct(), lines, "line")
 
 
 def sample_entries(lines: DataFrame, n: int = 5, digest: str = "xxhash64") -> DataFrame:

@@ -117,6 +117,7 @@ def substring_matches(
 
     ``patterns`` has ``(pattern_id bigint, pattern string)``; ``line_key`` is
     unique in ``lines``. ``strategy``: auto, scan or grams - same rows each way.
+    Bytes that are not UTF-8 count as (and come out as) U+FFFD.
     ``within``: columns of both tables that must be equal as well (``line_key`` is
     then unique together with them).
 
@@ -129,6 +130,8 @@ def substring_matches(
     if strategy not in ("auto", "scan", "grams"):
         raise ValueError("strategy must be auto, scan or grams")
     patterns = patterns.where(F.length("pattern") > 0).select("pattern_id", "pattern", *within)
+    # places are counted in characters: both strategies see the same, valid ones
+    lines = lines.withColumn(text_col, F.make_valid_utf8(text_col))
     # one row per length up to that of the long band
     size = F.least(F.length("pattern"), F.lit(LONG_BAND[0]))
     counts = {r["n"]: r["count"] for r in patterns.groupBy(size.alias("n")).count().collect()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from lineseek.functions import regex
-from lineseek.plans.sizing import broadcast_if_small
+from lineseek.plans.session import materialise
 
 # Default limits and the known commands.
 MAX_PATTERN_CHARS = 1000
@@ -33,10 +33,10 @@ def _compiles(patterns: pd.Series) -> pd.Series:
     return patterns.map(regex.is_valid)
 
 
-def valid_patterns(requests: DataFrame) -> DataFrame:
-    """Distinct regex patterns of a log with a flag: each is compiled once."""
+def valid_patterns(requests: DataFrame, max_pattern_chars: int = MAX_PATTERN_CHARS) -> DataFrame:
+    """Distinct regex patterns of a log, up to the length that is let in, with a flag: each is compiled once."""
     return (
-        requests.where(F.col("options.regex") & (F.length("query") <= MAX_PATTERN_CHARS))
+        requests.where(F.col("options.regex") & (F.length("query") <= max_pattern_chars))
         .select("query")
         .distinct()
         .withColumn("pattern_ok", _compiles("query"))
@@ -55,7 +55,7 @@ def validate(
     The size test comes first, so an oversized request is not looked at further.
     """
     if check_patterns:
-        checked = broadcast_if_small(valid_patterns(requests))
+        checked = materialise(valid_patterns(requests, max_pattern_chars), "patterns")
         requests = requests.join(checked, "query", "left").withColumn(
             "pattern_ok", F.coalesce("pattern_ok", F.lit(True))
         )

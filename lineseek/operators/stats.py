@@ -18,12 +18,12 @@ REPORT_PERCENTILES = (50, 75, 90, 95, 99)
 HISTOGRAM_BINS = 50
 
 
-def on_groups(left: DataFrame, right: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
+def on_groups(left: DataFrame, right: DataFrame, keys: list[str], small: bool = False, how: str = "inner") -> DataFrame:
     """Join two per-group results; without keys both hold one row."""
     if keys:
-        return join_groups(left, right, keys, small=small)
+        return join_groups(left, right, keys, how, small)
     one = right.withColumn("__one", F.lit(1))  # a single row
-    return join_groups(left.withColumn("__one", F.lit(1)), one, ["__one"], small=True).drop("__one")
+    return join_groups(left.withColumn("__one", F.lit(1)), one, ["__one"], how, True).drop("__one")
 
 
 def summary_columns(value: str) -> list[Column]:
@@ -101,23 +101,23 @@ def throughput_fixed(df: DataFrame, keys: list[str], duration_seconds: float) ->
 
 def load_test_report(df: DataFrame, keys: list[str], ts_seconds: Column, value: str = "response_ms") -> DataFrame:
     """The full load-test analysis, one row per run: one aggregation and one
-    quantile pass."""
+    quantile pass. A run without any time (all failed) has null quantiles."""
     sums = df.groupBy(*keys).agg(*summary_columns(value), throughput_column(ts_seconds), *outcome_columns())
     ranks = {
         "median_response_time": (0.5, "linear"),
         "p95_response_time": (0.95, "exclusive"),
         "p99_response_time": (0.99, "exclusive"),
     }
-    return on_groups(sums, mixed_quantiles(df, keys, value, ranks), keys)
+    return on_groups(sums, mixed_quantiles(df, keys, value, ranks), keys, how="left")
 
 
 def histogram(df: DataFrame, keys: list[str], value: str = "response_ms", bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins between minimum and maximum; the last bin is closed.
 
     When all values are equal the range is widened by 0.5 on both sides. Empty
-    bins are listed with 0.
+    bins are listed with 0. Values that are not finite are left out.
     """
-    counts = value_counts(df, keys, value)
+    counts = value_counts(df.where(F.abs(value) < float("inf")), keys, value)
     group = keys or ["__all"]
     if not keys:
         counts = counts.withColumn("__all", F.lit(1))

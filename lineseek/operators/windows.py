@@ -197,10 +197,10 @@ def degradation(
     )
 
 
-def gauges(df: DataFrame, keys: list[str], ts: str, value: str, red_at: float = GAUGE_RED) -> DataFrame:
-    """Latest non-null value of every metric and its colour."""
+def gauges(df: DataFrame, keys: list[str], order: list[str], value: str, red_at: float = GAUGE_RED) -> DataFrame:
+    """Latest non-null value of every metric and its colour; ``order`` ends with what breaks ties of time."""
     seen = df.where(F.col(value).isNotNull())
-    return seen.groupBy(*keys).agg(F.max_by(value, ts).alias("latest")).withColumn(
+    return seen.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("latest")).withColumn(
         "colour", F.when(F.col("latest") >= red_at, "red").otherwise("green")
     )
 

@@ -14,7 +14,7 @@ from lineseek.plans.registry import SQL_LINES, register, rs, sql_strip, table
 from lineseek.plans.session import scratch_path
 from lineseek.sources import lines as sources
 from lineseek.streaming import admission, alerts, lookup, metrics
-from lineseek.streaming.run import drain, drain_writer, rocksdb
+from lineseek.streaming.run import drain, drain_writer, replay, rocksdb
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+#: Events come in several files and up to an hour out of order; streams wait for them so long.
+DELAY = "2 hours"
+
+
+def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay(table(spark, sf_dir, "events"), "ts", "events")
+
+
 FIRST_LINE = sql_strip("string_split(text, chr(10))[1]")
 
 
@@ -41,7 +49,9 @@ def stream_corpus_growth(spark, sf_dir):
     """Lines of arriving documents added to a corpus table."""
     arriving = sources.clean(sources.from_table(stream(spark, sf_dir, "documents"), "doc_id", "text"))
     path = scratch_path(spark, "grown")
-    drain_writer(lookup.grow_corpus(arriving, path), "growth", spark)
+    # two streams with checkpoints of their own, the second on the corpus of the first
+    for half in (0, 1):
+        drain_writer(lookup.grow_corpus(arriving.where(F.col("path") % 2 <= half), path), "growth", spark)
     return spark.read.parquet(path).select("line")
 
 
@@ -54,8 +64,8 @@ def _request_log(df: DataFrame) -> DataFrame:
     )
 
 
-def sql_windows(width: int, slide: int, keys: str = "", closed: str = "true") -> str:
-    """Window metrics in SQL; ``closed`` limits to windows a stream has closed."""
+def sql_windows(width: int, slide: int, keys: str = "") -> str:
+    """Window metrics in SQL."""
     return f"""WITH e AS (SELECT epoch_us(ts) AS t, * FROM events),
 w AS (SELECT *, (t // {slide * 1_000_000} - k) * {slide * 1_000_000} AS ws FROM e, (SELECT unnest(range({width // slide})) AS k) s)
 SELECT ws AS window_start_us, {keys} count(*) AS requests, {rs('avg(value)')} AS mean_ms,
@@ -63,7 +73,7 @@ SELECT ws AS window_start_us, {keys} count(*) AS requests, {rs('avg(value)')} AS
   {rs("count(*) FILTER (event_type = 'error')::DOUBLE / count(*)")} AS error_rate,
   {rs("count(*) FILTER (event_type = 'view') * 100.0::DOUBLE / count(*)")} AS found_rate,
   sum(strlen(props))::BIGINT AS bytes
-FROM w WHERE t >= ws AND t < ws + {width * 1_000_000} AND {closed} GROUP BY ALL"""
+FROM w WHERE t >= ws AND t < ws + {width * 1_000_000} GROUP BY ALL"""
 
 
 @register(sql_windows(DAY, DAY // 4, "event_type,"))
@@ -73,23 +83,22 @@ def request_metrics_sliding(spark, sf_dir):
     return rounded(metrics.per_window(log, "ts", ("event_type",), "1 day", "6 hours"))
 
 
-CLOSED = "ws + 60000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events) - 600000000"
-
-
 @register(sql_windows(60, 60))
 def request_metrics_60s(spark, sf_dir):
     return rounded(metrics.per_window(_request_log(table(spark, sf_dir, "events"))))
 
 
-@register(sql_windows(60, 60, closed=CLOSED))
+@register(sql_windows(60, 60))
 def stream_metrics_60s(spark, sf_dir):
-    """Stream form: windows the watermark (10 minutes behind) has closed."""
-    log = _request_log(stream(spark, sf_dir, "events"))
-    return rounded(drain(metrics.per_window(log, delay="10 minutes"), "metrics"))
+    """Stream form, events out of order."""
+    return rounded(drain(metrics.per_window(_request_log(arriving_events(spark, sf_dir)), delay=DELAY), "metrics"))
 
 
-# rows of the last millisecond are still waiting for the watermark
-PASSED = "ts_us < (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events)"
+@register(sql_windows(DAY, DAY // 4, "event_type,"))
+def stream_metrics_sliding(spark, sf_dir):
+    """Stream form of the sliding windows; a window's state goes when it has come out."""
+    log = _request_log(arriving_events(spark, sf_dir))
+    return rounded(drain(metrics.per_window(log, "ts", ("event_type",), "1 day", "6 hours", DELAY), "sliding"))
 
 
 def _decided(out: DataFrame) -> DataFrame:
@@ -99,21 +108,21 @@ def _decided(out: DataFrame) -> DataFrame:
     )
 
 
-@register(f"SELECT * FROM ({SQL_SLIDING}) WHERE {PASSED}")
+@register(SQL_SLIDING)
 def stream_rate_limit(spark, sf_dir):
     with rocksdb(spark):
-        log = stream(spark, sf_dir, "events")
+        log = arriving_events(spark, sf_dir)
         return _decided(
-            drain(admission.sliding_log(log, "user_id", "ts", "event_id", LOG_LIMIT, LOG_WINDOW_S), "sliding")
+            drain(admission.sliding_log(log, "user_id", "ts", "event_id", LOG_LIMIT, LOG_WINDOW_S, DELAY), "sliding")
         )
 
 
-@register(f"SELECT * FROM ({SQL_BUCKET}) WHERE {PASSED}")
+@register(SQL_BUCKET)
 def stream_token_bucket(spark, sf_dir):
     with rocksdb(spark):
-        log = stream(spark, sf_dir, "events")
+        log = arriving_events(spark, sf_dir)
         return _decided(
-            drain(admission.token_bucket(log, "user_id", "ts", "event_id", BUCKET_RATE, BUCKET_BURST), "bucket")
+            drain(admission.token_bucket(log, "user_id", "ts", "event_id", BUCKET_RATE, BUCKET_BURST, DELAY), "bucket")
         )
 
 
@@ -130,15 +139,16 @@ def _states(events: DataFrame) -> DataFrame:
 
 @register(f"""WITH {SQL_CHANGES}
 SELECT user_id || '/' || source AS series, event_id AS id, CASE WHEN firing THEN 'raised' ELSE 'resolved' END AS change
-FROM ch WHERE changed AND {PASSED}""")
+FROM ch WHERE changed""")
 def stream_alert_resolution(spark, sf_dir):
     with rocksdb(spark):
-        states = _states(stream(spark, sf_dir, "events"))
-        return drain(alerts.transitions(states), "transitions").select("series", "id", "change")
+        states = _states(arriving_events(spark, sf_dir))
+        return drain(alerts.transitions(states, delay=DELAY), "transitions").select("series", "id", "change")
 
 
-def _limit_alerts(events: DataFrame) -> DataFrame:
-    fired = _states(events).where("firing")
+def _limit_alerts(events: DataFrame, flush: bool = False) -> DataFrame:
+    """Alerts of a stream; with ``flush`` the row without an event passes too, as it only moves the watermark."""
+    fired = _states(events).where("firing or id is null" if flush else "firing")
     level = F.when((F.col("source") == "cpu") & (F.col("value") > 200), "critical").otherwise("warning")
     return fired.select(
         F.col("ts").cast("timestamp").alias("ts"), level.alias("level"), "source",
@@ -146,16 +156,17 @@ def _limit_alerts(events: DataFrame) -> DataFrame:
     )
 
 
-@register(f"WITH {SQL_ALERTS} SELECT DISTINCT level, source, message FROM alerts")
+@register(f"""WITH {SQL_ALERTS} SELECT level, source, message, arg_min(event_id, (ts, event_id)) AS id, count(*) - 1 AS n_suppressed
+FROM alerts GROUP BY level, source, message, ts_us // {DAY * 1_000_000}""")
 def stream_alert_dedup(spark, sf_dir):
-    """Equal alerts of one batch are one notification."""
-    fired = _limit_alerts(stream(spark, sf_dir, "events"))
-    return drain(alerts.dedup(fired, "ts", "1 day"), "dedup").select("level", "source", "message")
+    """First of equal alerts of each day, events out of order."""
+    fired = _limit_alerts(arriving_events(spark, sf_dir), flush=True)
+    return drain(alerts.dedup(fired, "ts", "1 day", DELAY, "id"), "dedup").select("level", "source", "message", "id", "n_suppressed")
 
 
 @register(f"""WITH {SQL_ALERTS}
 SELECT sink, n FROM (VALUES ('json'), ('parquet')) s(sink), (SELECT count(*) AS n FROM alerts) c
-UNION ALL SELECT 'broken: failures', 1""")
+UNION ALL SELECT 'broken: missed', count(*) FROM alerts""")
 def stream_alert_routing(spark, sf_dir):
     """Three sinks, one of which fails; the other two get every alert."""
     root = scratch_path(spark, "routing")
@@ -168,15 +179,15 @@ def stream_alert_routing(spark, sf_dir):
         "json": alerts.file_sink(f"{root}/json", "json"),
         "parquet": alerts.file_sink(f"{root}/parquet", "parquet"),
     }
-    fired = _limit_alerts(stream(spark, sf_dir, "events"))
+    fired = _limit_alerts(arriving_events(spark, sf_dir))
     drain_writer(alerts.deliver(fired, sinks, f"{root}/failures"), "routing", spark)
 
     def counted(df: DataFrame, sink) -> DataFrame:
         return df.groupBy(sink.alias("sink")).agg(F.count(F.lit(1)).alias("n"))
 
-    failures = spark.read.parquet(f"{root}/failures")
+    missed = spark.read.parquet(f"{root}/failures").groupBy(F.concat("sink", F.lit(": missed")).alias("sink")).agg(F.sum("n_alerts").alias("n"))
     return (
         counted(spark.read.schema("id bigint").json(f"{root}/json"), F.lit("json"))
         .unionByName(counted(spark.read.parquet(f"{root}/parquet"), F.lit("parquet")))
-        .unionByName(counted(failures, F.concat("sink", F.lit(": failures"))))
+        .unionByName(missed)
     )

@@ -290,10 +290,10 @@ def degradation_check(spark, sf_dir):
     return rounded(windows.degradation(log, ["event_type"], ["ts_us", "event_id"], "value", 1000, DAY))
 
 
-@register("""SELECT user_id, arg_max(value, ts) AS latest, CASE WHEN arg_max(value, ts) >= 80 THEN 'red' ELSE 'green' END AS colour,
-  arg_max(value, ts) / 1024 / 1024 AS latest_mib FROM events WHERE value IS NOT NULL GROUP BY user_id""")
+@register("""SELECT user_id, latest, CASE WHEN latest >= 80 THEN 'red' ELSE 'green' END AS colour, latest / 1024 / 1024 AS latest_mib
+FROM (SELECT user_id, arg_max(value, (ts, event_id)) AS latest FROM events WHERE value IS NOT NULL GROUP BY user_id)""")
 def gauge_latest(spark, sf_dir):
-    out = windows.gauges(table(spark, sf_dir, "events"), ["user_id"], "ts", "value")
+    out = windows.gauges(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
     return out.withColumn("latest_mib", windows.resident_mib(F.col("latest")))
 
 

@@ -19,7 +19,7 @@ def _answers(client: str, rows: pd.DataFrame, admitted) -> pd.DataFrame:
 
 
 def sliding_log(
-    requests: DataFrame, client: str, ts: str, tie: str, limit: int, window_seconds: float, delay: str = "0 seconds"
+    requests: DataFrame, client: str, ts: str, tie: str, limit: int, window_seconds: float, delay: str = "10 minutes"
 ) -> DataFrame:
     """Stream form of ``operators.admission.sliding_log``. The state of a client
     that has been quiet for a window is dropped."""
@@ -36,7 +36,7 @@ def sliding_log(
 
 
 def token_bucket(
-    requests: DataFrame, client: str, ts: str, tie: str, rate: float, burst: float, delay: str = "0 seconds"
+    requests: DataFrame, client: str, ts: str, tie: str, rate: float, burst: float, delay: str = "10 minutes"
 ) -> DataFrame:
     """Stream form of ``operators.admission.token_bucket``. The state of a client
     whose bucket has filled up again is dropped."""

@@ -14,30 +14,43 @@ from lineseek.streaming.ordered import event_rows, fold_in_order
 Sink = Callable[[DataFrame, int], None]
 
 
-def dedup(alerts: DataFrame, ts: str = "ts", period: str = "5 minutes") -> DataFrame:
-    """First of equal (level, source, message) alerts; state expires by watermark."""
-    return alerts.withWatermark(ts, period).dropDuplicatesWithinWatermark(["level", "source", "message"])
+def dedup(alerts: DataFrame, ts: str = "ts", period: str = "5 minutes", delay: str = "10 minutes", tie: str | None = None) -> DataFrame:
+    """First of equal (level, source, message) alerts in each cool-down period of event time.
+
+    The stream form of ``operators.alerts.dedup``: periods are fixed stretches of
+    time, so the answer does not depend on how rows come in batches, as long as no
+    row is later than ``delay``. A period's alert comes out when the watermark has
+    passed its end, and its state goes then.
+    """
+    order = F.struct(ts, *([tie] if tie else []))
+    first = F.min_by(F.struct(*alerts.columns), order)
+    return (
+        alerts.withWatermark(ts, delay)
+        .groupBy(F.window(ts, period), "level", "source", "message")
+        .agg(first.alias("a"), F.count(F.lit(1)).alias("n"))
+        .select("a.*", (F.col("n") - 1).alias("n_suppressed"))
+    )
 
 
 def deliver(alerts: DataFrame, sinks: Mapping[str, Sink], failures_path: str):
     """Writer that gives every micro-batch to each sink.
 
-    A failing sink is recorded under ``failures_path`` and does not keep the
-    others from getting the batch. Sinks get the batch number to be idempotent.
+    A failing sink is recorded under ``failures_path`` with its problem and the
+    number of alerts it missed, and does not keep the others from getting the batch. Sinks get the batch number to be idempotent.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
-        failures = []
+        failures, n = [], batch.count()
         for name, sink in sinks.items():
             try:
                 sink(batch, batch_id)
             except Exception as problem:  # any sink error is data here
-                failures.append((batch_id, name, str(problem)[:1000]))
+                failures.append((batch_id, name, str(problem), n))
         batch.unpersist()
         if failures:
-            spark.createDataFrame(failures, "batch bigint, sink string, problem string").write.mode(
+            spark.createDataFrame(failures, "batch bigint, sink string, problem string, n_alerts bigint").write.mode(
                 "overwrite"
             ).parquet(f"{failures_path}/failed={batch_id}")
 
@@ -54,12 +67,13 @@ def file_sink(path: str, kind: str = "parquet") -> Sink:
     return write
 
 
-def transitions(states: DataFrame, series: str = "series", ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
+def transitions(states: DataFrame, series: str = "series", ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """Stream form of ``operators.alerts.transitions`` over (series, ts, id, value,
     firing). A series is one source of one server, so state is spread by both; it
     is one boolean per series."""
 
     def fold(name: str, rows: pd.DataFrame, memory: tuple | None):
+        rows = rows[rows["firing"].notna()]  # an unknown state changes nothing
         firing = rows["firing"].to_numpy(dtype=bool)
         before = np.concatenate([[bool(memory[0]) if memory else False], firing[:-1]])
         changed = firing != before
@@ -72,7 +86,7 @@ def transitions(states: DataFrame, series: str = "series", ts: str = "ts", delay
                 "change": np.where(firing[changed], "raised", "resolved"),
             }
         )
-        return out, (bool(firing[-1]),), None
+        return out, (bool(firing[-1]),) if len(firing) else memory or (False,), None
 
     rows = event_rows(states, series, ts, "id", delay, "value", "firing")
     return fold_in_order(

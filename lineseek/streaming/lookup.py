@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,23 +47,32 @@ def lookup_batches(requests: DataFrame, corpus_path: str, out_path: str, query_c
 def grow_corpus(lines: DataFrame, index_path: str):
     """Writer that adds the new lines of each micro-batch to the corpus table.
 
-    Known lines are left out by looking the batch up in the table (which is
-    filtered where it is read, not shuffled), so the stream keeps no state. A
-    retried batch replaces its own folder, which the lookup leaves out.
+    Known lines are left out by looking the batch up in everything that lies under
+    ``index_path``, whoever wrote it: a new stream with a new checkpoint goes on
+    with the corpus it finds. Folders bear the name of this writer and the batch,
+    so nothing of another run is replaced. A batch retried by this writer replaces
+    its own folder, which the lookup leaves out; one retried after a restart finds
+    the lines it had written as known.
     """
+    run = uuid.uuid4().hex
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        own = f"run={run}/batch={batch_id}"
         fresh = batch.select("line").distinct()
-        known = _corpus(spark, index_path, batch_id)
+        known = _corpus(spark, index_path, own)
         if known is not None:
             fresh = anti(fresh, known, "line")
-        fresh.write.mode("overwrite").parquet(f"{index_path}/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{index_path}/{own}")
 
     return lines.writeStream.foreachBatch(one_batch)
 
 
-def _corpus(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0:
+def _corpus(spark: SparkSession, path: str, own: str) -> DataFrame | None:
+    """All lines under the path but those of the own folder; None where there is nothing yet."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return None
-    return spark.read.schema("line string, batch bigint").parquet(path).where(F.col("batch") < batch_id).select("line")
+    rows = spark.read.schema("line string").option("recursiveFileLookup", "true").parquet(path)
+    return rows.where(~F.contains(F.col("_metadata.file_path"), F.lit(f"/{own}/"))).select("line")

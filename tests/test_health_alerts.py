@@ -81,3 +81,11 @@ def test_resolution(spark):
 def test_connection_pool_fires_at_its_limit(spark):
     df = spark.createDataFrame([(at(0), 90.0, 0.1)], "ts timestamp, connection_usage_percent double, error_rate double")
     assert {r.source: r.firing for r in alerts.states(df).collect()} == {"connection_pool": True, "error_rate": False}
+
+
+def test_unknown_states_change_nothing(spark):
+    rows = [("cpu", i * 40_000_000, i, f) for i, f in enumerate([True, None, None, False, None, False, True])]
+    states = spark.createDataFrame(rows, "source string, ts_us bigint, id bigint, firing boolean")
+    for seconds in (30, 60, 3600):
+        got = [(r.id, r.change) for r in alerts.transitions(states, ["source"], ["ts_us", "id"], slice_seconds=seconds).orderBy("id").collect()]
+        assert got == [(0, "raised"), (3, "resolved"), (6, "raised")]

@@ -100,3 +100,13 @@ def test_request_metrics(spark):
     df = spark.createDataFrame([("abc", 2, 0.5), ("é", 0, 0.0)], "query string, count bigint, duration double")
     got = [(r.search_pattern_length, r.search_result_count, r.search_throughput) for r in requests.request_metrics(df).collect()]
     assert got == [(3, 2, 2.0), (1, 0, 0.0)]
+
+
+def test_patterns_are_compiled_up_to_the_limit_in_force(spark):
+    import json
+
+    broken = "a" * 1500 + "("
+    rows = [(json.dumps({"query": broken, "options": {"regex": True}}),)]
+    df = parse(spark.createDataFrame(rows, "raw string"))
+    assert requests.validate(df, max_pattern_chars=5000).first().error_code == "INVALID_PATTERN"
+    assert requests.validate(df).first().error_message == "Query too long"

@@ -184,3 +184,14 @@ def test_raw_containment_differs_from_line_match(spark):
     assert membership.any_line_contains(raw, "0;6").first()[0] is True
     assert membership.any_line_contains(raw, "  7").first()[0] is True
     assert membership.any_line_contains(raw.limit(0), "x").first()[0] is False
+
+
+def test_strategies_agree_on_bytes_that_are_not_utf8(spark):
+    raw = spark.createDataFrame([(1, bytearray(b"\xc3(needle in hay\xff needle")), (2, bytearray(b"ok needle")), (3, bytearray(b"none"))], "first_pos bigint, b binary")
+    lines = raw.select("first_pos", F.col("b").cast("string").alias("line"))
+    wanted = spark.createDataFrame([(7, "needle in"), (8, "needle"), (9, "ay� ne")], "pattern_id bigint, pattern string")
+    found = [
+        {(r.pattern_id, r.first_pos) for r in patterns.substring_matches(lines, wanted, strategy=s).select("pattern_id", "first_pos").collect()}
+        for s in ("scan", "grams", "auto")
+    ]
+    assert found[0] == found[1] == found[2] == {(7, 1), (8, 1), (8, 2), (9, 1)}

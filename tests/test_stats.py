@@ -123,3 +123,17 @@ def test_requirements(spark):
     got = {r.size: (r.snapshot_ms, r.reread_ms, r.meets_requirement) for r in compare.requirement_check(snap, again, "size").collect()}
     inf = float("inf")
     assert got == {1: (0.4, 40.0, True), 2: (0.6, 1.0, False), 3: (0.5, inf, False), 4: (inf, 1.0, False)}
+
+
+def test_a_run_that_failed_throughout_stays_in_the_reports(spark):
+    rows = [("good", 1.0 * i, 5.0 + i, True) for i in range(10)] + [("dead", 1.0 * i, None, False) for i in range(4)]
+    df = spark.createDataFrame(rows, "g string, at double, response_ms double, ok boolean")
+    df = df.withColumn("success", F.col("ok")).withColumn("error", F.when(~F.col("ok"), "down"))
+    report = {r.g: r for r in stats.load_test_report(df, ["g"], F.col("at")).collect()}
+    assert set(report) == {"good", "dead"} and report["dead"].p95_response_time is None and report["dead"].error_count == 4
+
+
+def test_histogram_leaves_infinite_values_out(spark):
+    df = samples(spark, [1, 2, 3, 4, float("inf"), float("nan"), float("-inf")])
+    bins = stats.histogram(df, ["g"], bins=3).orderBy("bin").collect()
+    assert [r.n for r in bins] == [1, 1, 2] and bins[0].bin_start == 1 and bins[2].bin_end == 4

@@ -9,7 +9,7 @@ from lineseek.operators.ordered import micros
 from lineseek.plans.catalog_telemetry import rounded
 from lineseek.sources import lines as sources
 from lineseek.streaming import admission, alerts, lookup, metrics
-from lineseek.streaming.run import drain, drain_writer, rocksdb
+from lineseek.streaming.run import drain, drain_writer, replay, rocksdb
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "client string, ts timestamp, id bigint, value double, firing boolean"
@@ -115,7 +115,9 @@ def test_dedup_and_routing(spark, tmp_path):
     schema = "ts timestamp, level string, source string, message string, details map<string,string>"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "a"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "a"))
-    assert drain(alerts.dedup(stream), "t-dedup").count() == 1
+    late = replay(spark.createDataFrame(rows[::-1], schema).repartition(3), "ts", "t-alerts", 2, 3)
+    only = drain(alerts.dedup(late), "t-dedup").collect()
+    assert [(r.details["k"], r.n_suppressed) for r in only] == [("0", 4)]
 
     def broken(batch, batch_id):
         raise RuntimeError("down")
@@ -124,7 +126,7 @@ def test_dedup_and_routing(spark, tmp_path):
     drain_writer(alerts.deliver(stream, sinks, str(tmp_path / "failed")), "t-route", spark)
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 5 and spark.read.json(str(tmp_path / "json")).count() == 5
     failure = spark.read.parquet(str(tmp_path / "failed")).first()
-    assert failure.sink == "broken" and failure.problem == "down"
+    assert failure.sink == "broken" and failure.problem == "down" and failure.n_alerts == 5
 
 
 def test_stream_of_text_lines_is_cleaned_like_a_batch(spark, tmp_path):
@@ -134,3 +136,28 @@ def test_stream_of_text_lines_is_cleaned_like_a_batch(spark, tmp_path):
     got = drain(sources.clean(sources.from_table(stream, "id", "text")), "t-lines")
     want = sources.clean(sources.from_table(docs, "id", "text"))
     assert set(got.collect()) == set(want.select(*got.columns).collect())
+
+
+def test_a_new_stream_goes_on_with_the_corpus_it_finds(spark, tmp_path):
+    grown = str(tmp_path / "grown")
+    for k, text in enumerate(("one\ntwo\n", "two\nthree\n", "one\nfour\n")):
+        folder = tmp_path / f"in{k}"
+        folder.mkdir()
+        (folder / "1.txt").write_text(text)
+        stream = spark.readStream.text(str(folder)).withColumnRenamed("value", "line")
+        writer = lookup.grow_corpus(stream, grown).option("checkpointLocation", str(tmp_path / f"cp{k}"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.line for r in spark.read.parquet(grown).collect()) == ["four", "one", "three", "two"]
+
+
+def test_decisions_do_not_depend_on_batches(spark):
+    rows = [(f"c{i % 3}", T0 + dt.timedelta(seconds=7 * i), i, float(i % 5), None if i % 7 == 0 else i % 4 == 1) for i in range(90)]
+    table = spark.createDataFrame(rows, "client string, ts timestamp, id bigint, value double, firing boolean")
+    log = table.withColumn("ts_us", micros(F.col("ts")))
+    with rocksdb(spark):
+        got = drain(admission.sliding_log(replay(table, "ts", "t-replay", 4, 60), "client", "ts", "id", 3, 60), "t-late")
+        want = batch_admission.sliding_log(log, "client", "ts_us", "id", 3, 60)
+        assert set(got.collect()) == set(want.select(*got.columns).collect())
+        got = drain(alerts.transitions(replay(table, "ts", "t-replay", 4, 60), "client"), "t-late")
+        want = batch_alerts.transitions(log, ["client"], ["ts_us", "id"], slice_seconds=60)
+        assert {(r.series, r.id, r.change) for r in got.collect()} == {(r.client, r.id, r.change) for r in want.collect()}

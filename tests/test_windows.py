@@ -107,7 +107,7 @@ def test_degradation(spark):
 
 def test_gauges_and_sessions(spark):
     df = spark.createDataFrame([("m", 1, 90.0), ("m", 2, 80.0), ("m", 3, None), ("k", 1, 79.9)], "m string, ts bigint, v double")
-    assert {(r.m, r.latest, r.colour) for r in windows.gauges(df, ["m"], "ts", "v").collect()} == {("m", 80.0, "red"), ("k", 79.9, "green")}
+    assert {(r.m, r.latest, r.colour) for r in windows.gauges(df, ["m"], ["ts"], "v").collect()} == {("m", 80.0, "red"), ("k", 79.9, "green")}
     log = spark.createDataFrame([("s", 1, 1, 1), ("s", 2, 2, 1), ("s", 3, 3, -1)], "s string, ts_us bigint, id bigint, d int")
     assert [r.open_sessions for r in windows.open_sessions(log, ["s"], ["ts_us", "id"], F.col("d")).orderBy("id").collect()] == [1, 2, 1]
 
