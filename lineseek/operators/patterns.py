@@ -190,11 +190,14 @@ def regex_matches(
 ) -> DataFrame:
     """Every (pattern, line) where the regex is found in the line.
 
-    Invalid patterns match nothing here; ``operators.requests`` reports them.
+    Invalid patterns match nothing here; ``operators.requests`` reports them. A
+    pattern that the JVM refuses is left out as well, so it fails no other one.
     """
     def test(r: Row) -> Column | None:
         if regex.is_valid(r["pattern"]):
-            return F.col(text_col).rlike(regex.to_jvm(r["pattern"], ignore_case))
+            translated = regex.to_jvm(r["pattern"], ignore_case)
+            if regex.runs_on_jvm(lines.sparkSession, translated):
+                return F.col(text_col).rlike(translated)
         return None
 
     return _passes(lines, patterns.select("pattern_id", "pattern"), test)

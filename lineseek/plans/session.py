@@ -34,10 +34,13 @@ def build(app: str = "lineseek", master: str | None = None, **extra: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    A private temporary folder is used only where none is configured (tests).
+    A private temporary folder is used only on one machine (tests); a cluster
+    without a shared folder is an error, as its machines would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="lineseek-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

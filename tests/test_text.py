@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -80,3 +81,18 @@ def test_trace_sampling_is_by_id_and_follows_the_parent(spark):
 def test_small_helpers(spark):
     row = spark.range(1).select(number(F.lit(85.25), 2), bit_address(F.lit("x")), bit_address(F.lit("x"), 64, "md5")).first()
     assert row[0] == "85.25" and 0 <= row[1] < 1 << 24 and 0 <= row[2] < 64
+
+
+@pytest.mark.parametrize("pattern, texts", [
+    (r"x\vy", ["x\ny", "x\x0by"]), (r"a\100b", ["a@b", "a100b"]), (r"\U00000061b", ["ab", "b"]), (r"(?a)^\w+$", ["abc", "é"]),
+    (r"[\101\b]", ["A", "\b", "b"]), (r"(?a:\w)é", ["aé", "éé"]), (r"\0", ["\0", "0"]), (r"(?i)AB", ["xab", "b"]),
+])
+def test_spellings_that_differ_between_the_dialects(spark, pattern, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t for r in df.where(F.col("t").rlike(regex.to_jvm(pattern))).collect()}
+    assert regex.is_valid(pattern) and got == {t for t in texts if re.search(pattern, t)}
+
+
+def test_patterns_without_a_jvm_form_are_invalid(spark):
+    assert not regex.is_valid(r"(a)?(?(1)b|c)") and regex.is_valid(r"\\(?:1)")
+    assert not regex.runs_on_jvm(spark, "(") and regex.runs_on_jvm(spark, regex.to_jvm("(a)"))
