@@ -9,7 +9,7 @@ from lineseek.operators import alerts as alert_ops
 
 from lineseek.plans.catalog_requests import LOG_LIMIT, LOG_WINDOW_S, BUCKET_BURST, BUCKET_RATE, SQL_BUCKET, SQL_SLIDING
 from lineseek.plans.catalog_search import doc_lines
-from lineseek.plans.catalog_telemetry import DAY, SQL_ALERTS, SQL_CHANGES, rounded
+from lineseek.plans.catalog_telemetry import DAY, SQL_ALERTS, SQL_CHANGES, rounded, with_alert_metrics
 from lineseek.plans.registry import SQL_LINES, register, rs, sql_strip, table
 from lineseek.plans.session import scratch_path
 from lineseek.sources import lines as sources
@@ -31,16 +31,16 @@ def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(table(spark, sf_dir, "events"), "ts", "events")
 
 
-FIRST_LINE = sql_strip("string_split(text, chr(10))[1]")
-
-
 @register(f"""WITH {SQL_LINES}
-SELECT conv_id, turn, query, found, CASE WHEN found THEN 'STRING EXISTS' ELSE 'STRING NOT FOUND' END AS verdict
-FROM (SELECT conv_id, turn, {FIRST_LINE} AS query, {FIRST_LINE} IN (SELECT line FROM lines) AS found FROM conversations)""")
+SELECT conv_id, turn, line_no, query, found, CASE WHEN found THEN 'STRING EXISTS' ELSE 'STRING NOT FOUND' END AS verdict
+FROM (SELECT *, query IN (SELECT line FROM lines) AS found FROM (
+  SELECT conv_id, turn, unnest(generate_series(0, len(parts) - 1)) AS line_no, {sql_strip('unnest(parts)')} AS query
+  FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM conversations)))""")
 def stream_membership(spark, sf_dir):
+    """Every line of every turn, looked up as it arrives."""
     turns = stream(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.get(F.split("text", "\n"), F.lit(0)).alias("query")
-    )
+        "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "query")
+    ).withColumn("line_no", F.col("line_no").cast("bigint"))
     return drain(lookup.live_lookup(turns, doc_lines(spark, sf_dir)), "membership")
 
 
@@ -127,12 +127,12 @@ def stream_token_bucket(spark, sf_dir):
 
 
 def _states(events: DataFrame) -> DataFrame:
-    """Memory and CPU states of each user from an event table or stream."""
+    """States of all alert sources of each user from an event table or stream."""
     k = F.get_json_object("props", "$.k").cast("double")
     rows = events.select(
         "event_id", "user_id", "ts", F.col("value").alias("cpu_percent"), k.alias("memory_percent")
     )
-    return alert_ops.states(rows).select(
+    return alert_ops.states(with_alert_metrics(rows)).select(
         F.concat_ws("/", "user_id", "source").alias("series"), "ts", F.col("event_id").alias("id"), "source", "value", "firing"
     )
 
