@@ -77,10 +77,12 @@ def _valid() -> Column:
             .when(kind == 3, size.between(9, 15)).otherwise(F.lit(True)))
 
 
-def _context() -> Column:
-    """The last word and what is joined to it or to the slot, digits made alike: the lexical pattern."""
-    left = F.lower(F.regexp_extract("left", r"(\S+\s+\S+\s*|\S+\s*)$", 1))
-    return F.regexp_replace(F.regexp_replace(left, r"\s+", " "), "[0-9]", "0")
+def _contexts() -> Column:
+    """The lexical patterns of a slot: the last two words before it, and the last one if it is a word of letters; digits made alike."""
+    two = F.lower(F.regexp_extract("left", r"(\S+\s+\S+\s*|\S+\s*)$", 1))
+    one = F.regexp_extract(two, r"(\S+\s*)$", 1)
+    plain = [F.regexp_replace(F.regexp_replace(x, r"\s+", " "), "[0-9]", "0") for x in (two, F.when(one.rlike("[a-z]{3}"), one))]
+    return F.array_distinct(F.array_compact(F.array(*(F.nullif(x, F.lit("")) for x in plain))))
 
 
 def patterns(slots: DataFrame, scratch: Scratch) -> DataFrame:
@@ -116,7 +118,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     placed = scratch.keep("placed", _placed(matches).where(_valid()))
     base = placed.where("kind < 4")
     covered = base.select("row", F.col("start").alias("from"), F.col("end").alias("to"))
-    slots = placed.where("kind = 4").withColumn("pattern", _context()).where("pattern <> ''")
+    slots = placed.where("kind = 4").withColumn("patterns", _contexts()).where("size(patterns) > 0")
     # overlap with a base span of the same text: the nearest base ends and starts by running maxima, no pairs
     marks = slots.select("row", "start", "end", F.lit(1).alias("slot")).unionByName(
         covered.select("row", F.col("from").alias("start"), F.col("to").alias("end"), F.lit(0).alias("slot")))
@@ -125,7 +127,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     marks = marks.withColumn("reach", F.max(F.when(F.col("slot") == 0, F.col("end"))).over(before)).withColumn(
         "next", F.min(F.when(F.col("slot") == 0, F.col("start"))).over(after))
     marks = marks.where("slot = 1").select("row", "start", F.coalesce((F.col("reach") > F.col("start")) | (F.col("next") < F.col("end")), F.lit(False)).alias("inside"))
-    slots = scratch.keep("slots", slots.join(marks, ["row", "start"]))
+    slots = scratch.keep("slots", slots.join(marks, ["row", "start"]).withColumn("pattern", F.explode("patterns")).drop("patterns", "left"))
     letters, digits = F.length(F.regexp_replace("value", "[^A-Za-z]", "")), F.length(F.regexp_replace("value", "[^0-9]", ""))
     secret = (F.length("value") >= 24) & (letters >= 4) & (digits >= 6)
     reliable = patterns(slots.select("pattern", "value", (F.col("inside") | secret).alias("seed")), scratch)

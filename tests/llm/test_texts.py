@@ -164,7 +164,7 @@ def test_rules_find_thresholds(spark):
     found = rules.learn(table)
     assert len(found) == 1 and found[0][0].test == "symbols_per_word" and 0.45 <= found[0][0].cut <= 0.6
     low = table.withColumn("rule", rules.verdict(found)).where("(rule is not null) <> (y = 0)").count()
-    assert low <= 5
+    assert low <= len(rows) / rules.CUTS  # thresholds are quantiles: one step of them at most
 
 
 PATTERNS = {
