@@ -5,12 +5,14 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineseek.llm.bpe import byte_names
 from lineseek.llm.common import Scratch, texts
 
 #: Distinct white-space-delimited strings whose ids a worker remembers before it starts anew (about 250 MB).
@@ -20,12 +22,19 @@ RANKED = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Encoder:
+#: Signs that end a word's piece and never compose with it.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
+LETTERS_END = "\u0250"
+
+
+class Encoder(dict):
     """Ids of whole texts by the tokenizers library, each distinct string between white space encoded once.
 
     The tokenizer's pieces never hold white space and its normaliser composes
     nothing across an ASCII space, tab or line break, so the ids of a text are
-    those of its strings in order.
+    those of its strings in order. Words of letters below U+0250 are one piece
+    each, which goes to the library's model directly; signs behind them are a
+    piece of their own.
     """
 
     def __init__(self, path: str) -> None:
@@ -35,20 +44,29 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, rows: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        self.names = byte_names()
+
+    def __missing__(self, text: str) -> bytes:
+        word = text.rstrip(SIGNS)
+        low = "".join([c.lower() for c in word])
+        if not (word.isalpha() and low.isalpha() and max(word) < LETTERS_END) or "<|" in text:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        elif word != text:
+            ids = self[word] + self[text[len(word) :]]
+        elif low != text:
+            ids = self[low]
+        else:
+            piece = low if low.isascii() else "".join([self.names[b] for b in low.encode()])
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+        self[text] = ids
+        return ids
+
+    def encode(self, rows: Iterable[str]) -> Iterator[bytes]:
+        """32-bit ids of each text, little-endian."""
         for text in rows:
-            parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            new = [p for p in dict.fromkeys(parts) if p not in self.known]
-            if new:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                    new = list(dict.fromkeys(parts))
-                for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.known[p] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-            yield b"".join(map(self.known.__getitem__, parts))
+            if len(self) > REMEMBERED:
+                self.clear()
+            yield b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 def _pieces(path: str, window: int, end_id: int, with_ids: bool):
