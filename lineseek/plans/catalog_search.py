@@ -15,13 +15,27 @@ from lineseek.sources import index, lines as sources
 
 
 def doc_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.from_table(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
+    return sources.from_table(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", small_ids=True)
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.clean(doc_raw(spark, sf_dir))
 
 
+@register("""WITH l AS (
+  SELECT path, line_no, line FROM (
+    SELECT doc_id::HUGEINT + 1099511627776 AS path, unnest(generate_series(0, len(parts) - 1)) AS line_no, """ + sql_strip("unnest(parts)") + """ AS line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE line <> '')
+SELECT line, count(*) AS n_occurrences, min(path * 4294967296 + line_no)::VARCHAR AS first_pos,
+  max(path * 4294967296 + line_no)::VARCHAR AS last_pos, arg_max(line_no, path * 4294967296 + line_no) AS last_line_no FROM l GROUP BY line""")
+def positions_of_large_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact view of documents whose ids lie beyond 2^40."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + F.lit(1 << 40)).alias("doc_id"), "text")
+    view = corpus.exact_view(sources.clean(sources.from_table(docs, "doc_id", "text")))
+    place = [F.col(c).cast("string").alias(c) for c in ("first_pos", "last_pos")]
+    return view.select("line", "n_occurrences", *place, "last_line_no")
+
+
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.exact_view(doc_lines(spark, sf_dir))
 

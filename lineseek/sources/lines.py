@@ -2,7 +2,7 @@
 
 Every reader returns raw lines ``(path, line_no, pos, raw)``. ``line_no`` is the
 0-based number inside one file or document (blank lines count) and ``pos`` is a
-bigint that grows with (path, line_no) over the whole corpus, so that "first"
+number that grows with (path, line_no) over the whole corpus, so that "first"
 and "last" need only a min or max of a fixed-width column.
 """
 
@@ -20,15 +20,21 @@ LINES_PER_DOCUMENT = 1 << 32
 BAD_UTF8_POLICIES = ("fail", "drop", "flag", "keep")
 
 
-def from_table(df: DataFrame, id_col: str, text_col: str, newline: str = LF) -> DataFrame:
-    """Split a text column into lines. No shuffle: one explode per document."""
+def from_table(df: DataFrame, id_col: str, text_col: str, newline: str = LF, small_ids: bool = False) -> DataFrame:
+    """Split a text column into lines. No shuffle: one explode per document.
+
+    ``pos`` is a decimal that holds every 64-bit id. ``small_ids`` says that all
+    ids fit 31 bits and makes it a bigint; a larger id is then an error.
+    """
     doc = F.col(id_col).cast("bigint")
+    kind = "bigint" if small_ids else "decimal(38,0)"
+    path = F.col("path").cast("bigint" if small_ids else "decimal(20,0)")
     return df.select(
         doc.alias("path"), F.posexplode(F.split(F.col(text_col), newline)).alias("line_no", "raw")
     ).select(
         "path",
         F.col("line_no").cast("bigint").alias("line_no"),
-        (F.col("path") * LINES_PER_DOCUMENT + F.col("line_no")).alias("pos"),
+        (path * F.lit(LINES_PER_DOCUMENT).cast("bigint" if small_ids else "decimal(10,0)") + F.col("line_no")).cast(kind).alias("pos"),
         "raw",
     )
 
