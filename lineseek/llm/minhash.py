@@ -23,10 +23,12 @@ from lineseek.llm.components import components
 #: 48 bands of 6 values (3 permutations, least and greatest). Two sets at similarity 0.8 share no band with
 #: probability (1 - 0.8^6)^48 = 5e-7, less above it.
 BANDS, ROWS = 48, 6
-#: One bit each of the first 256 signature values. At similarity 0.8 a bit agrees with probability 0.9; fewer
-#: than 200 agreeing bits lie six standard deviations below.
-BITS, AGREE = 256, 200
-PERMUTATIONS = BANDS * ROWS // 2
+#: Members of a bucket that a task compares with as many others.
+SIDE = 300
+#: One bit of each signature value. At similarity 0.8 a bit agrees with probability 0.9; fewer than 430 agreeing
+#: bits lie 4.5 standard deviations below (once in 200,000 pairs at 0.8, less above). The bands use the first values.
+BITS, AGREE = 512, 430
+PERMUTATIONS = BITS // 2
 FACTOR = (numbers(PERMUTATIONS, 31) >> np.uint64(16)).astype(np.uint32) | np.uint32(1)
 SHIFT = (numbers(PERMUTATIONS, 37) >> np.uint64(16)).astype(np.uint32)
 
@@ -61,8 +63,8 @@ def _digest(size: int):
                         continue
                     keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     values = signature(found)
-                    bits.append(np.packbits((values[:BITS] & 1).astype(np.uint8)).view(np.int64))
-                    bands.append(mix((values.reshape(BANDS, ROWS).astype(np.uint64) * factors).sum(axis=1) + seeds).view(np.int64))
+                    bits.append(np.packbits((values * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8)).view(np.int64))
+                    bands.append(mix((values[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * factors).sum(axis=1) + seeds).view(np.int64))
             filled = np.concatenate([[0], np.cumsum([k is not None for k in keys])])
             flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
@@ -99,15 +101,65 @@ def _confirm(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
+def _tile(percent: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Links between two chunks of a bucket, as many as connect what they connect.
+
+        A pair belongs to the first band it shares. Pairs in one component already,
+        by now or through a link found here, need no comparison.
+        """
+        first, second = key[1].as_py(), key[2].as_py()
+        part, node, component, size = (table[c].to_numpy() for c in ("part", "node", "component", "n_set"))
+        wide = lambda name: table[name].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        bits, bands = wide("bits").view(np.uint64), wide("bands")
+        number = int(np.flatnonzero(bands[0] == key[0].as_py())[0])
+        left = np.flatnonzero(part == first)
+        right = left if first == second else np.flatnonzero(part == second)
+        members = table["members"]
+        parent = {c: c for c in np.unique(component).tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        out: list[tuple[int, int]] = []
+        codes: dict[int, np.ndarray] = {}
+        for at in left.tolist():
+            other = right[right > at] if first == second else right
+            other = other[component[other] != component[at]]
+            other = other[100 * np.minimum(size[other], size[at]) >= percent * np.maximum(size[other], size[at])]
+            other = other[np.bitwise_count(bits[other] ^ bits[at]).sum(1) <= BITS - AGREE]
+            other = other[~(bands[other, :number] == bands[at, :number]).any(1)]
+            for to in other.tolist():
+                x, y = root(int(component[at])), root(int(component[to]))
+                if x == y:
+                    continue
+                for k in (at, to):
+                    if k not in codes:
+                        codes[k] = np.frombuffer(members[k].as_buffer(), np.uint64)
+                small, large = sorted((codes[at], codes[to]), key=len)
+                found = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                both = int((large[found] == small).sum())
+                if 100 * both >= percent * (len(small) + len(large) - both):
+                    out.append((int(node[at]), int(node[to])))
+                    parent[max(x, y)] = min(x, y)
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, label: str) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough.
+
+    The sets are merged with the pairs at every size: a plan that broadcasts short
+    lists of pairs would only behave differently once they have grown.
+    """
     pairs = scratch.keep(f"{label}-pairs", pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = scratch.keep(f"{label}-sets", docs.join(ids, "doc_id").mapInArrow(_sets(size), "doc_id long, members binary"))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(
+    both = pairs.hint("merge").join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").hint("merge").join(
         sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
     links = scratch.keep(f"{label}-links", both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"))
-    scratch.drop(f"{label}-pairs", f"{label}-sets")
+    scratch.drop(f"{label}-pairs")
     return links
 
 
@@ -124,10 +176,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     Equal sets are folded to their smallest id by a pre-aggregated ``groupBy``.
     The rest meets in bands. In each bucket every member is first compared with
     the bucket's smallest id only; members that this leaves in different
-    components are then compared with one another, under exact bounds on the set
-    sizes and the agreement of 256 signature bits. A group of true copies thus
-    costs one comparison a member, and no bucket is capped. Every link is
-    confirmed on full sets.
+    components are then compared with one another, chunk by chunk of the bucket,
+    each pair in the first band it shares. Pairs pass an exact bound on the set
+    sizes and one on the agreement of 512 signature bits before that. A group of
+    true copies thus costs one comparison a member, no bucket is capped, and pairs
+    are not written. Every link is confirmed on full sets.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minmax")
@@ -143,27 +196,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     rows = nodes.select("node", F.explode("bands").alias("band"))
     hubs = scratch.keep("hubs", rows.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = scratch.keep("members", rows.join(hubs, "band").select("band", "node", "hub", "n"))
-    traits = nodes.select("node", "n_shingles", "bits").join(members.select("node").distinct(), "node")
-    traits = scratch.keep("traits", traits.select("node", F.col("n_shingles").alias("n_set"), *(F.col("bits")[i].alias(f"bits{i}") for i in range(BITS // 64))))
+    traits = nodes.select("node", "n_shingles", "bits", "bands").join(members.select("node").distinct(), "node")
+    traits = scratch.keep("traits", traits.select("node", F.col("n_shingles").alias("n_set"), "bits", "bands"))
     alike = " and ".join([
         f"100 * least(s.n_set, t.n_set) >= {percent} * greatest(s.n_set, t.n_set)",
-        f"{' + '.join(f'bit_count(s.bits{i} ^ t.bits{i})' for i in range(BITS // 64))} <= {BITS - AGREE}",
+        f"{' + '.join(f'bit_count(s.bits[{i}] ^ t.bits[{i}])' for i in range(BITS // 64))} <= {BITS - AGREE}",
     ])
     star = members.where("node <> hub").select("node", "hub").distinct()
-    star = star.join(traits.alias("s"), "node").join(traits.withColumnRenamed("node", "hub").alias("t"), "hub").where(alike)
-    links = _verified(star.select(F.col("node").alias("a"), F.col("hub").alias("b")), docs, size, percent, scratch, "star")
+    marks = traits.drop("bands")
+    star = star.join(marks.alias("s"), "node").join(marks.withColumnRenamed("node", "hub").alias("t"), "hub").where(alike)
+    involved = docs.join(traits.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id")
+    sets = scratch.keep("sets", involved.mapInArrow(_sets(size), "doc_id long, members binary"))
+    links = _verified(star.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets, percent, scratch, "star")
     labels = scratch.keep("labels", components(links, scratch, "first"))
     # what a bucket's smallest id does not settle: members in different components
     open_rows = members.where("n > 2 and node <> hub").join(labels, "node", "left").select(
         "band", "node", F.coalesce("component", "node").alias("component"))
-    open_rows = scratch.keep("open", open_rows.join(traits, "node"))
-    mixed = scratch.keep("mixed", open_rows.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band"))
-    open_rows = scratch.keep("rest", open_rows.join(mixed, "band"))
-    s, t = open_rows.alias("s"), open_rows.alias("t")
-    rest = s.join(t, F.expr(f"s.band = t.band and s.node < t.node and s.component <> t.component and {alike}"))
-    rest = rest.select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct()
-    more = _verified(rest, docs, size, percent, scratch, "rest")
-    scratch.drop("hubs", "members", "open", "mixed", "rest", "traits")
+    open_rows = scratch.keep("open", open_rows)
+    mixed = open_rows.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("chunks"))
+    mixed = scratch.keep("mixed", mixed.where("x <> y").select("band", "chunks"))
+    rest = open_rows.join(mixed, "band").withColumn("part", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
+    rest = rest.withColumn("with", F.explode(F.expr("sequence(0, chunks - 1)"))).select(
+        "band", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "node", "component")
+    rest = scratch.keep("rest", rest)
+    rest = rest.hint("merge").join(traits, "node").hint("merge").join(sets.withColumnRenamed("doc_id", "node"), "node")
+    more = rest.groupBy("band", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+    more = scratch.keep("more", more.distinct())
+    scratch.drop("hubs", "members", "open", "mixed", "rest", "traits", "sets")
     labels = components(links.unionByName(more).unionByName(copies), scratch, "last")
     out = digest.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
