@@ -24,7 +24,7 @@ from lineseek.llm.components import components
 #: probability (1 - 0.8^6)^48 = 5e-7, less above it.
 BANDS, ROWS = 48, 6
 #: Members of a bucket that a task compares with as many others.
-SIDE = 300
+SIDE = 1000
 #: One bit of each signature value. At similarity 0.8 a bit agrees with probability 0.9; fewer than 430 agreeing
 #: bits lie 4.5 standard deviations below (once in 200,000 pairs at 0.8, less above). The bands use the first values.
 BITS, AGREE = 512, 430
