@@ -288,3 +288,20 @@ def test_filter_counts_never_fall_short():
     got = stored.counts(keys)
     assert (got >= lm.typical()[level]).all() and (got == lm.typical()[level]).mean() > 0.98
     assert (stored.counts(lm.mix(np.arange(10_000, 20_000))) == 0).mean() > 0.95
+
+
+def test_scores_do_not_depend_on_former_bounds(documents):
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score)
+    want = sorted(lm.score(documents, fold(7) == 2).collect(), key=key)
+    got = sorted(lm.score(documents, fold(7) == 2, filter_bytes=1).collect(), key=key)
+    assert [r.doc_id for r in got] == [r.doc_id for r in want]
+    assert [r.score for r in got] == pytest.approx([r.score for r in want], rel=1e-9)
+
+
+def test_unseen_pairs_seldom_pass_in_any_block():
+    import numpy as np
+
+    for n in (100, 20_000, 2_000_000):
+        seen = lm.mix(np.arange(n))
+        full = lm.stored(seen, np.ones(n, np.int64))
+        assert (full.counts(seen) >= 1).all() and (full.counts(lm.mix(np.arange(3_000_000, 3_100_000))) > 0).mean() < 0.03
