@@ -13,6 +13,7 @@ functions share a signature, and what shares one is compared run by run.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -88,7 +89,7 @@ def _windows(least: int):
             key, doc, pos = key[turn], doc[turn], pos[turn]
             head = np.concatenate([[True], key[1:] != key[:-1]])
             hub = np.flatnonzero(head)[np.cumsum(head) - 1]
-            tied = np.flatnonzero(doc != doc[hub])
+            tied = np.flatnonzero((doc != doc[hub]) | (pos != pos[hub]))
             none = pa.nulls(int(head.sum()), pa.int64()), pa.nulls(int(head.sum()), pa.int32()), pa.nulls(int(head.sum()), pa.int32())
             yield _table(key[head], doc[head], pos[head], *none)
             if len(tied):
@@ -105,13 +106,18 @@ def _windows(least: int):
 
 
 def _ties(rows: DataFrame) -> DataFrame:
-    """a, b, shift, first, last: places of a that share a signature with the place ``shift`` before in the earlier text b."""
+    """a, b, shift, first, last, ranges: places of a that share a key with the place ``shift`` before in the earlier text b.
+
+    b may be a itself: a text's later places take part in the regrouping. ``ranges``
+    are the (first, last) of the rows, where a row has a span.
+    """
     w = Window.partitionBy("key").orderBy("doc", "pos")
     tied = rows.select("*", F.first("doc").over(w).alias("hub"), F.first("pos").over(w).alias("hub_pos"))
-    tied = tied.where("other is not null or doc <> hub").select(
+    tied = tied.where("other is not null or doc <> hub or pos <> hub_pos").select(
         F.col("doc").alias("a"), F.coalesce("other", "hub").alias("b"), (F.col("pos") - F.coalesce("other_pos", "hub_pos")).alias("shift"),
-        "pos", (F.col("pos") + F.coalesce("span", F.lit(0))).alias("end"))
-    return tied.groupBy("a", "b", "shift").agg(F.min("pos").alias("first"), F.max("end").alias("last"))
+        "pos", (F.col("pos") + F.coalesce("span", F.lit(0))).alias("end"), F.when(F.col("other").isNull() & F.col("span").isNotNull(), F.lit(True)).alias("ranged"))
+    ranges = F.collect_set(F.when(F.col("ranged"), F.struct("pos", "end")))
+    return tied.groupBy("a", "b", "shift").agg(F.min("pos").alias("first"), F.max("end").alias("last"), ranges.alias("ranges"))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,32 +174,45 @@ def _equal(x: np.ndarray, y: np.ndarray, offset: int, least: int) -> list[tuple[
     return [(int(a), int(b)) for a, b in turns if b - a >= least]
 
 
+def _wider(x: np.ndarray, y: np.ndarray, offset: int, first: int, last: int, ranges: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Ranges of x, each widened by the words up to the first one (inclusive) that differs from y, to the right and to the left.
+
+    Without ranges, they are the first and the last run of each equal stretch that
+    touches the places from ``first`` to ``last``. Ranges beyond ``least`` words are left out.
+    """
+    stretches = [(s, e) for s, e in _equal(x, y, offset, RUN) if s <= last and e > first]
+    if ranges:
+        pairs = [(r, r, s, e) for r in ranges for s, e in stretches if s <= r[0] and r[1] <= e]
+    else:
+        pairs = [((e - RUN, e), (s, s + RUN), s, e) for s, e in stretches]
+    out = {(lo, e + 1) for (lo, _), _, _, e in pairs if e < len(x)} | {(s - 1, hi) for _, (_, hi), s, _ in pairs if s > 0}
+    return sorted(r for r in out if r[1] - r[0] <= least)
+
+
 def _compare(least: int, percent: int):
     width = least - RUN + 1
-    side = -(-(least - RUN) // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Repeated passages; where a tie has none, the contexts of its two places instead (kind 1)."""
+        """Repeated passages, and (kind 1) ranges that leave the earlier text, by which texts are regrouped."""
         for batch in batches:
             out: list[tuple] = []
-            rows = batch.select(["a", "b", "shift", "first", "x_base", "y_base"]).to_pylist()
+            rows = batch.select(["a", "b", "shift", "first", "last", "ranges", "x_base", "y_base"]).to_pylist()
             for r, x, y in zip(rows, batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                xr, yr = (shingles(v, np.array([0, len(v)]), RUN, whole=False)[0] for v in (x, y))
-                found = _spans(xr, yr, width, percent)
                 # along the tie itself, where repeats inside a text or partial copies around it blur the stretches
                 offset = r["x_base"] - r["shift"] - r["y_base"]
-                found += [(lo, hi - RUN, lo + offset, hi + offset - RUN, 1.0) for lo, hi in _equal(x, y, offset, least)
-                          if not any(f[0] <= lo and hi - RUN <= f[1] for f in found)]
-                for lo, hi, ylo, yhi, same in found:
-                    out.append((0, r["a"], lo + r["x_base"], hi + RUN + r["x_base"], r["b"], ylo + r["y_base"], yhi + RUN + r["y_base"], same, None))
-                if not found:
-                    for doc, code, base, place in ((r["a"], x, r["x_base"], r["first"]), (r["b"], y, r["y_base"], r["first"] - r["shift"])):
-                        here = place - base
-                        for number, part in enumerate((code[max(0, here - side) : here + RUN], code[here : here + RUN + side])):
-                            if len(part) == side + RUN:
-                                key = mix((part * numbers(len(part), 79)).sum(dtype=np.uint64, keepdims=True) + np.uint64(number))
-                                out.append((1, doc, place, None, None, None, None, None, int(key.view(np.int64)[0])))
+                if r["a"] != r["b"]:
+                    xr, yr = (shingles(v, np.array([0, len(v)]), RUN, whole=False)[0] for v in (x, y))
+                    found = _spans(xr, yr, width, percent)
+                    found += [(lo, hi - RUN, lo + offset, hi + offset - RUN, 1.0) for lo, hi in _equal(x, y, offset, least)
+                              if not any(f[0] <= lo and hi - RUN <= f[1] for f in found)]
+                    for lo, hi, ylo, yhi, same in found:
+                        out.append((0, r["a"], lo + r["x_base"], hi + RUN + r["x_base"], r["b"], ylo + r["y_base"], yhi + RUN + r["y_base"], same, None))
+                base = r["x_base"]
+                ranges = [(v["pos"] - base, v["end"] - base) for v in r["ranges"]]
+                for lo, hi in _wider(x, y, offset, r["first"] - base, r["last"] - base, ranges, least):
+                    key = mix((x[lo:hi] * numbers(hi - lo, 79)).sum(dtype=np.uint64, keepdims=True) + np.uint64(hi - lo))
+                    out.append((1, r["a"], lo + base, hi + base, None, None, None, None, int(key.view(np.int64)[0])))
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64())
             names = ["kind", "doc_id", "start_word", "end_word", "source_id", "source_start", "source_end", "similarity", "key"]
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
@@ -220,18 +239,19 @@ def repeated(docs: DataFrame, least: int = LEAST, percent: int = 80, key: str =
 
     A signature's windows are tied to its first one, in each batch before the
     shuffle and among the batches' first ones after it, so a passage shared by all
-    documents costs one tie a document. Ties that hold no passage (a common phrase
-    in different surroundings) are regrouped once by the words around them, which
-    copies of a passage share on one side at least. Equal passages are found
-    always; near ones at similarity 0.8 in 0.9 of cases for each stretch of
-    ``least`` words they have.
+    documents costs one tie a document. Where a text leaves the one it is tied to,
+    the words from the common stretch to the first differing one make a new group,
+    which that other text is not in; its members are tied to its first one again,
+    and so on until no group is left. A group shares at least one word more than
+    the one it comes from, so after at most ``least`` rounds it shares a passage.
+    Equal passages are found always; near ones at similarity 0.8 in 0.9 of cases for
+    each stretch of ``least`` words they have.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     docs = texts(docs, key, text).where("doc_id is not null")
     edge = least + RUN
 
     def check(ties: DataFrame, name: str) -> DataFrame:
-        ties = scratch.keep(f"{name}-ties", ties)
         asked = ties.select("a", "b", "shift", F.explode(F.array(
             F.struct(F.col("a").alias("doc"), (F.col("first") - edge).alias("from"), (F.col("last") + edge).alias("to")),
             F.struct(F.col("b").alias("doc"), (F.col("first") - F.col("shift") - edge).alias("from"), (F.col("last") - F.col("shift") + edge).alias("to")),
@@ -242,16 +262,23 @@ def repeated(docs: DataFrame, least: int = LEAST, percent: int = 80, key: str =
         tie = ["a", "b", "shift"]
         x = cut.where("later").select(*tie, F.col("base").alias("x_base"), F.col("codes").alias("x"))
         y = cut.where("not later").select(*tie, F.col("base").alias("y_base"), F.col("codes").alias("y"))
-        both = x.hint("merge").join(y, tie).join(ties.select(*tie, "first"), tie)
+        both = x.hint("merge").join(y, tie).join(ties.select(*tie, "first", "last", "ranges"), tie)
         found = scratch.keep(f"{name}-found", both.mapInArrow(_compare(least, percent), FOUND))
-        scratch.drop(f"{name}-cuts", f"{name}-ties")
+        scratch.drop(f"{name}-cuts")
         return found
 
-    first = check(_ties(docs.mapInArrow(_windows(least), ROWS)), "first")
-    loose = first.where("kind = 1").select("key", F.col("doc_id").alias("doc"), F.col("start_word").alias("pos")).distinct()
-    loose = loose.withColumns({"other": F.lit(None).cast("long"), "other_pos": F.lit(None).cast("int"), "span": F.lit(None).cast("int")})
-    second = check(_ties(loose), "second")
-    out = first.where("kind = 0").unionByName(second.where("kind = 0")).drop("kind", "key")
+    ties = scratch.keep("0-ties", _ties(docs.mapInArrow(_windows(least), ROWS)))
+    found = []
+    while not ties.isEmpty():
+        step = len(found)
+        found.append(check(ties, str(step)))
+        scratch.drop(f"{step}-ties")
+        loose = found[-1].where("kind = 1").select("key", F.col("doc_id").alias("doc"), F.col("start_word").alias("pos"), (F.col("end_word") - F.col("start_word")).alias("span"))
+        loose = loose.distinct().withColumns({"other": F.lit(None).cast("long"), "other_pos": F.lit(None).cast("int")})
+        ties = scratch.keep(f"{step + 1}-ties", _ties(loose))
+    if not found:
+        return docs.sparkSession.createDataFrame([], FOUND).drop("kind", "key")
+    out = reduce(DataFrame.unionByName, found).where("kind = 0").drop("kind", "key")
     return out.dropDuplicates(["doc_id", "start_word", "end_word", "source_id", "source_start", "source_end"])
 
 

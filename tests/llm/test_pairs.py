@@ -130,6 +130,30 @@ def test_passages_equal_brute_force(spark, documents, none):
     assert {i for i in texts if i not in after} <= set(got)
 
 
+def test_passages_behind_a_common_phrase(spark):
+    rnd = random.Random(5)
+    own = lambda n: [f"o{rnd.randrange(10**9)}" for _ in range(n)]
+    phrase, short, after, before = own(44), own(12), own(12), own(40)
+    texts = [own(20) + phrase + own(20), own(20) + short + own(9) + short + own(20)]
+    texts += [own(30) + phrase + after + own(n) for n in (20, 25)]  # an earlier text holds most of it
+    texts += [own(9) + before[:k] + phrase + own(9) for k in (3, 5)]
+    texts += [own(5) + before + short + own(4) for _ in range(2)]  # and one that holds a short phrase at several places
+    texts += [own(20) + short + own(9) + short + before + own(20) for _ in range(2)]
+    twice = own(30)
+    texts += [own(9) + twice + own(30) + twice + after + before + own(9), own(9) + twice + after + before + own(9)]
+    for _ in range(30):
+        phrase, after = own(44), own(6)
+        texts += [own(20) + phrase + own(20), *(own(20) + phrase + after + own(20) for _ in range(2))]
+    rows = {i: " ".join(t) for i, t in enumerate(texts)}
+    got = {}
+    for r in passages.repeated(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    want = brute_passages(rows)
+    assert {3, 7, 9, 11} <= set(want)
+    for doc, words in want.items():
+        assert words <= got.get(doc, set()), doc
+
+
 def test_embeddings_equal_brute_force(spark, given):
     rnd = np.random.default_rng(7)
     rows = []
