@@ -130,6 +130,17 @@ def test_passages_equal_brute_force(spark, documents, none):
     assert {i for i in texts if i not in after} <= set(got)
 
 
+def test_near_passages_share_a_signature():
+    rnd = np.random.default_rng(4)
+    missed = 0
+    for _ in range(2000):
+        a = rnd.integers(0, 2**63, 46).astype(np.uint64)  # 46 runs, 41 of them alike: similarity 0.8
+        b = a.copy()
+        b[20:25] = rnd.integers(0, 2**63, 5).astype(np.uint64)
+        missed += not np.intersect1d(*(passages.signatures(x, np.array([0, 46]), 46)[0] for x in (a, b))).size
+    assert missed <= 10
+
+
 def test_passages_behind_a_common_phrase(spark):
     rnd = random.Random(5)
     own = lambda n: [f"o{rnd.randrange(10**9)}" for _ in range(n)]
