@@ -9,6 +9,7 @@ from pyspark.sql.types import BooleanType
 
 from lineseek.functions import regex
 from lineseek.plans.session import materialise
+from lineseek.plans.sizing import broadcast_if_small
 
 # Default limits and the known commands.
 MAX_PATTERN_CHARS = 1000
@@ -132,10 +133,10 @@ def permitted(
     """Requests of permitted clients. Deny wins; an empty allow list allows all."""
     out = requests
     if deny is not None:
-        denied = deny.select(client_col).where(F.col(client_col).isNotNull()).distinct()
+        denied = materialise(deny.select(client_col).where(F.col(client_col).isNotNull()).distinct(), "denied")
         out = out.join(broadcast_if_small(denied), client_col, "left_anti")
     if allow is not None:
-        allowed = allow.select(client_col).distinct()
+        allowed = materialise(allow.select(client_col).distinct(), "allowed")
         if allowed.limit(1).count():
             out = out.join(broadcast_if_small(allowed), client_col, "left_semi")
     return out
