@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineseek.llm import bpe, embed, gam, html, lm, minhash, packing, passages, pii, rules
+from lineseek.llm import bpe, embed, gam, html, lm, minhash, packing, passages, pieces, pii, rules
 from lineseek.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,12 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.extract(table(spark, sf_dir, "documents"))
 
 
+def op13_distinct_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_additive_quality, op2_best_fit_packing, op3_decision_list_rules, op4_segment_tree_bpe, op5_subspace_near_duplicates, op6_minmax_near_duplicates,
-    op7_compact_window_passages, op8_wrapper_main_text, op9_log_frequency_bloom_lm, op10_bootstrapped_pii,
+    op7_compact_window_passages, op8_wrapper_main_text, op9_log_frequency_bloom_lm, op10_bootstrapped_pii, op13_distinct_chunk_pieces,
 )}
 ORACLE: dict[str, str] = {}
