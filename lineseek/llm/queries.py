@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineseek.llm import bpe, embed, gam, html, lm, minhash, packing, passages, pieces, pii, rules
+from lineseek.llm import bpe, embed, gam, html, lm, minhash, packing, passages, phrases, pieces, pii, rules
 from lineseek.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,12 +58,44 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.extract(table(spark, sf_dir, "documents"))
 
 
+def op12_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents")).drop("words")
+
+
 def op13_distinct_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_additive_quality, op2_best_fit_packing, op3_decision_list_rules, op4_segment_tree_bpe, op5_subspace_near_duplicates, op6_minmax_near_duplicates,
-    op7_compact_window_passages, op8_wrapper_main_text, op9_log_frequency_bloom_lm, op10_bootstrapped_pii, op13_distinct_chunk_pieces,
+    op7_compact_window_passages, op8_wrapper_main_text, op9_log_frequency_bloom_lm, op10_bootstrapped_pii, op12_setm_collocations, op13_distinct_chunk_pieces,
 )}
-ORACLE: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE: dict[str, str] = {
+    "op12_setm_collocations": rf"""
+        WITH pieces AS (
+            SELECT lang, regexp_extract_all(piece, '[^ \x09]+') AS ws FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+                FROM documents)),
+        sizes AS (SELECT lang, sum(len(ws)) AS n FROM pieces GROUP BY lang),
+        runs AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+            FROM pieces, range(1, 6) AS sizes_of(k) WHERE len(ws) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM runs GROUP BY lang, k, phrase HAVING count(*) >= 100),
+        found AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, a FROM f WHERE k >= 2),
+        inner_runs AS (
+            SELECT lang, a, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(ws[i:i + j - 1], ' '))) AS phrase
+            FROM found, range(2, 5) AS lengths(j) WHERE j < k),
+        left_over AS (SELECT c.* FROM found c WHERE NOT EXISTS (SELECT 1 FROM inner_runs s WHERE s.lang = c.lang AND s.phrase = c.phrase AND 100 * s.a >= 100 * c.a)),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, sizes.n,
+                (1000::HUGEINT * c.a::HUGEINT * sizes.n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT) AS score
+            FROM left_over c JOIN range(1, 5) AS lengths(j) ON j < c.k JOIN sizes ON sizes.lang = c.lang
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:c.k], ' ')),
+        best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS turn FROM cuts),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE turn = 1)
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM ranked WHERE rank <= 2000
+    """,
+}
