@@ -81,16 +81,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+SOLID = ~SPACE
 PLACE = numbers(1024, 11)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, inside: np.ndarray = SOLID) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of the texts: 64-bit hashes, first byte, end byte, and the first word of each text (with the total last).
 
-    A word is a run of bytes other than space and U+0009 to U+000D; ``lower``
-    folds A-Z. The hash is multilinear over the bytes: one fixed multiplier a place.
+    A word is a run of bytes other than space and U+0009 to U+000D, or of those
+    that ``inside`` marks; ``lower`` folds A-Z. The hash is multilinear over the bytes: one fixed multiplier a place.
     """
-    solid = ~SPACE[data]
+    solid = inside[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = offsets[:-1][offsets[:-1] < len(data)]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineseek.llm import bpe, embed, gam, html, lm, minhash, packing, passages, phrases, pieces, pii, rules
+from lineseek.llm import balltree, bpe, embed, gam, html, lm, minhash, packing, passages, phrases, pieces, pii, rules
 from lineseek.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.extract(table(spark, sf_dir, "documents"))
 
 
+def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents")).drop("words")
 
@@ -68,10 +72,29 @@ def op13_distinct_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_additive_quality, op2_best_fit_packing, op3_decision_list_rules, op4_segment_tree_bpe, op5_subspace_near_duplicates, op6_minmax_near_duplicates,
-    op7_compact_window_passages, op8_wrapper_main_text, op9_log_frequency_bloom_lm, op10_bootstrapped_pii, op12_setm_collocations, op13_distinct_chunk_pieces,
+    op7_compact_window_passages, op8_wrapper_main_text, op9_log_frequency_bloom_lm, op10_bootstrapped_pii, op11_ball_tree_search, op12_setm_collocations, op13_distinct_chunk_pieces,
 )}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ORACLE: dict[str, str] = {
+    "op11_ball_tree_search": rf"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS place, doc_id, ws, len(ws) AS n
+            FROM (SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERMS}') AS ws FROM documents) WHERE len(ws) > 0),
+        sizes AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM docs),
+        asked AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERMS}')) AS term FROM benchmark) GROUP BY ALL),
+        held AS (SELECT place, doc_id, n, term, count(*) AS tf FROM (SELECT place, doc_id, n, unnest(ws) AS term FROM docs) GROUP BY ALL),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM held, sizes WHERE term IN (SELECT term FROM asked) GROUP BY term),
+        scored AS (
+            SELECT item_id, place, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN held USING (term), sizes GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
     "op12_setm_collocations": rf"""
         WITH pieces AS (
             SELECT lang, regexp_extract_all(piece, '[^ \x09]+') AS ws FROM (
