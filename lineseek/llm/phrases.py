@@ -65,11 +65,13 @@ class Occurrences:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.tobytes(), 1)
+    """Compressed, all first bytes of the values before all second ones."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
 
 
 def _unpack(value: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(value, max_output_size=1 << 40), kind)
+    raw = np.frombuffer(zstandard.decompress(value, max_output_size=1 << 40), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
 
 
 def _batch(schema: list[str], rows: int, **columns) -> pa.RecordBatch:
@@ -122,8 +124,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _follow(stretch: int, at: np.ndarray, codes: np.ndarray, ids: np.ndarray, keep: bool) -> pa.Table:
-    """The relation (``codes`` number the sorted ``ids``), and the distinct pairs that it has at adjacent positions."""
+    """The relation (``codes`` number the ``ids``), and the distinct pairs that it has at adjacent positions."""
     names = _names(PHRASES)
+    # frequent ones get small numbers, which pack well
+    order = np.argsort(-np.bincount(codes, minlength=len(ids)), kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    codes, ids = rank[codes], ids[order]
     meet = np.flatnonzero(at[1:] == at[:-1] + 1)
     pairs, counts = np.unique(codes[meet] * len(ids) + codes[meet + 1], return_counts=True)
     out = [_batch(names, len(pairs), stretch=stretch, left=ids[pairs // max(len(ids), 1)], right=ids[pairs % max(len(ids), 1)], count=counts)]
@@ -133,17 +140,17 @@ def _follow(stretch: int, at: np.ndarray, codes: np.ndarray, ids: np.ndarray, ke
 
 
 def _begin(occurrences: pa.Table, frequent: pa.Table) -> pa.Table:
-    """From the words of a stretch and the numbers and ids of its frequent ones: the first relation and its pairs."""
+    """From the words of a stretch and their numbers and ids (null if not frequent): the first relation and its pairs."""
+    frequent = frequent.filter(frequent["id"].is_valid())
     if not occurrences.num_rows or not frequent.num_rows:
         return pa.Table.from_batches([_batch(_names(PHRASES), 0)])
     codes = _unpack(occurrences["codes"][0].as_py(), np.int32)
     at = np.cumsum(_unpack(occurrences["gaps"][0].as_py(), np.uint8), dtype=np.int64)
     number, ids = frequent["number"].to_numpy(), frequent["id"].to_numpy()
-    order = np.argsort(ids)
-    known = np.full(int(max(codes.max(), number.max())) + 1, -1, np.int64)
-    known[number[order]] = np.arange(len(ids))
+    known = np.full(int(codes.max()) + 1, -1, np.int64)
+    known[number] = np.arange(len(ids))
     codes = known[codes]
-    return _follow(occurrences["stretch"][0].as_py(), at[codes >= 0], codes[codes >= 0], ids[order], True)
+    return _follow(occurrences["stretch"][0].as_py(), at[codes >= 0], codes[codes >= 0], ids, True)
 
 
 def _extend(keep: bool):
@@ -155,14 +162,15 @@ def _extend(keep: bool):
         codes = _unpack(occurrences["codes"][0].as_py(), np.int32).astype(np.int64)
         at = np.cumsum(_unpack(occurrences["gaps"][0].as_py(), np.int64))
         left, right, new = (frequent[c].to_numpy() for c in ("left", "right", "id"))
-        order = np.argsort(new)
-        wanted = np.searchsorted(ids, left[order]) * len(ids) + np.searchsorted(ids, right[order])
+        order = np.argsort(ids)
+        left, right = (order[np.searchsorted(ids[order], x)] for x in (left, right))
+        wanted = left * len(ids) + right
         turn = np.argsort(wanted)
         meet = np.flatnonzero(at[1:] == at[:-1] + 1)
         pairs = codes[meet] * len(ids) + codes[meet + 1]
         place = np.minimum(np.searchsorted(wanted[turn], pairs), len(turn) - 1)
         hit = wanted[turn][place] == pairs
-        return _follow(occurrences["stretch"][0].as_py(), at[meet][hit], turn[place[hit]], new[order], keep)
+        return _follow(occurrences["stretch"][0].as_py(), at[meet][hit], turn[place[hit]], new, keep)
 
     return run
 
@@ -210,7 +218,8 @@ def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int |
     frequent = [scratch.keep("frequent-1", counted.select(
         F.monotonically_increasing_id().alias("id"), "lang", "a", F.array("word").alias("words"), F.array("a").alias("heads"), F.array("a").alias("tails")))]
     words = frequent[0].select("lang", F.col("words")[0].alias("word"), "id")
-    back = spread.join(broadcast_if_small(words), ["lang", "word"]).select(F.col("stretch").alias("owner"), "number", "id")
+    # marks every word, so that its rows grow with the words of the stretches alone
+    back = spread.join(broadcast_if_small(words), ["lang", "word"], "left").select(F.col("stretch").alias("owner"), "number", "id")
     follow = _begin
     for size in range(2, longest + 1):
         held = relation.where("codes is not null").drop("word", "lang", "number", "left", "right", "count")
