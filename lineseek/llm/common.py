@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineseek.plans.session import scratch_path
@@ -47,6 +47,20 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The given columns, and each row of ``docs`` as one struct ``row``, whatever its columns are called."""
+    return docs.select(*columns, F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``row``, some of them replaced."""
+    return rows.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over all output bits."""
     x = x.astype(np.uint64, copy=True)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineseek.llm.common import Scratch, chunks, lists, shingles, texts, words
+from lineseek.llm.common import Scratch, chunks, lists, packed, shingles, texts, unpacked, words
 
 FEATURES = (
     "log_words", "word_length", "capitals", "signs", "digits", "foreign", "bars", "stops", "distinct_words", "repeated_next",
@@ -222,17 +222,23 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int =
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _select(model: Additive, place: int):
+def _select(model: Additive):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(place).fill_null("")
-            good = [model.score(features(data, offsets)) >= 0.5 for _, _, data, offsets in chunks(text)]
+            good = [model.score(features(data, offsets)) >= 0.5 for _, _, data, offsets in chunks(batch.column(0))]
             yield batch.filter(pa.array(np.concatenate(good))) if good else batch
 
     return run
 
 
 def accepted(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
-    """The rows of ``docs`` that the classifier predicts to be good, with all their columns, unchanged."""
+    """The rows of ``docs`` that the classifier predicts to be good, with all their columns, unchanged.
+
+    Labels are learned from as in ``classify``. Null and empty texts are scored as
+    empty ones, null ids are never learned from; very long texts are scored whole.
+    Rows that repeat are judged alike, each for itself; scores of 0.5 count as good.
+    Columns may have any names. An empty table gives no rows.
+    """
     model, _ = learn(docs, labels, ~F.coalesce(held_out, F.lit(False)))
-    return docs.mapInArrow(_select(model, docs.columns.index("text")), docs.schema)
+    rows = packed(docs, F.coalesce("text", F.lit("")).alias("text"))
+    return unpacked(rows.mapInArrow(_select(model), rows.schema), docs.columns)

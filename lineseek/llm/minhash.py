@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineseek.llm.common import Scratch, chunks, lists, mix, numbers, shingles, texts, words
+from lineseek.llm.common import Scratch, chunks, lists, mix, numbers, packed, shingles, texts, unpacked, words
 from lineseek.llm.components import components
 
 #: 48 bands of 6 values (3 permutations, least and greatest). Two sets at similarity 0.8 share no band with
@@ -232,9 +232,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one of smallest id.
 
-    Rows without an id stay; of rows that repeat an id one stays.
+    Rows with a null id stay; of rows that repeat an id one stays. Null, empty and
+    word-free texts are near nothing and stay; very long texts are compared whole.
+    All columns stay as they are, whatever their names. An empty table gives no rows.
     """
-    kept = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    both = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left").where("doc_id is null or __kept is not null")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return both.withColumn("__row", first).where("doc_id is null or __row = 1").select(*docs.columns)
+    kept = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    rows = packed(docs, F.col("doc_id").cast("long").alias("id"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("id"))
+    named = rows.where("id is not null").join(kept.hint("merge"), "id", "left_semi").withColumn("turn", first).where("turn = 1")
+    return unpacked(named.select("row").unionByName(rows.where("id is null").select("row")), docs.columns)

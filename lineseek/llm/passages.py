@@ -4,29 +4,31 @@ A text is its sequence of five-word runs. Under one hash function, the Cartesian
 tree over the hashes groups all subsequences by their minimum: a node at c that
 spans [l, r] stands for every subsequence in [l, r] that contains c. The nodes
 that span a passage of the least length at all are exactly the minima of the
-windows of that length, so sliding minima list them. Windows of two hash
-functions are interval-joined inside the text; what they share at the least
-length carries a signature of two values. Passages that agree in two of six
-functions share a signature, and what shares one is compared run by run.
+windows of that length, so sliding minima list them. A window carries its
+minimum as signature; passages of similarity s share one under each function
+with probability s. Windows of all functions that tie two texts at one distance
+are joined to one interval, and these intervals are compared run by run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from lineseek.llm.common import Scratch, chunks, mix, numbers, shingles, texts, words
+from lineseek.llm.common import Scratch, chunks, mix, numbers, packed, shingles, texts, unpacked, words
 
 RUN, LEAST = 5, 50
-FUNCTIONS = 6
+FUNCTIONS = 5
 #: Text bytes whose signatures are sorted together before the shuffle.
-STRETCH_TEXT = 4 << 20
+STRETCH_TEXT = 8 << 20
+#: Words of a text whose asked ranges are cut out together.
+SECTION = 4096
 SEEDS = numbers(FUNCTIONS, 71)
 PAIR = numbers(2, 73)
 ROWS = "key long, doc long, pos int, other long, other_pos int, span int"
@@ -48,22 +50,35 @@ def minima(values: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarra
 
 
 def signatures(codes: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Joined compact windows of the texts: signature, text, and place (in the text) of the first function's minimum."""
-    values = [mix(codes ^ s) for s in SEEDS]
-    places = []
-    for v in values:
-        starts, at = minima(v, begin, width)
-        places.append(at)
-    text = np.searchsorted(begin, starts, "right") - 1
+    """Compact windows of the texts under each function: signature, text, and place (in the text) of the minimum."""
     keys, owners, anchors = [], [], []
-    for number, (f, g) in enumerate(combinations(range(FUNCTIONS), 2)):
+    for number, seed in enumerate(SEEDS):
+        values = mix(codes ^ seed)
+        starts, at = minima(values, begin, width)
+        text = np.searchsorted(begin, starts, "right") - 1
         new = np.ones(len(starts), bool)
-        new[1:] = (places[f][1:] != places[f][:-1]) | (places[g][1:] != places[g][:-1]) | (text[1:] != text[:-1])
-        x, y = places[f][new], places[g][new]
-        keys.append(mix(values[f][x] * PAIR[0] + values[g][y] * PAIR[1] + np.uint64(number)))
+        new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
+        keys.append(mix(values[at[new]] + np.uint64(number)))
         owners.append(text[new])
-        anchors.append(x - begin[text[new]])
-    return np.concatenate(keys), np.concatenate(owners), np.concatenate(anchors)
+        anchors.append(at[new] - begin[text[new]])
+    keys, owners, anchors = np.concatenate(keys), np.concatenate(owners), np.concatenate(anchors)
+    some = ends_of_runs(keys, owners, anchors, width)
+    return keys[some], owners[some], anchors[some]
+
+
+def ends_of_runs(keys: np.ndarray, owners: np.ndarray, anchors: np.ndarray, width: int) -> np.ndarray:
+    """True for windows that the texts are compared by: the first and last two of a run of one signature.
+
+    Where a text repeats itself at a distance of at most ``width``, the same window
+    comes again and again; what lies around it changes at the ends of the run only.
+    """
+    order = np.argsort(mix(keys + owners.astype(np.uint64) * PAIR[0]), kind="stable")
+    key, text, at = keys[order], owners[order], anchors[order]
+    linked = (key[1:] == key[:-1]) & (text[1:] == text[:-1]) & (at[1:] - at[:-1] <= width)
+    some = np.ones(len(keys), bool)
+    inner = linked[1:-2] & linked[2:-1]
+    some[order[2:-2][inner & linked[:-3] & linked[3:]]] = False
+    return some
 
 
 def _table(key, doc, pos, other, other_pos, span) -> pa.RecordBatch:
@@ -128,22 +143,28 @@ def _ties(rows: DataFrame) -> DataFrame:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word hashes that each request (a text and a range of its words) asks for."""
-    last, hashes = None, None
+    """The word hashes of the ranges that are asked of each text."""
     for batch in batches:
-        rows = batch.select(["doc", "a", "from", "to"]).to_pydict()
-        base, out, later = [], [], pa.array([d == a for d, a in zip(rows["doc"], rows["a"], strict=True)])
-        for doc, text, first, end in zip(rows["doc"], batch.column("text"), rows["from"], rows["to"], strict=True):
-            text = text.as_buffer()
-            if hashes is None or (doc, text.size) != last:
-                data = np.frombuffer(text, np.uint8)
-                hashes, last = words(data, np.array([0, len(data)]))[0], (doc, text.size)
-            first = max(first, 0)
-            base.append(first)
-            out.append(hashes[first:end].tobytes())
-        names = ["a", "b", "shift"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(base, pa.int32()), pa.array(out, pa.binary()), later],
-                                         [*names, "base", "codes", "later"])
+        docs, first, last, base, out, size = [], [], [], [], [], 0
+        for doc, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            data = np.frombuffer(text.as_buffer(), np.uint8)
+            hashes = words(data, np.array([0, len(data)]))[0]
+            for r in ranges:
+                docs.append(doc)
+                first.append(r["from"])
+                last.append(r["to"])
+                base.append(max(r["from"], 0))
+                out.append(hashes[base[-1] : max(r["to"], 0)].tobytes())
+                size += len(out[-1])
+            if size >= STRETCH_TEXT:
+                yield _cut_batch(docs, first, last, base, out)
+                docs, first, last, base, out, size = [], [], [], [], [], 0
+        yield _cut_batch(docs, first, last, base, out)
+
+
+def _cut_batch(docs: list, first: list, last: list, base: list, out: list) -> pa.RecordBatch:
+    columns = [pa.array(docs, pa.int64()), *(pa.array(c, pa.int32()) for c in (first, last, base)), pa.array(out, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["doc", "from", "to", "base", "codes"])
 
 
 def _spans(x: np.ndarray, y: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int, float]]:
@@ -251,26 +272,26 @@ def repeated(docs: DataFrame, least: int = LEAST, percent: int = 80, key: str =
     which that other text is not in; its members are tied to its first one again,
     and so on until no group is left. A group shares at least one word more than
     the one it comes from, so after at most ``least`` rounds it shares a passage.
-    Equal passages are found always; near ones at similarity 0.8 in 0.998 of cases
-    for each stretch of ``least`` words they have.
+    Equal passages are found always; near ones at similarity 0.8 share a signature in
+    0.9997 of cases for each stretch of ``least`` words they have.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     docs = texts(docs, key, text).where("doc_id is not null")
     edge = least + RUN
 
     def check(ties: DataFrame, name: str) -> DataFrame:
-        asked = ties.select("a", "b", "shift", F.explode(F.array(
-            F.struct(F.col("a").alias("doc"), (F.col("first") - edge).alias("from"), (F.col("last") + edge).alias("to")),
-            F.struct(F.col("b").alias("doc"), (F.col("first") - F.col("shift") - edge).alias("from"), (F.col("last") - F.col("shift") + edge).alias("to")),
-        )).alias("r")).select("a", "b", "shift", "r.*")
-        cut = asked.hint("merge").join(docs.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "text", "from", "to", "a", "b", "shift")
-        cut = scratch.keep(f"{name}-cuts", cut.mapInArrow(
-            _slices, "a long, b long, shift int, base int, codes binary, later boolean"))
-        tie = ["a", "b", "shift"]
-        x = cut.where("later").select(*tie, F.col("base").alias("x_base"), F.col("codes").alias("x"))
-        y = cut.where("not later").select(*tie, F.col("base").alias("y_base"), F.col("codes").alias("y"))
-        both = x.hint("merge").join(y, tie).join(ties.select(*tie, "first", "last", "ranges"), tie)
-        found = scratch.keep(f"{name}-found", both.mapInArrow(_compare(least, percent), FOUND))
+        ends = {"a": F.lit(0), "b": F.col("shift")}
+        ties = ties.select("*", *((F.col(at) - shift + side * edge).cast("int").alias(f"{end}_{name_of}")
+                                  for end, shift in ends.items() for at, side, name_of in (("first", -1, "from"), ("last", 1, "to"))))
+        asked = reduce(DataFrame.unionByName, (ties.select(F.col(e).alias("doc"), F.col(f"{e}_from").alias("from"), F.col(f"{e}_to").alias("to")) for e in ends))
+        # each range once, however many texts are tied to it, and the ranges of a section of a text beside one copy of it
+        asked = asked.distinct().groupBy("doc", F.floor(F.col("from") / SECTION).alias("section")).agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+        cut = asked.hint("merge").join(docs.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "text", "ranges")
+        cut = scratch.keep(f"{name}-cuts", cut.mapInArrow(_slices, "doc long, from int, to int, base int, codes binary"))
+        for end, value in (("a", "x"), ("b", "y")):
+            own = cut.select(F.col("doc").alias(end), F.col("from").alias(f"{end}_from"), F.col("to").alias(f"{end}_to"), F.col("base").alias(f"{value}_base"), F.col("codes").alias(value))
+            ties = ties.hint("merge").join(own, [end, f"{end}_from", f"{end}_to"])
+        found = scratch.keep(f"{name}-found", ties.mapInArrow(_compare(least, percent), FOUND))
         scratch.drop(f"{name}-cuts")
         return found
 
@@ -289,25 +310,24 @@ def repeated(docs: DataFrame, least: int = LEAST, percent: int = 80, key: str =
     return out.dropDuplicates(["doc_id", "start_word", "end_word", "source_id", "source_start", "source_end"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for value, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-            raw = value.as_buffer().to_pybytes() if value.is_valid else b""
-            if not spans:
-                out.append(value.as_py())
-                continue
-            _, starts, ends, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            keep, at = [], 0
-            for s in sorted(spans, key=lambda s: (s["start_word"], s["end_word"])):
-                lo, hi = int(starts[s["start_word"]]), int(ends[s["end_word"] - 1])
-                if lo > at:
-                    keep.append(raw[at:lo])
-                at = max(at, hi)
-            out.append(b"".join([*keep, raw[at:]]).decode("utf-8", "replace"))
-        place = batch.schema.get_field_index("text")
-        columns = [pa.array(out, pa.string()) if i == place else c for i, c in enumerate(batch.columns)]
-        yield pa.RecordBatch.from_arrays(columns[:-1], batch.schema.names[:-1])
+@F.arrow_udf(StringType())
+def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without the words of their spans (if any), from the first sign of the first to the last sign of the last."""
+    out = []
+    for value, own in zip(texts, spans.to_pylist(), strict=True):
+        if own is None or not value.is_valid:
+            out.append(value.as_py())
+            continue
+        raw = value.as_buffer().to_pybytes()
+        _, starts, ends, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        keep, at = [], 0
+        for s in sorted(own, key=lambda s: (s["start_word"], s["end_word"])):
+            lo, hi = int(starts[s["start_word"]]), int(ends[s["end_word"] - 1])
+            if lo > at:
+                keep.append(raw[at:lo])
+            at = max(at, hi)
+        out.append(b"".join([*keep, raw[at:]]).decode("utf-8", "replace"))
+    return pa.array(out, pa.string())
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, percent: int = 80) -> DataFrame:
@@ -315,12 +335,20 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, percent: int = 80) -> Da
 
     A passage goes from the first to the last sign of its words; the rest of the
     text stays as it is. Documents of which no word is left are dropped.
-    Documents without repeated passages are unchanged. Other columns stay.
+    Documents without repeated passages are unchanged, as are those with a null id,
+    a null or an empty text, and all other columns, whatever their names. Rows that
+    repeat a doc_id with one text lose the same passages; where their texts differ,
+    both count as one document and keep theirs. Very long texts are handled whole.
+    An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "passages")
-    found = repeated(docs, least, percent).groupBy(F.col("doc_id").alias("__doc")).agg(
-        F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    found = repeated(docs, least, percent)
+    found = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     found = scratch.keep("spans", found)
-    both = docs.join(found, docs["doc_id"] == found["__doc"], "left").select(*docs.columns, "spans")
-    cut = both.mapInArrow(_cut, docs.schema)
-    return cut.where((F.regexp_instr("text", F.lit(r"[^\x20\x09-\x0D]")) > 0) | F.col("text").isNull() | (F.length("text") == 0))
+    mixed = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).where("x <> y")
+    found = found.join(mixed.select("id"), "id", "left_anti")
+    both = packed(docs, F.col("doc_id").cast("long").alias("id")).join(found, "id", "left")
+    text = F.col("row").getField("text")
+    both = both.withColumn("cut", _without(text, F.col("spans")))
+    both = both.where(F.col("spans").isNull() | (F.regexp_instr("cut", F.lit(r"[^\x20\x09-\x0D]")) > 0))
+    return unpacked(both, docs.columns, text=F.col("cut"))

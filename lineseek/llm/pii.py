@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineseek.llm.common import Scratch, texts
+from lineseek.llm.common import Scratch, packed, texts, unpacked
 
 #: Kinds in the order of ties; the learned one last.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -26,11 +26,13 @@ PATTERNS = {
     "id": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+",
 }
 NEEDS = {"email": "@", "phone": "+"}
-#: Signs to the left that a pattern is taken from.
+#: Signs to the left that the words of a pattern are taken from; longer words are cut.
 CONTEXT = 48
 ROUNDS = 3
 #: A pattern is reliable with this score, and so many different known strings in its slot.
 RELIABLE, SUPPORT, DAMPING = 0.8, 5, 1.0
+#: Signs, letters and digits that a string has at least which can only be a secret.
+SECRET = 24, 4, 6
 
 
 def _matches(docs: DataFrame) -> DataFrame:
@@ -44,11 +46,21 @@ def _matches(docs: DataFrame) -> DataFrame:
         d = d.withColumn(f"{kind}_gaps", F.when(guard, F.split("text", pattern, -1)).otherwise(none))
         d = d.withColumn(f"{kind}_values", F.when(guard, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
 
+    def last(text: Column) -> Column:
+        return F.coalesce(F.substring(text, -CONTEXT, CONTEXT), F.lit(""))
+
     def listed(number: int, kind: str) -> Column:
         gaps, values = F.col(f"{kind}_gaps"), F.col(f"{kind}_values")
+
+        def left(i: Column) -> Column:
+            """The signs before a slot, over the two slots before it where these are near."""
+            if kind != "id":
+                return F.lit("")
+            return last(F.concat(*(last(F.get(of, i - back)) for back in (2, 1) for of in (gaps, values)), last(gaps[i])))
+
         rows = F.transform(F.sequence(F.lit(0), F.size(values) - 1), lambda i: F.struct(
             F.lit(number).alias("kind"), i.alias("k"), F.length(gaps[i]).alias("gap"), values[i].alias("value"),
-            F.substring(gaps[i], -CONTEXT, CONTEXT).alias("left")))
+            left(i).alias("left")))
         return F.when(F.size(values) > 0, rows).otherwise(F.array().cast("array<struct<kind:int,k:int,gap:int,value:string,left:string>>"))
 
     some = [listed(n, kind) for n, kind in enumerate(PATTERNS)]
@@ -110,15 +122,17 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """doc_id, mark (hash of the text), kind (number in KINDS), start, end of every span, each once.
 
     Base kinds: leftmost non-overlapping matches of the pattern; matches that fail
-    the kind's test are dropped, not retried. The learned kind ``id``: words in the
-    slot of a reliable pattern that no base span overlaps.
+    the kind's test are dropped, not retried. The learned kind ``id``: words that no
+    base span overlaps and that stand in the slot of a reliable pattern or can only
+    be secrets (``SECRET``), wherever these stand. A pattern is the one or two words
+    before a slot, as far as they lie in the last ``CONTEXT`` signs before it.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     matches = scratch.keep("matches", _matches(texts(docs, key, text)))
     placed = scratch.keep("placed", _placed(matches).where(_valid()))
     base = placed.where("kind < 4")
     covered = base.select("row", F.col("start").alias("from"), F.col("end").alias("to"))
-    slots = placed.where("kind = 4").withColumn("patterns", _contexts()).where("size(patterns) > 0")
+    slots = placed.where("kind = 4").withColumn("patterns", _contexts())
     # overlap with a base span of the same text: the nearest base ends and starts by running maxima, no pairs
     marks = slots.select("row", "start", "end", F.lit(1).alias("slot")).unionByName(
         covered.select("row", F.col("from").alias("start"), F.col("to").alias("end"), F.lit(0).alias("slot")))
@@ -127,11 +141,12 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     marks = marks.withColumn("reach", F.max(F.when(F.col("slot") == 0, F.col("end"))).over(before)).withColumn(
         "next", F.min(F.when(F.col("slot") == 0, F.col("start"))).over(after))
     marks = marks.where("slot = 1").select("row", "start", F.coalesce((F.col("reach") > F.col("start")) | (F.col("next") < F.col("end")), F.lit(False)).alias("inside"))
-    slots = scratch.keep("slots", slots.join(marks, ["row", "start"]).withColumn("pattern", F.explode("patterns")).drop("patterns", "left"))
     letters, digits = F.length(F.regexp_replace("value", "[^A-Za-z]", "")), F.length(F.regexp_replace("value", "[^0-9]", ""))
-    secret = (F.length("value") >= 24) & (letters >= 4) & (digits >= 6)
-    reliable = patterns(slots.select("pattern", "value", (F.col("inside") | secret).alias("seed")), scratch)
-    learned = slots.where("not inside").join(reliable.select("pattern"), "pattern")
+    secret = (F.length("value") >= SECRET[0]) & (letters >= SECRET[1]) & (digits >= SECRET[2])
+    slots = slots.join(marks, ["row", "start"]).withColumn("secret", secret).withColumn("pattern", F.explode_outer("patterns"))
+    slots = scratch.keep("slots", slots.drop("patterns", "left"))
+    reliable = patterns(slots.where("pattern is not null").select("pattern", "value", (F.col("inside") | F.col("secret")).alias("seed")), scratch)
+    learned = slots.where("not inside and not secret").join(reliable.select("pattern"), "pattern").unionByName(slots.where("not inside and secret"))
     columns = ["doc_id", "mark", "kind", "start", "end"]
     return scratch.keep("spans", base.select(columns).unionByName(learned.select(columns)).distinct())
 
@@ -167,7 +182,9 @@ def extract(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    Texts without spans and all other columns stay as they are.
+    Texts without spans (null and empty ones among them) and all other columns stay
+    as they are, whatever their names; texts of null ids are redacted too. Rows that repeat are redacted alike, texts that share an id each
+    for itself. Very long texts are read whole. An empty table gives no rows.
     """
     found = spans(docs)
     w = Window.partitionBy("doc_id", "mark").orderBy("start", "kind")
@@ -177,9 +194,10 @@ def redact(docs: DataFrame) -> DataFrame:
     merged = merged.withColumn("from", F.coalesce(F.lag("end").over(Window.partitionBy("doc_id", "mark").orderBy("start")), F.lit(0)))
     cuts = merged.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "from"))).alias("cuts"))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.col("text")
+    text = F.col("row").getField("text")
     parts = F.transform("cuts", lambda c: F.concat(F.substring(text, c["from"].cast("int") + 1, (c["start"] - c["from"]).cast("int")), names[c["kind"]]))
     tail = F.substring(text, F.element_at("cuts", -1)["end"].cast("int") + 1, F.length(text))
-    both = docs.alias("d").join(cuts.alias("c"), F.expr("d.doc_id <=> c.doc_id and xxhash64(coalesce(d.text, '')) = c.mark"), "left")
+    rows = packed(docs, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
+    both = rows.join(cuts.withColumnsRenamed({"doc_id": "found_id"}), F.expr("id <=> found_id and own = mark"), "left")
     new = F.when(F.col("cuts").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), tail))
-    return both.select(*(new.alias("text") if c == "text" else F.col(f"d.{c}") for c in docs.columns))
+    return unpacked(both, docs.columns, text=new)
