@@ -214,9 +214,28 @@ def _wider(x: np.ndarray, y: np.ndarray, offset: int, first: int, last: int, ran
     else:
         pairs = [((e - RUN, e), (s, s + RUN), s, e) for s, e in stretches]
     out = {(lo, e + 1) for (lo, _), _, _, e in pairs if e < len(x)} | {(s - 1, hi) for _, (_, hi), s, _ in pairs if s > 0}
+    out = {w for r in out if r[1] - r[0] <= least for w in _beyond_run(x, *r, least)}
     return sorted(r for r in out if r[1] - r[0] <= least)
 
 
+def _beyond_run(x: np.ndarray, lo: int, hi: int, least: int) -> list[tuple[int, int]]:
+    """The range itself or, where its words only repeat one another, ranges over the ends of this run.
+
+    A passage around such a range holds an end of the run, or ``least`` words of the
+    run alone, so the range need not grow through the run word by word.
+    """
+    for period in range(1, RUN // 2 + 2):
+        if 2 * period <= hi - lo and (x[lo + period : hi] == x[lo : hi - period]).all():
+            same = x[period:] == x[:-period]
+            before, after = np.flatnonzero(~same[:lo]), np.flatnonzero(~same[lo:])
+            begin = int(before[-1]) + 1 if len(before) else 0
+            end = (int(after[0]) + lo if len(after) else len(same)) + period
+            out = [(begin + k, begin + k + least) for k in range(period) if begin + k + least <= end]
+            out += [(begin - 1, begin + RUN)] if begin > 0 else []
+            return out + ([(end - RUN, end + 1)] if end < len(x) else [])
+    return [(lo, hi)]
+
+
 def _compare(least: int, percent: int):
     width = least - RUN + 1
 

@@ -221,6 +221,27 @@ def test_passages_behind_a_common_phrase(spark):
         assert words <= got.get(doc, set()), doc
 
 
+def test_passages_of_texts_that_repeat_themselves(spark):
+    """Runs of one word and of a few, of all lengths, alone and with equal words around them; and not round by round."""
+    rnd = random.Random(15)
+    own = lambda n: [f"o{rnd.randrange(10**9)}" for _ in range(n)]
+    runs = [["la"], ["da", "di"], ["x", "y", "z"]]
+    after, before = own(44), own(44)
+    texts = [own(3) + run * (30 // len(run)) + own(3) for run in runs]
+    for run in runs:
+        for n in (7, 20, 49, 51, 60, 90, 150):
+            repeated = (run * n)[rnd.randrange(3) :][:n]
+            texts += [own(5) + repeated + own(5), own(5) + repeated + after + own(4), own(2) + before + repeated + own(7)]
+    rows = {i: " ".join(t) for i, t in enumerate(texts)}
+    got = {}
+    for r in passages.repeated(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    want = brute_passages(rows)
+    assert len(want) > 30
+    for doc, words in want.items():
+        assert words <= got.get(doc, set()), doc
+
+
 def test_embeddings_equal_brute_force(spark, given):
     rnd = np.random.default_rng(7)
     rows = []
