@@ -41,3 +41,12 @@ def trace_sampled(trace_id: Column, ratio: float, parent_sampled: Column | None
     else:
         own = F.lower(F.right(F.lpad(trace_id, 32, "0"), F.lit(16))) < F.lit(f"{bound:016x}")
     return own if parent_sampled is None else F.coalesce(parent_sampled, own)
+
+
+#: Buckets of a saved index; one should fit a task.
+BUCKETS = 32
+
+
+def bucket_of(line: Column | str, buckets: int) -> Column:
+    """The bucket that Spark's own bucketing gives a line."""
+    return F.pmod(F.hash(line), F.lit(buckets))

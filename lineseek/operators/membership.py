@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineseek.functions.hashing import FILTER_BITS, bit_address
+from lineseek.functions.hashing import BUCKETS, FILTER_BITS, bit_address, bucket_of
 from lineseek.functions.text import WHITESPACE, normalise_query
 from lineseek.functions.verdicts import verdict
 from lineseek.plans.session import materialise
@@ -40,9 +40,27 @@ def found_lines(lines: DataFrame, queries: DataFrame, query_col: str = "query")
     return lines.select("line").join(needles, "line", "left_semi").distinct()
 
 
+def lookup_pruned(index: DataFrame, queries: DataFrame, query_col: str = "query", buckets: int = BUCKETS) -> DataFrame:
+    """``lookup`` in a table of ``sources.index.save``: only the folders that can hold a query are read.
+
+    The folders come from the broadcast queries themselves while the query runs; a
+    batch too large to broadcast joins bucket by bucket, without a shuffle of the index.
+    """
+    needles = _needles(queries, query_col).where(F.length("line") > 0).withColumn("part", bucket_of("line", buckets))
+    if fits(needles):
+        hits = index.select("line", "part").join(F.broadcast(needles), ["part", "line"], "left_semi")
+    else:
+        hits = index.select("line").join(needles.select("line").hint("merge"), "line", "left_semi")
+    return _answered(queries, hits.select("line"), query_col)
+
+
 def lookup(lines: DataFrame, queries: DataFrame, query_col: str = "query") -> DataFrame:
     """queries + ``found`` + ``verdict``. Empty queries are never found."""
-    hits = found_lines(lines, queries, query_col).select(F.col("line").alias(query_col), F.lit(True).alias("hit"))
+    return _answered(queries, found_lines(lines, queries, query_col), query_col)
+
+
+def _answered(queries: DataFrame, found: DataFrame, query_col: str) -> DataFrame:
+    hits = found.select(F.col("line").alias(query_col), F.lit(True).alias("hit"))
     return (
         queries.join(hits, query_col, "left")
         .withColumn("found", F.coalesce("hit", F.lit(False)))

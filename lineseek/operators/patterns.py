@@ -6,22 +6,25 @@ Substring patterns
                    equality join on the gram's hash; the text itself then decides.
                    Work grows with the text, not with patterns x lines.
 Regex patterns
-    no key exists in general, so each pattern has to be tried on each line. They
-    are compiled into literal tests, ``PER_SCAN`` to a scan, and any number of
-    patterns is taken by running more scans.
+    texts that every match must hold are read off the pattern. Few patterns are
+    literal tests of shared scans, ``PER_SCAN`` to a scan, where these texts are
+    looked for before the pattern is tried; of many patterns the rarest texts
+    meet the lines by the gram join, and a pattern is tried on its candidates
+    only. Patterns without such texts are tried on every line.
 
 Both return ``(pattern_id, <line columns>)``, one row per match.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from lineseek.functions import regex
+from lineseek.functions import factors, regex
 from lineseek.operators.search import SearchOptions, limit_per_query, predicate
 from lineseek.plans.session import materialise
 from lineseek.plans.sizing import broadcast_if_small, fits
@@ -30,6 +33,8 @@ PER_SCAN = 64
 PER_PLAN = 1024
 # literal tests that cost as much as cutting the text at every character once
 TESTS_PER_WALK = 200
+# patterns beyond which their texts are joined to the lines instead of tested one by one
+REGEX_TESTS = 128
 # (shortest pattern, gram length, stride). Long grams keep candidate pairs few,
 # strides keep cuts few. Patterns shorter than the last band are their own gram.
 LONG_BAND = (16, 9, 8)
@@ -185,22 +190,83 @@ def _gram_matches(
     return pairs.join(lines, [*within, line_key]).where(first_hit).select("pattern_id", *lines.columns)
 
 
+def _compiled(spark: SparkSession, pattern: str, ignore_case: bool) -> str | None:
+    """The pattern in the JVM's spelling, if it is one that runs there."""
+    if not regex.is_valid(pattern):
+        return None
+    translated = regex.to_jvm(pattern, ignore_case)
+    return translated if regex.runs_on_jvm(spark, translated) else None
+
+
+def _guarded(text: Column, pattern: str, translated: str, ignore_case: bool) -> Column:
+    """The test for a pattern behind those for the texts that its matches must hold."""
+    within = F.lower(text) if factors.folds(pattern, ignore_case) else text
+    groups = [reduce(lambda a, b: a | b, [F.contains(within, F.lit(t)) for t in sorted(g)]) for g in factors.required(pattern, ignore_case)]
+    return reduce(lambda a, b: a & b, [*groups, text.rlike(translated)])
+
+
 def regex_matches(
-    lines: DataFrame, patterns: DataFrame, ignore_case: bool = False, text_col: str = "line"
+    lines: DataFrame, patterns: DataFrame, ignore_case: bool = False, text_col: str = "line", line_key: str = "first_pos",
+    strategy: str = "auto",
 ) -> DataFrame:
     """Every (pattern, line) where the regex is found in the line.
 
     Invalid patterns match nothing here; ``operators.requests`` reports them. A
     pattern that the JVM refuses is left out as well, so it fails no other one.
+    ``strategy``: auto, scan (tests on every line) or factors (candidates by the
+    gram join; ``line_key`` is unique in ``lines``) - same rows each way.
     """
-    def test(r: Row) -> Column | None:
-        if regex.is_valid(r["pattern"]):
-            translated = regex.to_jvm(r["pattern"], ignore_case)
-            if regex.runs_on_jvm(lines.sparkSession, translated):
-                return F.col(text_col).rlike(translated)
-        return None
+    if strategy not in ("auto", "scan", "factors"):
+        raise ValueError("strategy must be auto, scan or factors")
+    patterns = patterns.select("pattern_id", "pattern")
+    spark = lines.sparkSession
 
-    return _passes(lines, patterns.select("pattern_id", "pattern"), test)
+    def test(r: Row) -> Column | None:
+        translated = _compiled(spark, r["pattern"], ignore_case)
+        return None if translated is None else _guarded(F.col(text_col), r["pattern"], translated, ignore_case)
+
+    if strategy == "scan" or strategy == "auto" and patterns.limit(REGEX_TESTS + 1).count() <= REGEX_TESTS:
+        return _passes(lines, patterns, test)
+    known = materialise(patterns.join(_factored(patterns.select("pattern").distinct(), ignore_case), "pattern", "left"), "factored")
+    without = _passes(lines, known.where("texts is null").select("pattern_id", "pattern"), test)
+    return _candidates(lines, known.where("texts is not null"), text_col, line_key).unionByName(without)
+
+
+FACTORS = "pattern string, translated string, folded boolean, texts array<string>"
+
+
+def _factored(patterns: DataFrame, ignore_case: bool) -> DataFrame:
+    """pattern, translated, folded and texts (of the rarest group) of the patterns that have any."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for pattern in batch["pattern"]:
+                if pattern is None or not regex.is_valid(pattern):
+                    continue
+                group = factors.best(factors.required(pattern, ignore_case))
+                if group:
+                    rows.append((pattern, regex.to_jvm(pattern, ignore_case), factors.folds(pattern, ignore_case), sorted(group)))
+            yield pd.DataFrame(rows, columns=["pattern", "translated", "folded", "texts"])
+
+    return patterns.mapInPandas(run, FACTORS)
+
+
+def _candidates(lines: DataFrame, known: DataFrame, text_col: str, line_key: str) -> DataFrame:
+    """Lines that hold one of the texts of a pattern, and on which it is found."""
+    spelled = known.select("pattern_id", "translated", "folded", F.explode("texts").alias("text"))
+    texts = materialise(spelled.select("folded", "text").distinct().select(F.monotonically_increasing_id().alias("pattern_id"), "folded", F.col("text").alias("pattern")), "texts")
+    views = lines.select(text_col, line_key, F.explode(F.array(
+        F.struct(F.lit(False).alias("folded"), F.col(text_col).alias("seen")), F.struct(F.lit(True).alias("folded"), F.lower(text_col).alias("seen")),
+    )).alias("v")).select(text_col, line_key, "v.*")
+    kinds = [r[0] for r in texts.select("folded").distinct().collect()]
+    views = views.where(F.col("folded").isin(kinds))
+    hits = substring_matches(views, texts, "seen", line_key, within=("folded",)).select(F.col("pattern_id").alias("text_id"), line_key)
+    asked = spelled.join(texts.select("folded", F.col("pattern").alias("text"), F.col("pattern_id").alias("text_id")), ["folded", "text"])
+    # a line that holds several texts of one pattern is tried once
+    pairs = hits.join(broadcast_if_small(asked.select("text_id", "pattern_id", "translated")), "text_id").select("pattern_id", "translated", line_key).distinct()
+    found = pairs.join(lines, line_key).where(F.expr(f"`{text_col}` rlike translated"))
+    return found.select("pattern_id", *lines.columns)
 
 
 def offsets(lines: DataFrame, needle: str, text_col: str = "line") -> DataFrame:

@@ -4,6 +4,11 @@ One row per distinct line with both search views in it (``is_fold`` marks the
 line that stands for its lower-cased form). Range-partitioned and sorted by
 line, so a lookup reads only the row groups whose min/max can hold it; the
 Parquet bloom filter rejects most absent lines without reading any data.
+
+``save`` lays the same table out by the hash of the line instead: a folder and a
+bucket for each hash value, sorted by line. Batches of look-ups then read only the
+folders of their own lines (dynamic partition pruning), and joins on the line
+need no shuffle of the index.
 """
 
 from __future__ import annotations
@@ -11,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineseek.functions.hashing import BUCKETS, bucket_of
 from lineseek.operators.corpus import exact_view, with_fold
 
 COLUMNS = ("line", "line_lower", "n_occurrences", "first_pos", "last_pos", "last_line_no", "is_fold", "fold_first_pos")
 
-
 def build(lines: DataFrame) -> DataFrame:
     return with_fold(exact_view(lines)).select(*COLUMNS)
 
@@ -31,6 +36,20 @@ def write(lines: DataFrame, path: str, partitions: int | None = None, mode: str
     )
 
 
+def save(lines: DataFrame, name: str, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """The index as table ``name`` at ``path``, with the column ``part`` (the bucket of the line) as folders."""
+    table = build(lines).withColumn("part", bucket_of("line", buckets)).repartition(buckets, "line")
+    (
+        table.write.partitionBy("part")
+        .bucketBy(buckets, "line")
+        .sortBy("line")
+        .option("path", path)
+        .option("parquet.bloom.filter.enabled#line", "true")
+        .saveAsTable(name)
+    )
+    return lines.sparkSession.table(name)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
