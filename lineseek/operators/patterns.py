@@ -5,6 +5,9 @@ Substring patterns
     more patterns: patterns and lines are cut into short grams and meet by an
                    equality join on the gram's hash; the text itself then decides.
                    Work grows with the text, not with patterns x lines.
+    short ones:    many patterns of up to five characters are walked as one trie
+                   (``operators.automaton``), as their grams would be every place
+                   of the text.
 Regex patterns
     texts that every match must hold are read off the pattern. Few patterns are
     literal tests of shared scans, ``PER_SCAN`` to a scan, where these texts are
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lineseek.functions import factors, regex
+from lineseek.operators import automaton
 from lineseek.operators.search import SearchOptions, limit_per_query, predicate
 from lineseek.plans.session import materialise
 from lineseek.plans.sizing import broadcast_if_small, fits
@@ -121,7 +125,7 @@ def substring_matches(
     """Every (pattern, line) where the line contains the pattern, once each.
 
     ``patterns`` has ``(pattern_id bigint, pattern string)``; ``line_key`` is
-    unique in ``lines``. ``strategy``: auto, scan or grams - same rows each way.
+    unique in ``lines``. ``strategy``: auto, scan, grams or trie - same rows each way.
     Bytes that are not UTF-8 count as (and come out as) U+FFFD.
     ``within``: columns of both tables that must be equal as well (``line_key`` is
     then unique together with them).
@@ -132,14 +136,31 @@ def substring_matches(
     testing for that pair verifies the match and keeps it single without a
     ``distinct``. The big side is cut s times less often than the text is long.
     """
-    if strategy not in ("auto", "scan", "grams"):
-        raise ValueError("strategy must be auto, scan or grams")
-    patterns = patterns.where(F.length("pattern") > 0).select("pattern_id", "pattern", *within)
+    if strategy not in ("auto", "scan", "grams", "trie"):
+        raise ValueError("strategy must be auto, scan, grams or trie")
+    patterns = patterns.where(F.length("pattern") > 0).select(F.col("pattern_id").cast("bigint"), "pattern", *within)
     # places are counted in characters: both strategies see the same, valid ones
     lines = lines.withColumn(text_col, F.make_valid_utf8(text_col))
     # one row per length up to that of the long band
     size = F.least(F.length("pattern"), F.lit(LONG_BAND[0]))
     counts = {r["n"]: r["count"] for r in patterns.groupBy(size.alias("n")).count().collect()}
+    short = [n for n in counts if n <= automaton.LONGEST]
+    if short and (strategy == "trie" or strategy == "auto" and sum(counts[n] for n in short) > TESTS_PER_WALK):
+        found = automaton.short_matches(lines, patterns.where(size <= automaton.LONGEST), text_col, within)
+        if found is not None:
+            others = {n: c for n, c in counts.items() if n not in short}
+            if not others:
+                return found
+            rest = _by_length(lines, patterns.where(size > automaton.LONGEST), others, text_col, line_key, strategy, within)
+            return found.unionByName(rest)
+    return _by_length(lines, patterns, counts, text_col, line_key, strategy, within)
+
+
+def _by_length(
+    lines: DataFrame, patterns: DataFrame, counts: dict[int, int], text_col: str, line_key: str, strategy: str, within: tuple[str, ...],
+) -> DataFrame:
+    """Walks for the lengths that have enough patterns, literal tests for the others."""
+    size = F.least(F.length("pattern"), F.lit(LONG_BAND[0]))
     bands = _bands(list(counts))
     walk_of = {n: next(((q, s) for low, q, s in bands if n >= low), (n, 1)) for n in counts}
     per_walk: dict[tuple[int, int], int] = {}
@@ -147,7 +168,7 @@ def substring_matches(
         per_walk[walk_of[n]] = per_walk.get(walk_of[n], 0) + count
     # a walk over the text pays once it replaces enough literal tests
     walks = sorted(
-        w for w, count in per_walk.items() if strategy == "grams" or (strategy == "auto" and count * w[1] > TESTS_PER_WALK)
+        w for w, count in per_walk.items() if strategy == "grams" or (strategy != "scan" and count * w[1] > TESTS_PER_WALK)
     )
     walked = [n for n in counts if walk_of[n] in walks]
 
@@ -165,8 +186,9 @@ def substring_matches(
 
 def _gram_matches(
     lines: DataFrame, patterns: DataFrame, text_col: str, line_key: str, within: tuple[str, ...],
-    bands: list[tuple[int, int, int]], walks: list[tuple[int, int]],
+    bands: list[tuple[int, int, int]], walks: list[tuple[int, int]], every: bool = False,
 ) -> DataFrame:
+    """Lines by gram join; ``every`` occurrence, with its ``offset``, or the first one only."""
     keyed = _keyed(patterns, bands, within)
     small = fits(keyed)
     kept = lines.columns if small else [*within, line_key, text_col]
@@ -176,18 +198,22 @@ def _gram_matches(
         .withColumn("gram_key", F.xxhash64("gram", *within))
     )
     at = F.instr(F.col(text_col), F.col("pattern"))
-    first_hit = (at > 0) & (at - 1 == F.col("cut") * F.col("stride") - F.col("shift"))
+    place = F.col("cut") * F.col("stride") - F.col("shift")
+    first_hit = (at > 0) & (at - 1 == place)
+    if every:
+        first_hit = (place >= 0) & (F.expr(f"substring(`{text_col}`, cut * stride - shift + 1, length(pattern))") == F.col("pattern"))
+    put_out = ["pattern_id", *lines.columns, *([place.cast("bigint").alias("offset")] if every else [])]
     on = ["gram_key", *within]
     if small:
         # the gram lookup happens where the line is read; no shuffle
-        return grams.join(F.broadcast(keyed), on).where(first_hit).select("pattern_id", *lines.columns)
+        return grams.join(F.broadcast(keyed), on).where(first_hit).select(*put_out)
     # Pattern tables past the bound: shuffle (gram, line key, cut), not the text,
     # then bring the text to the candidate pairs only. A frequent gram is split by
     # AQE's skew join.
     pairs = grams.select(*on, line_key, "cut").join(
         keyed.select(*on, "pattern_id", "pattern", "stride", "shift"), on
     )
-    return pairs.join(lines, [*within, line_key]).where(first_hit).select("pattern_id", *lines.columns)
+    return pairs.join(lines, [*within, line_key]).where(first_hit).select(*put_out)
 
 
 def _compiled(spark: SparkSession, pattern: str, ignore_case: bool) -> str | None:
@@ -269,34 +295,72 @@ def _candidates(lines: DataFrame, known: DataFrame, text_col: str, line_key: str
     return found.select("pattern_id", *lines.columns)
 
 
+def offsets_of_many(
+    lines: DataFrame, patterns: DataFrame, text_col: str = "line", line_key: str = "first_pos", strategy: str = "auto",
+) -> DataFrame:
+    """(pattern_id, <line columns>, offset): every place of every pattern, overlapping ones included.
+
+    Short patterns come from the trie walk (``strategy`` auto; grams leaves it out).
+    Of longer ones each occurrence covers exactly one (cut, place) pair of the gram
+    join, so it comes out once, tested at its own place. Empty and null patterns have
+    no place; invalid bytes count as U+FFFD.
+    """
+    if strategy not in ("auto", "grams"):
+        raise ValueError("strategy must be auto or grams")
+    patterns = patterns.where(F.length("pattern") > 0).select(F.col("pattern_id").cast("bigint"), "pattern")
+    lines = lines.withColumn(text_col, F.make_valid_utf8(text_col))
+    size = F.least(F.length("pattern"), F.lit(LONG_BAND[0]))
+    lengths = [r["n"] for r in patterns.select(size.alias("n")).distinct().collect()]
+    parts = []
+    if strategy == "auto" and any(n <= automaton.LONGEST for n in lengths):
+        found = automaton.short_matches(lines, patterns.where(size <= automaton.LONGEST), text_col, every=True)
+        if found is not None:
+            parts.append(found)
+            lengths = [n for n in lengths if n > automaton.LONGEST]
+    if lengths:
+        bands = _bands(lengths)
+        walks = sorted({next(((q, s) for low, q, s in bands if n >= low), (n, 1)) for n in lengths})
+        parts.append(_gram_matches(lines, patterns.where(size.isin(lengths)), text_col, line_key, (), bands, walks, every=True))
+    empty = lines.select(F.lit(None).cast("bigint").alias("pattern_id"), "*", F.lit(None).cast("bigint").alias("offset")).limit(0)
+    return reduce(DataFrame.unionByName, parts) if parts else empty
+
+
+#: Pieces of a line whose places are put together in one array.
+PIECES = 512
+
+
 def offsets(lines: DataFrame, needle: str, text_col: str = "line") -> DataFrame:
     """All 0-based places of a text in each line, overlapping ones included.
 
     The line is cut in front of every occurrence; the running length of the
-    pieces gives the places in one pass.
+    pieces gives the places, block by block of ``PIECES`` pieces, so that no array
+    grows with the number of places in a line.
     """
     if not needle:
         raise ValueError("INVALID_REQUEST: empty query")
+
+    def running(values: Column, start: Column, size_of: Callable[[Column], Column]) -> Column:
+        """The sum before each value."""
+        nothing = F.struct(start.alias("at"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(
+            values, nothing,
+            lambda acc, x: F.struct((acc["at"] + size_of(x)).alias("at"), F.array_append(acc["before"], acc["at"]).alias("before")),
+            lambda acc: acc["before"],
+        )
+
     pieces = F.split(F.col(text_col), f"(?={regex.quoted(needle)})")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
-    walked = F.aggregate(
-        "pieces",
-        start,
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.length(piece)).alias("at"),
-            F.when(F.startswith(piece, F.lit(needle[0])), F.array_append(acc["places"], acc["at"]))
-            .otherwise(acc["places"])
-            .alias("places"),
-        ),
-        lambda acc: acc["places"],
-    )
-    return (
-        lines.where(F.contains(F.col(text_col), F.lit(needle)))
-        .withColumn("pieces", pieces)
-        .select(*lines.columns, F.explode(walked).alias("place"))
-        .select(*lines.columns, F.col("place").cast("bigint").alias("offset"))
-        .where(F.substring(F.col(text_col), F.col("offset").cast("int") + 1, F.lit(len(needle))) == F.lit(needle))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("__pieces") - 1) / PIECES).cast("int")),
+        lambda b: F.slice("__pieces", b * PIECES + 1, F.lit(PIECES)),
     )
+    sizes = F.transform("__blocks", lambda block: F.aggregate(block, F.lit(0), lambda n, piece: n + F.length(piece)))
+    cut = lines.where(F.contains(F.col(text_col), F.lit(needle))).withColumn("__pieces", pieces).withColumn("__blocks", blocks)
+    cut = cut.withColumn("__starts", running(sizes, F.lit(0), lambda n: n))
+    each = cut.select(*lines.columns, F.explode(F.arrays_zip("__blocks", "__starts")).alias("__b"))
+    places = running(F.col("__b.__blocks"), F.col("__b.__starts"), F.length)
+    both = each.select(*lines.columns, F.explode(places).alias("offset")).withColumn("offset", F.col("offset").cast("bigint"))
+    # every piece but the one that leads the line starts at an occurrence
+    return both.where((F.col("offset") > 0) | F.startswith(F.col(text_col), F.lit(needle)))
 
 
 def batch_search(index: DataFrame, queries: DataFrame) -> DataFrame:

@@ -69,10 +69,10 @@ def required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.clean(items).select("line").distinct()
 
 
-def words(spark: SparkSession, sf_dir: str, shortest: int) -> DataFrame:
-    """Distinct benchmark words of at least ``shortest`` characters, as patterns."""
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distinct benchmark words, as patterns."""
     word = F.explode(F.split(F.regexp_replace("text", "\n", " "), " ")).alias("pattern")
-    found = table(spark, sf_dir, "benchmark").select(word).where(F.length("pattern") >= shortest).distinct()
+    found = table(spark, sf_dir, "benchmark").select(word).where(F.col("pattern") != "").distinct()
     return found.select(F.xxhash64("pattern").alias("pattern_id"), "pattern")
 
 
@@ -149,11 +149,11 @@ def exact_single(spark, sf_dir):
 
 @register(f"""WITH {SQL_LINES}, p AS (
   SELECT DISTINCT word AS query FROM (
-    SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM benchmark) WHERE length(word) >= 6)
+    SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM benchmark) WHERE word <> '')
 SELECT query, EXISTS (SELECT 1 FROM (SELECT DISTINCT line FROM lines) l WHERE starts_with(l.line, query)) AS found
 FROM p""")
 def search_prefix_batch(spark, sf_dir):
-    queries = words(spark, sf_dir, 6).select(F.col("pattern").alias("query"))
+    queries = words(spark, sf_dir).select(F.col("pattern").alias("query"))
     return membership.prefix_exists(doc_lines(spark, sf_dir).select("line").distinct(), queries)
 
 
@@ -241,17 +241,32 @@ def substring_offsets(spark, sf_dir):
 
 
 SQL_WORDS = """p AS (SELECT DISTINCT word AS pattern FROM (
-    SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM benchmark) WHERE length(word) >= 8)"""
+    SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM benchmark) WHERE word <> '')"""
 
 
 @register(f"""WITH {SQL_EXACT}, {SQL_WORDS}
 SELECT pattern, first_pos FROM p JOIN exact ON contains(line, pattern)""")
 def multi_pattern_substring(spark, sf_dir):
-    pats = words(spark, sf_dir, 8)
+    pats = words(spark, sf_dir)
     hits = patterns.substring_matches(exact(spark, sf_dir).select("line", "first_pos"), pats)
     return hits.join(pats, "pattern_id").select("pattern", "first_pos")
 
 
+@register(f"""WITH {SQL_EXACT}, {SQL_WORDS},
+hits AS (SELECT pattern, line, first_pos FROM p JOIN exact ON contains(line, pattern)),
+places AS (SELECT pattern, first_pos, line, unnest(generate_series(0, length(line) - length(pattern))) AS k FROM hits)
+SELECT pattern, count(*) AS n_places, count(DISTINCT first_pos) AS n_lines, sum(k)::BIGINT AS sum_offset, max(k) AS max_offset
+FROM places WHERE substr(line, k + 1, length(pattern)) = pattern GROUP BY pattern""")
+def multi_pattern_offsets(spark, sf_dir):
+    """All places of all words at once, summed up for each word."""
+    pats = words(spark, sf_dir)
+    hits = patterns.offsets_of_many(exact(spark, sf_dir).select("line", "first_pos"), pats)
+    per_line = hits.groupBy("pattern_id", "first_pos").agg(F.count(F.lit(1)).alias("n"), F.sum("offset").alias("s"), F.max("offset").alias("m"))
+    found = per_line.groupBy("pattern_id").agg(
+        F.sum("n").alias("n_places"), F.count(F.lit(1)).alias("n_lines"), F.sum("s").alias("sum_offset"), F.max("m").alias("max_offset"))
+    return pats.join(found, "pattern_id").drop("pattern_id")
+
+
 # Pattern list of the regex queries; ASCII classes, so that every engine agrees.
 REGEXES = (
     "the.*[0-9]+",
@@ -321,7 +336,7 @@ def batch_search(spark, sf_dir):
 SELECT pattern, count(line) AS count FROM p LEFT JOIN exact ON contains(line, pattern) GROUP BY pattern""")
 def result_counts(spark, sf_dir):
     """Matches per pattern; a pattern without any counts 0."""
-    pats = words(spark, sf_dir, 8)
+    pats = words(spark, sf_dir)
     hits = patterns.substring_matches(exact(spark, sf_dir).select("line", "first_pos"), pats)
     return search.result_counts(pats, hits, "pattern_id").select("pattern", "count")
 
@@ -334,7 +349,7 @@ SELECT p.pattern, coalesce(string_agg(line, chr(10) ORDER BY rn), '') AS matches
 FROM p LEFT JOIN top USING (pattern) GROUP BY p.pattern""")
 def result_lists(spark, sf_dir):
     """First three matches of each pattern, put together in order."""
-    pats = words(spark, sf_dir, 8)
+    pats = words(spark, sf_dir)
     hits = patterns.substring_matches(exact(spark, sf_dir).select("line", "first_pos"), pats)
     lists = search.result_lists(pats, hits, 3, "pattern_id")
     return lists.select("pattern", F.array_join("matches", "\n").alias("matches"), "count")

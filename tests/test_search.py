@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lineseek.operators import corpus, membership, patterns
+from lineseek.operators import automaton, corpus, membership, patterns
 from lineseek.operators.search import SearchOptions, result_counts, result_lists, search
 from lineseek.sources import index
 from lineseek.sources.generators import REQUIRED_LINES
@@ -106,7 +106,7 @@ def check_patterns(spark, corpus_of):
     view = corpus.exact_view(corpus_of(lines)).select("line", "first_pos")
     table = spark.createDataFrame(list(enumerate(pats)), "pattern_id bigint, pattern string")
     want = sorted((p, i) for i, p in brute(lines, pats))
-    for strategy in ("grams", "scan", "auto"):
+    for strategy in ("grams", "scan", "trie", "auto"):
         got = patterns.substring_matches(view, table, strategy=strategy).select("pattern_id", "first_pos").collect()
         assert sorted(map(tuple, got)) == want, strategy
 
@@ -195,3 +195,43 @@ def test_strategies_agree_on_bytes_that_are_not_utf8(spark):
         for s in ("scan", "grams", "auto")
     ]
     assert found[0] == found[1] == found[2] == {(7, 1), (8, 1), (8, 2), (9, 1)}
+
+
+def all_places(lines, pats):
+    return sorted((p, i, k) for i, line in enumerate(lines) for p, text in enumerate(pats) for k in range(len(line)) if line.startswith(text, k))
+
+
+def test_offsets_of_many_patterns_equal_brute_force(spark, monkeypatch):
+    rnd = random.Random(11)
+    lines = ["".join(rnd.choice("abé𝄞 ") for _ in range(rnd.randrange(60))) for _ in range(60)] + ["a" * 40, "", "abab" * 9]
+    pats = sorted({line[k:k + n] for line in lines for n in (1, 2, 3, 5, 6, 7, 9, 13, 20) for k in [rnd.randrange(40)] if line[k:k + n]})
+    view = spark.createDataFrame(list(enumerate(lines)), "first_pos long, line string")
+    table = spark.createDataFrame([*enumerate(pats), (-1, ""), (-2, None)], "pattern_id long, pattern string")
+    for strategy, chunk in (("auto", 1 << 20), ("auto", 16), ("grams", 1 << 20)):
+        monkeypatch.setattr(automaton, "CHUNK", chunk)
+        got = patterns.offsets_of_many(view, table, strategy=strategy).select("pattern_id", "first_pos", "offset").collect()
+        assert sorted(map(tuple, got)) == all_places(lines, pats), (strategy, chunk)
+    assert patterns.offsets_of_many(view, table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_offsets_of_one_text_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(patterns, "PIECES", block)
+    lines = ["aaaaaa", "baab aab", "x", "", "é𝄞aa", "aa" * 700]
+    view = spark.createDataFrame(list(enumerate(lines)), "first_pos long, line string")
+    got = patterns.offsets(view, "aa").select("first_pos", "offset").collect()
+    assert sorted(map(tuple, got)) == [(i, k) for _, i, k in all_places(lines, ["aa"])]
+
+
+def test_short_patterns_walk_within_groups_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(automaton, "CHUNK", 8)
+    lines = spark.createDataFrame(
+        [(1, "the cat", True), (2, "the cat", False), (3, None, True), (4, "x" * 50 + "cat", True), (5, "cat", None)], "first_pos long, line string, kind boolean")
+    pats = spark.createDataFrame([(1, "cat", True), (2, "cat", False), (3, "the", True), (4, "cat", True), (5, "cat", None)], "pattern_id long, pattern string, kind boolean")
+    got = patterns.substring_matches(lines, pats, strategy="trie", within=("kind",))
+    assert got.columns == ["pattern_id", "first_pos", "line", "kind"]
+    assert sorted((r.pattern_id, r.first_pos) for r in got.collect()) == [(1, 1), (1, 4), (2, 2), (3, 1), (4, 1), (4, 4)]
+    monkeypatch.setattr(automaton, "MAX_ENTRIES", 3)
+    assert automaton.short_matches(lines, pats, "line", ("kind",)) is None
+    again = patterns.substring_matches(lines, pats, strategy="trie", within=("kind",))
+    assert sorted(map(tuple, again.select("pattern_id", "first_pos").collect())) == [(1, 1), (1, 4), (2, 2), (3, 1), (4, 1), (4, 4)]
