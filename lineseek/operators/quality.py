@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lineseek.functions.text import strip
 from lineseek.operators.corpus import missing, repaired
 from lineseek.operators.membership import any_line_contains, lookup
+from lineseek.plans.session import materialise
 from lineseek.plans.sizing import broadcast_if_small
 from lineseek.sources.generators import REQUIRED_LINES
 
@@ -43,7 +44,7 @@ def format_check(raw_lines: DataFrame, required: DataFrame, keys: tuple[str, ...
     CR. Required lines are counted by an equality join against a few rows.
     """
     group = list(keys)
-    need = required.select(strip(F.col("line")).alias("line")).distinct()
+    need = materialise(required.select(strip(F.col("line")).alias("line")).distinct(), "required")
     n_required = need.agg(F.count(F.lit(1)).alias("n")).scalar()
     base = raw_lines.groupBy(*group).agg(
         F.bool_or(~F.is_valid_utf8("raw")).alias("bad_encoding"), F.bool_or(F.endswith("raw", F.lit("\r"))).alias("crlf")

@@ -465,14 +465,15 @@ def repair_append(spark, sf_dir):
     return corpus.exact_view(sources.refreshed(spark, path)).select("line", "n_occurrences")
 
 
-@register(f"""WITH {sql_lines("documents", "doc_id", "text")},
-req AS (SELECT DISTINCT {sql_strip("string_split(text, chr(10))[1]")} AS line FROM documents WHERE doc_id < 0),
+@register(f"""WITH {SQL_LINES}, req AS (SELECT arg_max(line, (n, line)) AS line FROM (SELECT line, count(*) AS n FROM lines GROUP BY line)),
+has AS (SELECT path, count(DISTINCT line) AS n_present FROM lines WHERE line IN (SELECT line FROM req) GROUP BY path),
 f AS (SELECT path, bool_or(ends_with(raw, chr(13))) AS crlf FROM raw GROUP BY path)
-SELECT path, CASE WHEN crlf THEN 'line endings' END AS failed_rule, NOT crlf AS ok, crlf, 0::BIGINT AS n_present FROM f""")
+SELECT path, CASE WHEN crlf THEN 'line endings' WHEN n_present IS NULL THEN 'required lines' END AS failed_rule,
+       NOT crlf AND n_present IS NOT NULL AS ok, crlf, coalesce(n_present, 0) AS n_present FROM f LEFT JOIN has USING (path)""")
 def format_check(spark, sf_dir):
-    """Line-end check of every document; nothing is required of one document."""
-    nothing = spark.createDataFrame([], "line string")
-    return quality.format_check(doc_raw(spark, sf_dir), nothing)
+    """Line ends of every document, each of which is required to hold the most frequent line."""
+    need = exact(spark, sf_dir).agg(F.max_by("line", F.struct("n_occurrences", "line")).alias("line"))
+    return quality.format_check(doc_raw(spark, sf_dir), need)
 
 
 @register(f"""WITH {SQL_LINES}
