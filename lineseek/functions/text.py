@@ -42,6 +42,6 @@ def decode_lossy(payload: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(cleaned)
 
 
-def number(value: Column, digits: int = 2) -> Column:
-    """Fixed-digit text of a double, for messages and reports only."""
-    return F.format_string(f"%.{digits}f", value)
+def number(value: Column, digits: int = 2, thousands: bool = False) -> Column:
+    """Fixed-digit text of a double, for messages and reports only; ``thousands`` are set apart by commas."""
+    return F.format_string(f"%{',' if thousands else ''}.{digits}f", value)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from lineseek.operators.search import SearchOptions
 from lineseek.plans.registry import (
     SQL_BATCH, SQL_EXACT, SQL_FOLDED, SQL_LINES, r, register, rs, spread, sql_lines, sql_strip, table,
 )
-from lineseek.plans.session import scratch_path
-from lineseek.sources import index, lines as sources
+from lineseek.plans.session import materialise, scratch_path
+from lineseek.sources import index, lines as sources, sinks
 
 
 def doc_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +175,21 @@ def raw_line_exists(spark, sf_dir):
     return membership.raw_line_exists(doc_raw(spark, sf_dir), "The")
 
 
+@register(f"""WITH {SQL_LINES}, {SQL_BATCH}, corpus AS (SELECT DISTINCT line FROM lines)
+SELECT kind, query, line IS NOT NULL AS found,
+       CASE WHEN line IS NOT NULL THEN 'STRING EXISTS' ELSE 'STRING NOT FOUND' END AS verdict
+FROM batch LEFT JOIN corpus ON query = line CROSS JOIN (VALUES ('json'), ('parquet'), ('csv'), ('orc')) AS k(kind)""")
+def result_sinks(spark, sf_dir):
+    """The answers of the batch written to every kind of sink and read back."""
+    answers = materialise(membership.lookup(doc_lines(spark, sf_dir), query_batch(spark, sf_dir)), "answers")
+    parts = []
+    for kind in sinks.FORMATS:
+        path = scratch_path(spark, f"sink-{kind}")
+        sinks.write_result(answers, path, kind)
+        parts.append(sinks.read_result(spark, path, answers.schema, kind).select(F.lit(kind).alias("kind"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # -------------------------------------------------------------------- search
 
 def _search(spark, sf_dir, query: str, **options) -> DataFrame:
@@ -476,6 +492,19 @@ def format_check(spark, sf_dir):
     return quality.format_check(doc_raw(spark, sf_dir), need)
 
 
+@register("""WITH l AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split(text, chr(10))) AS raw FROM documents)
+SELECT lang, sum(strlen(raw) + 1)::BIGINT AS n_bytes, count(*) AS n_lines FROM l GROUP BY lang""")
+def whole_file_sizes(spark, sf_dir):
+    """Lines written as text files of bounded length, a folder for each language; the files read whole."""
+    path = scratch_path(spark, "whole")
+    rows = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split("text", "\n")).alias("raw"))
+    rows.write.partitionBy("lang").option("maxRecordsPerFile", 10_000).text(path)
+    files = sources.whole_files(spark, f"{path}/lang=*/*.txt")
+    ends = F.length("content") - F.length(F.regexp_replace(F.decode("content", F.lit("ISO-8859-1")), "\n", ""))
+    per_file = files.select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang"), "length", ends.cast("bigint").alias("ends"))
+    return per_file.groupBy("lang").agg(F.sum("length").alias("n_bytes"), F.sum("ends").alias("n_lines"))
+
+
 @register(f"""WITH {SQL_LINES}
 SELECT path, count(*) AS n_lines, true AS numbered_in_order FROM raw GROUP BY path""")
 def text_files_numbered(spark, sf_dir):

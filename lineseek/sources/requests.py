@@ -28,6 +28,16 @@ def _get(doc: Column, *names: str, to: str = "string") -> Column:
     return found[0] if len(found) == 1 else F.coalesce(*found)
 
 
+def stamped(log: DataFrame) -> DataFrame:
+    """Requests as they come in, with a ``request_id`` (random UUID) and ``received_at`` (ISO 8601, UTC, microseconds).
+
+    Ids are drawn anew whenever the plan runs: write the rows down, or stream them
+    into a table, before using ids twice. All rows of one batch share its time.
+    """
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return log.withColumn("request_id", F.uuid()).withColumn("received_at", F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+
+
 def parse(log: DataFrame, raw_col: str = "raw", strict_json: bool = False) -> DataFrame:
     """Add ``is_json, command, query, options, parse_error``.
 

@@ -110,3 +110,15 @@ def test_patterns_are_compiled_up_to_the_limit_in_force(spark):
     df = parse(spark.createDataFrame(rows, "raw string"))
     assert requests.validate(df, max_pattern_chars=5000).first().error_code == "INVALID_PATTERN"
     assert requests.validate(df).first().error_message == "Query too long"
+
+
+def test_requests_are_stamped_as_they_come(spark):
+    rows = requests_source.stamped(spark.createDataFrame([("a",), (None,), ("a",)], "raw string")).collect()
+    assert len({r.request_id for r in rows}) == 3 and all(str(uuid.UUID(r.request_id)) == r.request_id for r in rows)
+    (stamp,) = {r.received_at for r in rows}
+    assert abs(datetime.fromisoformat(stamp) - datetime.now(UTC)) < timedelta(minutes=2)
+
+
+def test_thousands_are_set_apart(spark):
+    row = spark.range(1).select(number(F.lit(1234567.891), 2, thousands=True).alias("a"), number(F.lit(1234.5), 1).alias("b")).first()
+    assert tuple(row) == ("1,234,567.89", "1234.5")
