@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lineseek.llm.common import Scratch, chunks, mix, numbers, packed, shingles, texts, unpacked, words
+from lineseek.plans.sizing import fits
 
 RUN, LEAST = 5, 50
 FUNCTIONS = 5
@@ -31,6 +32,7 @@ STRETCH_TEXT = 8 << 20
 SECTION = 4096
 SEEDS = numbers(FUNCTIONS, 71)
 PAIR = numbers(2, 73)
+FACTORS = numbers(RUN, 23)
 ROWS = "key long, doc long, pos int, other long, other_pos int, span int"
 
 
@@ -192,23 +194,32 @@ def _spans(x: np.ndarray, y: np.ndarray, width: int, percent: int) -> list[tuple
     return out
 
 
-def _equal(x: np.ndarray, y: np.ndarray, offset: int, least: int) -> list[tuple[int, int]]:
-    """Stretches of at least ``least`` words of x that stand ``offset`` further on in y."""
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Codes of the runs of one stretch of words, to be compared with those of another one only."""
+    n = max(len(x) - RUN + 1, 0)
+    total = x[:n] * FACTORS[0]
+    for j in range(1, RUN):
+        total += x[j : j + n] * FACTORS[j]
+    return total
+
+
+def _equal(x: np.ndarray, y: np.ndarray, offset: int) -> list[tuple[int, int]]:
+    """Stretches of at least ``RUN`` words of x that stand ``offset`` further on in y."""
     lo, hi = max(0, -offset), min(len(x), len(y) - offset)
-    if hi - lo < least:
+    if hi - lo < RUN:
         return []
     same = np.concatenate([[False], x[lo:hi] == y[lo + offset : hi + offset], [False]])
     turns = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2) + lo
-    return [(int(a), int(b)) for a, b in turns if b - a >= least]
+    return [(a, b) for a, b in turns.tolist() if b - a >= RUN]
 
 
-def _wider(x: np.ndarray, y: np.ndarray, offset: int, first: int, last: int, ranges: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Ranges of x, each widened by the words up to the first one (inclusive) that differs from y, to the right and to the left.
+def _wider(x: np.ndarray, equal: list[tuple[int, int]], first: int, last: int, ranges: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Ranges of x, each widened by the words up to the first one (inclusive) beyond the ``equal`` stretch it is in, to the right and to the left.
 
     Without ranges, they are the first and the last run of each equal stretch that
     touches the places from ``first`` to ``last``. Ranges beyond ``least`` words are left out.
     """
-    stretches = [(s, e) for s, e in _equal(x, y, offset, RUN) if s <= last and e > first]
+    stretches = [(s, e) for s, e in equal if s <= last and e > first]
     if ranges:
         pairs = [(r, r, s, e) for r in ranges for s, e in stretches if s <= r[0] and r[1] <= e]
     else:
@@ -237,32 +248,35 @@ def _beyond_run(x: np.ndarray, lo: int, hi: int, least: int) -> list[tuple[int,
 
 
 def _compare(least: int, percent: int):
-    width = least - RUN + 1
+    width, factors = least - RUN + 1, numbers(least, 79)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Repeated passages, and (kind 1) ranges that leave the earlier text, by which texts are regrouped."""
         for batch in batches:
             out: list[tuple] = []
+            sums: list[int] = []
             rows = batch.select(["a", "b", "shift", "first", "last", "ranges", "x_base", "y_base"]).to_pylist()
             for r, x, y in zip(rows, batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 # along the tie itself, where repeats inside a text or partial copies around it blur the stretches
                 offset = r["x_base"] - r["shift"] - r["y_base"]
+                equal = _equal(x, y, offset)
                 if r["a"] != r["b"]:
-                    xr, yr = (shingles(v, np.array([0, len(v)]), RUN, whole=False)[0] for v in (x, y))
-                    found = _spans(xr, yr, width, percent)
-                    found += [(lo, hi - RUN, lo + offset, hi + offset - RUN, 1.0) for lo, hi in _equal(x, y, offset, least)
-                              if not any(f[0] <= lo and hi - RUN <= f[1] for f in found)]
+                    found = _spans(_runs(x), _runs(y), width, percent)
+                    found += [(lo, hi - RUN, lo + offset, hi + offset - RUN, 1.0) for lo, hi in equal
+                              if hi - lo >= least and not any(f[0] <= lo and hi - RUN <= f[1] for f in found)]
                     for lo, hi, ylo, yhi, same in found:
-                        out.append((0, r["a"], lo + r["x_base"], hi + RUN + r["x_base"], r["b"], ylo + r["y_base"], yhi + RUN + r["y_base"], same, None))
+                        out.append((0, r["a"], lo + r["x_base"], hi + RUN + r["x_base"], r["b"], ylo + r["y_base"], yhi + RUN + r["y_base"], same))
+                        sums.append(0)
                 base = r["x_base"]
                 ranges = [(v["pos"] - base, v["end"] - base) for v in r["ranges"]]
-                for lo, hi in _wider(x, y, offset, r["first"] - base, r["last"] - base, ranges, least):
-                    key = mix((x[lo:hi] * numbers(hi - lo, 79)).sum(dtype=np.uint64, keepdims=True) + np.uint64(hi - lo))
-                    out.append((1, r["a"], lo + base, hi + base, None, None, None, None, int(key.view(np.int64)[0])))
+                for lo, hi in _wider(x, equal, r["first"] - base, r["last"] - base, ranges, least):
+                    out.append((1, r["a"], lo + base, hi + base, None, None, None, None))
+                    sums.append((int(x[lo:hi] @ factors[: hi - lo]) + hi - lo) % (1 << 64))
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64())
             names = ["kind", "doc_id", "start_word", "end_word", "source_id", "source_start", "source_end", "similarity", "key"]
-            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            columns = list(zip(*out, strict=True)) or [()] * (len(kinds) - 1)
+            columns.append(mix(np.array(sums, np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return run
@@ -304,14 +318,18 @@ def repeated(docs: DataFrame, least: int = LEAST, percent: int = 80, key: str =
                                   for end, shift in ends.items() for at, side, name_of in (("first", -1, "from"), ("last", 1, "to"))))
         asked = reduce(DataFrame.unionByName, (ties.select(F.col(e).alias("doc"), F.col(f"{e}_from").alias("from"), F.col(f"{e}_to").alias("to")) for e in ends))
         # each range once, however many texts are tied to it, and the ranges of a section of a text beside one copy of it
-        asked = asked.distinct().groupBy("doc", F.floor(F.col("from") / SECTION).alias("section")).agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
-        cut = asked.hint("merge").join(docs.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "text", "ranges")
+        asked = scratch.keep(f"{name}-asked", asked.distinct())
+        # later rounds ask few texts: the others are left out before texts are shuffled
+        own = asked.select(F.col("doc").alias("doc_id")).distinct()
+        some = docs.join(F.broadcast(own), "doc_id", "left_semi") if fits(own) else docs
+        asked = asked.groupBy("doc", F.floor(F.col("from") / SECTION).alias("section")).agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+        cut = asked.hint("merge").join(some.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "text", "ranges")
         cut = scratch.keep(f"{name}-cuts", cut.mapInArrow(_slices, "doc long, from int, to int, base int, codes binary"))
         for end, value in (("a", "x"), ("b", "y")):
             own = cut.select(F.col("doc").alias(end), F.col("from").alias(f"{end}_from"), F.col("to").alias(f"{end}_to"), F.col("base").alias(f"{value}_base"), F.col("codes").alias(value))
             ties = ties.hint("merge").join(own, [end, f"{end}_from", f"{end}_to"])
         found = scratch.keep(f"{name}-found", ties.mapInArrow(_compare(least, percent), FOUND))
-        scratch.drop(f"{name}-cuts")
+        scratch.drop(f"{name}-asked", f"{name}-cuts")
         return found
 
     ties = scratch.keep("0-ties", _ties(docs.mapInArrow(_windows(least), ROWS)))
