@@ -497,11 +497,14 @@ SELECT lang, sum(strlen(raw) + 1)::BIGINT AS n_bytes, count(*) AS n_lines FROM l
 def whole_file_sizes(spark, sf_dir):
     """Lines written as text files of bounded length, a folder for each language; the files read whole."""
     path = scratch_path(spark, "whole")
-    rows = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split("text", "\n")).alias("raw"))
+    # the folder's name is spelled in hexadecimal, so that it can be that of any language
+    folder = F.concat(F.lit("x"), F.hex(F.coalesce("lang", F.lit("und")))).alias("lang")
+    rows = table(spark, sf_dir, "documents").select(folder, F.explode(F.split("text", "\n")).alias("raw"))
     rows.write.partitionBy("lang").option("maxRecordsPerFile", 10_000).text(path)
-    files = sources.whole_files(spark, f"{path}/lang=*/*.txt")
-    ends = F.length("content") - F.length(F.regexp_replace(F.decode("content", F.lit("ISO-8859-1")), "\n", ""))
-    per_file = files.select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang"), "length", ends.cast("bigint").alias("ends"))
+    files = sources.whole_files(spark, path)
+    ends = F.length("content") - F.length(F.regexp_replace(F.decode("content", "ISO-8859-1"), "\n", ""))
+    lang = F.decode(F.unhex(F.regexp_extract("path", "/lang=x([^/]*)/[^/]*$", 1)), "UTF-8")
+    per_file = files.select(lang.alias("lang"), "length", ends.cast("bigint").alias("ends"))
     return per_file.groupBy("lang").agg(F.sum("length").alias("n_bytes"), F.sum("ends").alias("n_lines"))
 
 
