@@ -18,9 +18,10 @@ from lineseek.streaming.run import drain, drain_writer, replay, rocksdb
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables as a file stream."""
+    """One of the given tables, a file or a folder of files, as a file stream."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # as a pattern, the path may be that of a single file as well, which a file stream else refuses
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.[p]arquet")
 
 
 #: Events come in several files and up to an hour out of order; streams wait for them so long.
