@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lineseek.operators.admission import SlidingLog, TokenBucket, refill_us
 from lineseek.operators.ordered import MICROS
-from lineseek.streaming.ordered import event_rows, fold_in_order
+from lineseek.streaming.ordered import Fold, event_rows, fold_in_order
 
 OUTPUT = "client string, ts_us bigint, id bigint, admitted boolean"
 
 
-def _answers(client: str, rows: pd.DataFrame, admitted) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"client": client, "ts_us": rows["ts_us"].to_numpy(), "id": rows["id"].to_numpy(), "admitted": admitted}
-    )
+def _limited(decide: Callable[[np.ndarray, tuple | None], tuple[np.ndarray, tuple, int]]) -> Fold:
+    """The fold of a limiter: ``decide`` gives the answers of one client, its memory and when this may go."""
+
+    def fold(rows: pd.DataFrame, starts: np.ndarray, memories: list[tuple | None]):
+        times = rows["ts_us"].to_numpy("int64")
+        admitted = np.zeros(len(rows), dtype=bool)
+        after, forget = [], []
+        for memory, first, end in zip(memories, starts[:-1], starts[1:], strict=True):
+            admitted[first:end], kept, until = decide(times[first:end], memory)
+            after.append(kept)
+            forget.append(until)
+        return pd.DataFrame({"client": rows["key"], "ts_us": times, "id": rows["id"], "admitted": admitted}), after, forget
+
+    return fold
 
 
 def sliding_log(
@@ -25,14 +39,14 @@ def sliding_log(
     that has been quiet for a window is dropped."""
     window_us = int(window_seconds * MICROS)
 
-    def fold(client_key: str, rows: pd.DataFrame, memory: tuple | None):
+    def decide(times: np.ndarray, memory: tuple | None):
         limiter = SlidingLog(limit, window_us, tuple(memory[0]) if memory else ())
-        admitted = limiter.decide(rows["ts_us"].to_numpy(dtype="int64"))
+        admitted = limiter.decide(times)
         log = list(limiter.log)
-        return _answers(client_key, rows, admitted), (log,), (log[-1] + window_us if log else 0)
+        return admitted, (log,), (log[-1] + window_us if log else 0)
 
     rows = event_rows(requests, client, ts, tie, delay)
-    return fold_in_order(rows, "key", {}, {"admitted": "array<bigint>"}, fold, OUTPUT)
+    return fold_in_order(rows, "key", (), {"admitted": pa.list_(pa.int64())}, _limited(decide), OUTPUT)
 
 
 def token_bucket(
@@ -42,10 +56,10 @@ def token_bucket(
     whose bucket has filled up again is dropped."""
     full_after = refill_us(rate, burst)
 
-    def fold(client_key: str, rows: pd.DataFrame, memory: tuple | None):
+    def decide(times: np.ndarray, memory: tuple | None):
         limiter = TokenBucket(rate, burst, *(memory or ()))
-        admitted = limiter.decide(rows["ts_us"].to_numpy(dtype="int64"))
-        return _answers(client_key, rows, admitted), (float(limiter.credit), limiter.last), limiter.last + full_after
+        admitted = limiter.decide(times)
+        return admitted, (float(limiter.credit), limiter.last), limiter.last + full_after
 
     rows = event_rows(requests, client, ts, tie, delay)
-    return fold_in_order(rows, "key", {}, {"credit": "double", "last": "bigint"}, fold, OUTPUT)
+    return fold_in_order(rows, "key", (), {"credit": pa.float64(), "last": pa.int64()}, _limited(decide), OUTPUT)

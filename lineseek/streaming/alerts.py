@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,24 +73,29 @@ def transitions(states: DataFrame, series: str = "series", ts: str = "ts", delay
     firing). A series is one source of one server, so state is spread by both; it
     is one boolean per series."""
 
-    def fold(name: str, rows: pd.DataFrame, memory: tuple | None):
-        rows = rows[rows["firing"].notna()]  # an unknown state changes nothing
-        firing = rows["firing"].to_numpy(dtype=bool)
-        before = np.concatenate([[bool(memory[0]) if memory else False], firing[:-1]])
+    def fold(rows: pd.DataFrame, starts: np.ndarray, memories: list[tuple | None]):
+        owner = np.repeat(np.arange(len(memories)), np.diff(starts))
+        told = np.flatnonzero(rows["state"].to_numpy() >= 0)  # an unknown state changes nothing
+        owner, firing = owner[told], rows["state"].to_numpy()[told] == 1
+        first = np.searchsorted(owner, np.arange(len(memories) + 1))
+        last = np.array([bool(memory[0]) if memory else False for memory in memories], dtype=bool)
+        before = np.roll(firing, 1)
+        some = first[:-1] < first[1:]
+        before[first[:-1][some]] = last[some]
+        last[some] = firing[first[1:][some] - 1]
         changed = firing != before
+        out = rows.iloc[told[changed]]
         out = pd.DataFrame(
             {
-                "series": name,
-                "ts_us": rows["ts_us"].to_numpy()[changed],
-                "id": rows["id"].to_numpy()[changed],
-                "value": rows["value"].to_numpy()[changed],
+                "series": out["key"], "ts_us": out["ts_us"], "id": out["id"], "value": out["value"],
                 "change": np.where(firing[changed], "raised", "resolved"),
             }
         )
-        return out, (bool(firing[-1]),) if len(firing) else memory or (False,), None
+        return out, [(bool(state),) for state in last], [None] * len(memories)
 
-    rows = event_rows(states, series, ts, "id", delay, "value", "firing")
+    state = F.coalesce(F.col("firing").cast("tinyint"), F.lit(-1).cast("tinyint")).alias("state")
+    rows = event_rows(states, series, ts, "id", delay, "value", state)
     return fold_in_order(
-        rows, "key", {"value": "double", "firing": "boolean"}, {"firing": "boolean"}, fold,
+        rows, "key", ("value", "state"), {"firing": pa.bool_()}, fold,
         "series string, ts_us bigint, id bigint, value double, change string",
     )

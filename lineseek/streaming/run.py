@@ -56,23 +56,33 @@ def drain_writer(writer, label: str, spark: SparkSession) -> None:
     query.awaitTermination()
 
 
+#: Rows of one file of a replayed part.
+ROWS_PER_FILE = 250_000
+
+
 def replay(table: DataFrame, ts: str, label: str, parts: int = 4, disorder_seconds: int = 3600) -> DataFrame:
-    """A table as a stream that comes file by file, each row up to ``disorder_seconds`` out of order.
+    """A table as a stream that comes part by part, each row up to ``disorder_seconds`` out of order.
 
-    The last file holds one row far behind all others and null but for its time:
-    it lets the watermark pass the rest, so that every real row is answered.
+    A part is one micro-batch: all parts are the same number of files, which are
+    empty where rows do not suffice. The last part holds one row far behind all
+    others and null but for its time: it lets the watermark pass the rest, so that
+    every real row is answered.
     """
     spark = table.sparkSession
     folder = f"{scratch_path(spark, label)}/arrivals"
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    low, high = table.agg(F.min(micros), F.max(micros)).first()
+    low, high, n_rows = table.agg(F.min(micros), F.max(micros), F.count(F.lit(1))).first()
+    n_files = -(-n_rows // (parts * ROWS_PER_FILE)) or 1
     if low is not None:
         width = (high - low) // parts + 1
         moved = micros - low + F.pmod(F.xxhash64(*(c for c, kind in table.dtypes if "map<" not in kind)), F.lit(disorder_seconds * 1_000_000))
         part = F.least(F.floor(moved / width), F.lit(parts - 1))
         for i in range(parts):
-            table.where(part == i).write.mode("append").parquet(folder)
+            table.where(part == i).repartition(n_files).write.mode("append").parquet(folder)
+            written = len(spark.read.schema(table.schema).parquet(folder).inputFiles())
+            for _ in range(written, (i + 1) * n_files):
+                table.limit(0).coalesce(1).write.mode("append").parquet(folder)
     last = table.agg((F.max(ts) + F.expr("interval 400 days")).alias(ts))
     last = last.select(*(F.col(c) if c == ts else F.lit(None).cast(kind).alias(c) for c, kind in table.dtypes))
     last.write.mode("append").parquet(folder)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", n_files).parquet(folder)

@@ -161,3 +161,20 @@ def test_decisions_do_not_depend_on_batches(spark):
         got = drain(alerts.transitions(replay(table, "ts", "t-replay", 4, 60), "client"), "t-late")
         want = batch_alerts.transitions(log, ["client"], ["ts_us", "id"], slice_seconds=60)
         assert {(r.series, r.id, r.change) for r in got.collect()} == {(r.client, r.id, r.change) for r in want.collect()}
+
+
+def test_a_part_of_several_files_is_one_batch(spark, monkeypatch):
+    """Rows of many keys, some unknown, in files that each hold all times: none is late."""
+    from lineseek.streaming import run
+
+    monkeypatch.setattr(run, "ROWS_PER_FILE", 50)
+    rows = [(None if i % 40 == 0 else f"c{i % 37}", T0 + dt.timedelta(minutes=7 * i), i, float(i % 5), i % 3 == 1) for i in range(800)]
+    random.Random(3).shuffle(rows)
+    table = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    log = table.withColumn("ts_us", micros(F.col("ts")))
+    got = drain(alerts.transitions(replay(table, "ts", "t-files", 4, 60), "client"), "t-files").collect()
+    want = batch_alerts.transitions(log, ["client"], ["ts_us", "id"], slice_seconds=60).collect()
+    assert {(r.series, r.id, r.change) for r in got} == {(r.client, r.id, r.change) for r in want}
+    got = drain(admission.token_bucket(replay(table, "ts", "t-files", 4, 60), "client", "ts", "id", 0.0001, 2), "t-files")
+    want = batch_admission.token_bucket(log.where("client is not null"), "client", "ts_us", "id", 0.0001, 2)
+    assert set(got.where("client is not null").collect()) == set(want.select(*got.columns).collect())
