@@ -15,18 +15,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from lineseek.plans.sizing import fits
 
-#: Characters of the longest pattern that is walked.
-LONGEST = 5
+#: Characters of the longest pattern that is walked, and of those that are walked where longer ones do not fit the table.
+LONGEST, SHORT = 64, 5
 #: Patterns, and entries of the table (4 bytes each), beyond which there is no table.
 MAX_PATTERNS = 100_000
 MAX_ENTRIES = 8 << 20
-#: Characters that are walked at once, and matches that are sent on at once.
+#: Characters that are walked at once, and matches, and characters of their lines, that are sent on at once.
 CHUNK = 1 << 20
 SENT = 1 << 16
+SENT_CHARS = 16 << 20
 
 
 class Trie:
@@ -72,6 +73,8 @@ class Trie:
         at = np.arange(len(letters))
         state = np.ones(len(letters), dtype=np.int32)
         for depth in range(LONGEST):
+            if not len(at):
+                break
             state = self.goto[state, letters[at]]
             alive = state > 0
             at, state, owner = at[alive], state[alive], owner[alive]
@@ -120,11 +123,25 @@ def _walked(trie: Trie, texts: list[str], every: bool) -> tuple[np.ndarray, np.n
     return rows[:, 0], rows[:, 1], rows[:, 2]
 
 
-def short_matches(lines: DataFrame, patterns: DataFrame, text_col: str, within: tuple[str, ...] = (), every: bool = False) -> DataFrame | None:
+def _runs(weights: np.ndarray) -> Iterator[slice]:
+    """Runs of matches of at most ``SENT`` rows and, beyond the first row, about ``SENT_CHARS`` characters."""
+    total, k = np.cumsum(weights), 0
+    while k < len(weights):
+        sent = total[k - 1] if k else 0
+        end = min(k + SENT, max(k + 1, int(np.searchsorted(total, sent + SENT_CHARS, side="right"))))
+        yield slice(k, end)
+        k = end
+
+
+def short_matches(
+    lines: DataFrame, patterns: DataFrame, text_col: str, within: tuple[str, ...] = (), every: bool = False, kept: list[str] | None = None,
+) -> DataFrame | None:
     """(pattern_id, <line columns>) for every line that holds a pattern of 1 to ``LONGEST`` characters, once each.
 
     ``every``: one row for each occurrence, overlapping ones included, with its
-    0-based ``offset`` behind the line's columns.
+    0-based ``offset`` behind the line's columns, and ``is_first``: no earlier one of
+    this pattern is in the line. ``kept``: the columns of a line that are put out, all
+    by default; a text that nobody reads is best left out, as each match repeats it.
 
     None if the patterns do not fit a table of bounded size. ``within``: columns of
     both tables that must be equal as well (null equals nothing). Null texts hold
@@ -143,8 +160,10 @@ def short_matches(lines: DataFrame, patterns: DataFrame, text_col: str, within:
         (place[r["pattern"]], kinds.setdefault(tuple(r[c] for c in within), len(kinds)), r["pattern_id"])
         for r in rows if all(r[c] is not None for c in within)
     )
-    place_column = [StructField("offset", LongType())] if every else []
-    schema = StructType([StructField("pattern_id", LongType()), *lines.schema.fields, *place_column])
+    kept = lines.columns if kept is None else kept
+    place_columns = [StructField("offset", LongType()), StructField("is_first", BooleanType())] if every else []
+    schema = StructType([StructField("pattern_id", LongType()), *(lines.schema[c] for c in kept), *place_columns])
+    with_text = text_col in kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(texts)
@@ -152,18 +171,23 @@ def short_matches(lines: DataFrame, patterns: DataFrame, text_col: str, within:
         kind_of = np.array([k for _, k, _ in asked], dtype=np.int64)
         start = np.searchsorted(np.array([p for p, *_ in asked], dtype=np.int64), np.arange(len(texts) + 1))
         for batch in batches:
+            sent = batch.select(kept)
             lists = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in within]
             kinds_here = np.array([kinds.get(t, -1) for t in zip(*lists, strict=True)] if within else [0] * len(batch), dtype=np.int64)
             for first, run_of in _pieces(batch.column(batch.schema.get_field_index(text_col)).to_pylist()):
                 line, pattern, offset = _walked(trie, run_of, every)
                 n = start[pattern + 1] - start[pattern]
+                # places come in order, so the first of a line and pattern leads its run
+                leads = np.append(True, (line[1:] != line[:-1]) | (pattern[1:] != pattern[:-1]))[: len(line)]
+                first_of = np.repeat(leads, n)
                 line, offset = np.repeat(line, n) + first, np.repeat(offset, n)
                 which = np.repeat(start[pattern], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 same = kind_of[which] == kinds_here[line]
-                line, which, offset = line[same], which[same], offset[same]
-                for k in range(0, len(line), SENT):
-                    taken = batch.take(pa.array(line[k : k + SENT]))
-                    columns = [pa.array(ids[which[k : k + SENT]]), *taken.columns, *([pa.array(offset[k : k + SENT])] if every else [])]
+                line, which, offset, first_of = line[same], which[same], offset[same], first_of[same]
+                sizes = np.fromiter(map(len, run_of), dtype=np.int64, count=len(run_of))
+                for k in _runs(sizes[line - first] if with_text else np.zeros(len(line), dtype=np.int64)):
+                    taken = sent.take(pa.array(line[k])).columns if kept else []
+                    columns = [pa.array(ids[which[k]]), *taken, *([pa.array(offset[k]), pa.array(first_of[k])] if every else [])]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    return lines.mapInArrow(run, schema)
+    return lines.select(*dict.fromkeys([*kept, text_col, *within])).mapInArrow(run, schema)

@@ -5,9 +5,9 @@ Substring patterns
     more patterns: patterns and lines are cut into short grams and meet by an
                    equality join on the gram's hash; the text itself then decides.
                    Work grows with the text, not with patterns x lines.
-    short ones:    many patterns of up to five characters are walked as one trie
-                   (``operators.automaton``), as their grams would be every place
-                   of the text.
+    many of them:  patterns of up to 64 characters are walked as one trie
+                   (``operators.automaton``) if it fits a table of bounded size, else
+                   those of up to five, as their grams would be every place of the text.
 Regex patterns
     texts that every match must hold are read off the pattern. Few patterns are
     literal tests of shared scans, ``PER_SCAN`` to a scan, where these texts are
@@ -121,6 +121,7 @@ def substring_matches(
     line_key: str = "first_pos",
     strategy: str = "auto",
     within: tuple[str, ...] = (),
+    kept: list[str] | None = None,
 ) -> DataFrame:
     """Every (pattern, line) where the line contains the pattern, once each.
 
@@ -128,7 +129,8 @@ def substring_matches(
     unique in ``lines``. ``strategy``: auto, scan, grams or trie - same rows each way.
     Bytes that are not UTF-8 count as (and come out as) U+FFFD.
     ``within``: columns of both tables that must be equal as well (``line_key`` is
-    then unique together with them).
+    then unique together with them). ``kept``: the columns of a line that are put
+    out, all by default; every match repeats them, so leave out texts that nobody reads.
 
     Gram join: a line is cut at every s-th character only, and the pattern is
     keyed by its grams at s consecutive places. An occurrence then always covers
@@ -141,26 +143,49 @@ def substring_matches(
     patterns = patterns.where(F.length("pattern") > 0).select(F.col("pattern_id").cast("bigint"), "pattern", *within)
     # places are counted in characters: both strategies see the same, valid ones
     lines = lines.withColumn(text_col, F.make_valid_utf8(text_col))
-    # one row per length up to that of the long band
-    size = F.least(F.length("pattern"), F.lit(LONG_BAND[0]))
-    counts = {r["n"]: r["count"] for r in patterns.groupBy(size.alias("n")).count().collect()}
-    short = [n for n in counts if n <= automaton.LONGEST]
-    if short and (strategy == "trie" or strategy == "auto" and sum(counts[n] for n in short) > TESTS_PER_WALK):
-        found = automaton.short_matches(lines, patterns.where(size <= automaton.LONGEST), text_col, within)
-        if found is not None:
-            others = {n: c for n, c in counts.items() if n not in short}
-            if not others:
-                return found
-            rest = _by_length(lines, patterns.where(size > automaton.LONGEST), others, text_col, line_key, strategy, within)
-            return found.unionByName(rest)
-    return _by_length(lines, patterns, counts, text_col, line_key, strategy, within)
+    kept = lines.columns if kept is None else kept
+    counts = _counts(patterns)
+    found, longest = None, 0
+    if strategy in ("auto", "trie"):
+        found, longest = _walked(lines, patterns, counts, text_col, within, kept, 0 if strategy == "trie" else TESTS_PER_WALK)
+    others = {n: c for n, c in counts.items() if n > longest}
+    if found is None:
+        return _by_length(lines, patterns, others, text_col, line_key, strategy, within).select("pattern_id", *kept)
+    if not others:
+        return found
+    rest = _by_length(lines, patterns.where(F.length("pattern") > longest), others, text_col, line_key, strategy, within)
+    return found.unionByName(rest.select("pattern_id", *kept))
+
+
+def _counts(patterns: DataFrame) -> dict[int, int]:
+    """Number of patterns of each length; those too long to be walked count as one length."""
+    size = F.least(F.length("pattern"), F.lit(automaton.LONGEST + 1))
+    return {r["n"]: r["count"] for r in patterns.groupBy(size.alias("n")).count().collect()}
+
+
+def _walked(
+    lines: DataFrame, patterns: DataFrame, counts: dict[int, int], text_col: str, within: tuple[str, ...], kept: list[str], least: int,
+    every: bool = False,
+) -> tuple[DataFrame | None, int]:
+    """Matches of the patterns up to a length, and this length, where they fit a trie and are more than ``least``."""
+    for longest in (automaton.LONGEST, automaton.SHORT):
+        if sum(c for n, c in counts.items() if n <= longest) > least:
+            short = patterns.where(F.length("pattern") <= longest)
+            if (found := automaton.short_matches(lines, short, text_col, within, every, kept)) is not None:
+                return found, longest
+    return None, 0
 
 
 def _by_length(
     lines: DataFrame, patterns: DataFrame, counts: dict[int, int], text_col: str, line_key: str, strategy: str, within: tuple[str, ...],
 ) -> DataFrame:
     """Walks for the lengths that have enough patterns, literal tests for the others."""
+    # one count per length up to that of the long band
     size = F.least(F.length("pattern"), F.lit(LONG_BAND[0]))
+    banded: dict[int, int] = {}
+    for n, count in counts.items():
+        banded[min(n, LONG_BAND[0])] = banded.get(min(n, LONG_BAND[0]), 0) + count
+    counts = banded
     bands = _bands(list(counts))
     walk_of = {n: next(((q, s) for low, q, s in bands if n >= low), (n, 1)) for n in counts}
     per_walk: dict[tuple[int, int], int] = {}
@@ -202,7 +227,7 @@ def _gram_matches(
     first_hit = (at > 0) & (at - 1 == place)
     if every:
         first_hit = (place >= 0) & (F.expr(f"substring(`{text_col}`, cut * stride - shift + 1, length(pattern))") == F.col("pattern"))
-    put_out = ["pattern_id", *lines.columns, *([place.cast("bigint").alias("offset")] if every else [])]
+    put_out = ["pattern_id", *lines.columns, *([place.cast("bigint").alias("offset"), (at - 1 == place).alias("is_first")] if every else [])]
     on = ["gram_key", *within]
     if small:
         # the gram lookup happens where the line is read; no shuffle
@@ -297,31 +322,35 @@ def _candidates(lines: DataFrame, known: DataFrame, text_col: str, line_key: str
 
 def offsets_of_many(
     lines: DataFrame, patterns: DataFrame, text_col: str = "line", line_key: str = "first_pos", strategy: str = "auto",
+    kept: list[str] | None = None,
 ) -> DataFrame:
-    """(pattern_id, <line columns>, offset): every place of every pattern, overlapping ones included.
-
-    Short patterns come from the trie walk (``strategy`` auto; grams leaves it out).
-    Of longer ones each occurrence covers exactly one (cut, place) pair of the gram
-    join, so it comes out once, tested at its own place. Empty and null patterns have
-    no place; invalid bytes count as U+FFFD.
+    """(pattern_id, <line columns>, offset, is_first): every place of every pattern, overlapping ones included.
+
+    Patterns come from the trie walk (``strategy`` auto; grams leaves it out) as far
+    as they fit it. Of others each occurrence covers exactly one (cut, place) pair of
+    the gram join, so it comes out once, tested at its own place. ``is_first``: the
+    pattern's first place in the line. Empty and null patterns have no place; invalid
+    bytes count as U+FFFD. ``kept``: the columns of a line that are put out, all by
+    default; every place repeats them.
     """
     if strategy not in ("auto", "grams"):
         raise ValueError("strategy must be auto or grams")
     patterns = patterns.where(F.length("pattern") > 0).select(F.col("pattern_id").cast("bigint"), "pattern")
     lines = lines.withColumn(text_col, F.make_valid_utf8(text_col))
-    size = F.least(F.length("pattern"), F.lit(LONG_BAND[0]))
-    lengths = [r["n"] for r in patterns.select(size.alias("n")).distinct().collect()]
-    parts = []
-    if strategy == "auto" and any(n <= automaton.LONGEST for n in lengths):
-        found = automaton.short_matches(lines, patterns.where(size <= automaton.LONGEST), text_col, every=True)
-        if found is not None:
-            parts.append(found)
-            lengths = [n for n in lengths if n > automaton.LONGEST]
+    kept = lines.columns if kept is None else kept
+    counts, parts, longest = _counts(patterns), [], 0
+    if strategy == "auto":
+        found, longest = _walked(lines, patterns, counts, text_col, (), kept, 0, every=True)
+        parts = [found] if found is not None else []
+    lengths = sorted({min(n, LONG_BAND[0]) for n in counts if n > longest})
     if lengths:
         bands = _bands(lengths)
         walks = sorted({next(((q, s) for low, q, s in bands if n >= low), (n, 1)) for n in lengths})
-        parts.append(_gram_matches(lines, patterns.where(size.isin(lengths)), text_col, line_key, (), bands, walks, every=True))
-    empty = lines.select(F.lit(None).cast("bigint").alias("pattern_id"), "*", F.lit(None).cast("bigint").alias("offset")).limit(0)
+        others = patterns.where(F.length("pattern") > longest)
+        by_gram = _gram_matches(lines, others, text_col, line_key, (), bands, walks, every=True)
+        parts.append(by_gram.select("pattern_id", *kept, "offset", "is_first"))
+    nothing = (F.lit(None).cast("bigint").alias("offset"), F.lit(None).cast("boolean").alias("is_first"))
+    empty = lines.select(F.lit(None).cast("bigint").alias("pattern_id"), *kept, *nothing).limit(0)
     return reduce(DataFrame.unionByName, parts) if parts else empty
 
 

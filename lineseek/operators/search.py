@@ -8,10 +8,15 @@ the predicate reach the Parquet reader.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window as W
 
 from lineseek.functions import regex
@@ -112,6 +117,47 @@ def limit_per_query(matches: DataFrame, queries: DataFrame, query_id: str = "que
     return free.unionByName(ranked) if n_free else ranked
 
 
+#: Matches that a task looks at together, and that it holds at most, when it cuts them to the first ones.
+CUT_ROWS, HELD_ROWS = 1 << 16, 1 << 20
+
+
+def first_matches(matches: DataFrame, max_count: int, query_id: str = "query_id") -> DataFrame:
+    """Each query's first ``max_count`` matches by ``first_pos`` (nulls first); matches of no query are left out.
+
+    Every task keeps the first ones of the rows it has seen, so that neither a sort
+    nor a shuffle meets all matches; the ranking that decides follows on these. Ids and
+    positions that are not whole numbers of 64 bits are ranked right away.
+    """
+    matches = matches.where(F.col(query_id).isNotNull())
+    whole = all(isinstance(matches.schema[c].dataType, LongType) for c in (query_id, "first_pos"))
+
+    def firsts(rows: pa.Table) -> pa.Table:
+        ids = rows[query_id].to_numpy()
+        known = rows["first_pos"].is_valid().to_numpy()
+        at = pc.fill_null(rows["first_pos"], 0).to_numpy()
+        order = np.lexsort((at, known, ids))
+        ids = ids[order]
+        rank = np.arange(len(ids)) - np.searchsorted(ids, ids)
+        return rows.take(order[rank < max_count])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh = [], 0
+        for batch in batches:
+            held.append(batch)
+            fresh += len(batch)
+            if fresh >= CUT_ROWS:
+                held, fresh = firsts(pa.Table.from_batches(held)).combine_chunks().to_batches(), 0
+                if sum(map(len, held)) > HELD_ROWS:
+                    yield from held
+                    held = []
+        if held:
+            yield from firsts(pa.Table.from_batches(held)).to_batches()
+
+    cut = matches.mapInArrow(run, matches.schema) if whole else matches
+    rank = F.row_number().over(W.partitionBy(query_id).orderBy("first_pos"))
+    return cut.withColumn("__rn", rank).where(F.col("__rn") <= max_count).drop("__rn")
+
+
 def result_counts(queries: DataFrame, matches: DataFrame, query_id: str = "query_id") -> DataFrame:
     """One row per query with its number of matches; a miss counts 0."""
     counts = matches.groupBy(query_id).agg(F.count(F.lit(1)).alias("count"))

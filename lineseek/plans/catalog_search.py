@@ -13,7 +13,9 @@ from lineseek.operators.search import SearchOptions
 from lineseek.plans.registry import (
     SQL_BATCH, SQL_EXACT, SQL_FOLDED, SQL_LINES, r, register, rs, spread, sql_lines, sql_strip, table,
 )
+from lineseek.plans.joins import join_groups
 from lineseek.plans.session import materialise, scratch_path
+from lineseek.plans.sizing import broadcast_if_small, fits
 from lineseek.sources import index, lines as sources, sinks
 
 
@@ -264,8 +266,8 @@ SQL_WORDS = """p AS (SELECT DISTINCT word AS pattern FROM (
 SELECT pattern, first_pos FROM p JOIN exact ON contains(line, pattern)""")
 def multi_pattern_substring(spark, sf_dir):
     pats = words(spark, sf_dir)
-    hits = patterns.substring_matches(exact(spark, sf_dir).select("line", "first_pos"), pats)
-    return hits.join(pats, "pattern_id").select("pattern", "first_pos")
+    hits = patterns.substring_matches(exact(spark, sf_dir).select("line", "first_pos"), pats, kept=["first_pos"])
+    return hits.join(broadcast_if_small(pats), "pattern_id").select("pattern", "first_pos")
 
 
 @register(f"""WITH {SQL_EXACT}, {SQL_WORDS},
@@ -276,10 +278,17 @@ FROM places WHERE substr(line, k + 1, length(pattern)) = pattern GROUP BY patter
 def multi_pattern_offsets(spark, sf_dir):
     """All places of all words at once, summed up for each word."""
     pats = words(spark, sf_dir)
-    hits = patterns.offsets_of_many(exact(spark, sf_dir).select("line", "first_pos"), pats)
-    per_line = hits.groupBy("pattern_id", "first_pos").agg(F.count(F.lit(1)).alias("n"), F.sum("offset").alias("s"), F.max("offset").alias("m"))
-    found = per_line.groupBy("pattern_id").agg(
-        F.sum("n").alias("n_places"), F.count(F.lit(1)).alias("n_lines"), F.sum("s").alias("sum_offset"), F.max("m").alias("max_offset"))
+    lines = materialise(exact(spark, sf_dir).select("line", "first_pos"), "lines")
+    # a position is one line's, but for documents of one id: only these are told apart by it, others by their first places
+    shared = lines.groupBy("first_pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first_pos", F.lit(True).alias("shared"))
+    shared = materialise(shared, "shared")
+    lines = join_groups(lines, shared, ["first_pos"], "left", small=fits(shared))
+    hits = patterns.offsets_of_many(lines, pats, kept=["first_pos", "shared"])
+    parts = hits.groupBy("pattern_id", "shared", F.when(F.col("shared"), F.col("first_pos")).alias("first_pos")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_first").alias("firsts"), F.sum("offset").alias("s"), F.max("offset").alias("m"))
+    found = parts.groupBy("pattern_id").agg(
+        F.sum("n").alias("n_places"), F.sum(F.when(F.col("shared"), 1).otherwise(F.col("firsts"))).alias("n_lines"),
+        F.sum("s").alias("sum_offset"), F.max("m").alias("max_offset"))
     return pats.join(found, "pattern_id").drop("pattern_id")
 
 
@@ -353,7 +362,7 @@ SELECT pattern, count(line) AS count FROM p LEFT JOIN exact ON contains(line, pa
 def result_counts(spark, sf_dir):
     """Matches per pattern; a pattern without any counts 0."""
     pats = words(spark, sf_dir)
-    hits = patterns.substring_matches(exact(spark, sf_dir).select("line", "first_pos"), pats)
+    hits = patterns.substring_matches(exact(spark, sf_dir).select("line", "first_pos"), pats, kept=[])
     return search.result_counts(pats, hits, "pattern_id").select("pattern", "count")
 
 
@@ -366,7 +375,11 @@ FROM p LEFT JOIN top USING (pattern) GROUP BY p.pattern""")
 def result_lists(spark, sf_dir):
     """First three matches of each pattern, put together in order."""
     pats = words(spark, sf_dir)
-    hits = patterns.substring_matches(exact(spark, sf_dir).select("line", "first_pos"), pats)
+    lines = materialise(exact(spark, sf_dir).select(F.monotonically_increasing_id().alias("line_id"), "line", "first_pos"), "lines")
+    hits = patterns.substring_matches(lines, pats, line_key="line_id", kept=["line_id", "first_pos"])
+    # the text comes to the few matches that are put out, not to all
+    top = materialise(search.first_matches(hits, 3, "pattern_id"), "top")
+    hits = lines.select("line_id", "line").join(broadcast_if_small(top), "line_id")
     lists = search.result_lists(pats, hits, 3, "pattern_id")
     return lists.select("pattern", F.array_join("matches", "\n").alias("matches"), "count")
 
