@@ -178,3 +178,10 @@ def test_a_part_of_several_files_is_one_batch(spark, monkeypatch):
     got = drain(admission.token_bucket(replay(table, "ts", "t-files", 4, 60), "client", "ts", "id", 0.0001, 2), "t-files")
     want = batch_admission.token_bucket(log.where("client is not null"), "client", "ts_us", "id", 0.0001, 2)
     assert set(got.where("client is not null").collect()) == set(want.select(*got.columns).collect())
+
+
+def test_unknown_ids_leave_the_others_known(spark):
+    rows = [("a", T0 + dt.timedelta(minutes=7 * i), None if i % 9 == 4 else (1 << 60) + i, 0.0, i % 2 == 0) for i in range(60)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = drain(admission.token_bucket(replay(table, "ts", "t-ids", 2, 60), "client", "ts", "id", 0.001, 2), "t-ids").collect()
+    assert sorted((r.ts_us, r.id) for r in got if r.client) == [(r.ts_us, r.id) for r in table.select(micros(F.col("ts")).alias("ts_us"), "id").orderBy("ts").collect()]
