@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from lineseek.plans.sizing import fits
 
@@ -124,7 +125,7 @@ def _walked(trie: Trie, texts: list[str], every: bool) -> tuple[np.ndarray, np.n
 
 
 def _runs(weights: np.ndarray) -> Iterator[slice]:
-    """Runs of matches of at most ``SENT`` rows and, beyond the first row, about ``SENT_CHARS`` characters."""
+    """Runs of rows, at most ``SENT`` and, beyond the first row, about ``SENT_CHARS`` characters."""
     total, k = np.cumsum(weights), 0
     while k < len(weights):
         sent = total[k - 1] if k else 0
@@ -138,6 +139,7 @@ def short_matches(
 ) -> DataFrame | None:
     """(pattern_id, <line columns>) for every line that holds a pattern of 1 to ``LONGEST`` characters, once each.
 
+    A task sends each line once, beside the ids of all its patterns, however many they are.
     ``every``: one row for each occurrence, overlapping ones included, with its
     0-based ``offset`` behind the line's columns, and ``is_first``: no earlier one of
     this pattern is in the line. ``kept``: the columns of a line that are put out, all
@@ -162,8 +164,9 @@ def short_matches(
     )
     kept = lines.columns if kept is None else kept
     place_columns = [StructField("offset", LongType()), StructField("is_first", BooleanType())] if every else []
-    schema = StructType([StructField("pattern_id", LongType()), *(lines.schema[c] for c in kept), *place_columns])
-    with_text = text_col in kept
+    id_kind = LongType() if every else ArrayType(LongType(), False)
+    schema = StructType([StructField("pattern_id", id_kind), *(lines.schema[c] for c in kept), *place_columns])
+    with_text = text_col in kept or not every and bool(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(texts)
@@ -184,10 +187,21 @@ def short_matches(
                 which = np.repeat(start[pattern], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 same = kind_of[which] == kinds_here[line]
                 line, which, offset, first_of = line[same], which[same], offset[same], first_of[same]
-                sizes = np.fromiter(map(len, run_of), dtype=np.int64, count=len(run_of))
-                for k in _runs(sizes[line - first] if with_text else np.zeros(len(line), dtype=np.int64)):
-                    taken = sent.take(pa.array(line[k])).columns if kept else []
-                    columns = [pa.array(ids[which[k]]), *taken, *([pa.array(offset[k]), pa.array(first_of[k])] if every else [])]
-                    yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
-
-    return lines.select(*dict.fromkeys([*kept, text_col, *within])).mapInArrow(run, schema)
+                sizes = np.fromiter(map(len, run_of), dtype=np.int64, count=len(run_of)) * with_text
+                if every:
+                    for k in _runs(sizes[line - first]):
+                        taken = sent.take(pa.array(line[k])).columns if kept else []
+                        columns = [pa.array(ids[which[k]]), *taken, pa.array(offset[k]), pa.array(first_of[k])]
+                        yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+                    continue
+                # pairs come by line, so those of a line are one list
+                own, begin = np.unique(line, return_index=True)
+                stop = np.append(begin[1:], len(line))
+                for k in _runs(sizes[own - first] + 8 * (stop - begin)):
+                    lo, hi = begin[k][0], stop[k][-1]
+                    found = pa.ListArray.from_arrays(pa.array(np.append(begin[k] - lo, hi - lo), pa.int32()), pa.array(ids[which[lo:hi]]))
+                    taken = sent.take(pa.array(own[k])).columns if kept else []
+                    yield pa.RecordBatch.from_arrays([found, *taken], names=schema.fieldNames())
+
+    found = lines.select(*dict.fromkeys([*kept, text_col, *within])).mapInArrow(run, schema)
+    return found if every else found.select(F.explode("pattern_id").alias("pattern_id"), *kept)

@@ -29,19 +29,24 @@ from pyspark.sql import functions as F
 
 from lineseek.functions import factors, regex
 from lineseek.operators import automaton
-from lineseek.operators.search import SearchOptions, limit_per_query, predicate
+from lineseek.operators.search import SearchOptions, first_matches, limit_per_query, predicate
+from lineseek.plans.joins import join_groups
 from lineseek.plans.session import materialise
 from lineseek.plans.sizing import broadcast_if_small, fits
 
 PER_SCAN = 64
 PER_PLAN = 1024
-# literal tests that cost as much as cutting the text at every character once
+# literal tests that cost as much as cutting the text at every character once, and as walking it by trie
 TESTS_PER_WALK = 200
+TESTS_PER_TRIE = 40
 # patterns beyond which their texts are joined to the lines instead of tested one by one
 REGEX_TESTS = 128
 # (shortest pattern, gram length, stride). Long grams keep candidate pairs few,
 # strides keep cuts few. Patterns shorter than the last band are their own gram.
-LONG_BAND = (16, 9, 8)
+# A long pattern asks for long grams: short ones stand in so many lines that the
+# candidates grow with patterns x lines.
+LONG_BANDS = ((256, 129, 128), (64, 33, 32), (16, 9, 8))
+LONGEST_BAND = LONG_BANDS[0][0]
 MIDDLE_BANDS = ((12, 7, 6), (8, 6, 3), (6, 6, 1))
 SHORT_BAND = (4, 4, 1)
 
@@ -49,16 +54,13 @@ SHORT_BAND = (4, 4, 1)
 def literal_matches(
     lines: DataFrame, tests: Iterable[tuple[int, Column]], id_name: str = "pattern_id"
 ) -> DataFrame:
-    """One scan that evaluates several literal tests on each line.
+    """One scan that evaluates several literal tests on each line, once.
 
-    Lines that match nothing are dropped before the explode.
+    Lines that match nothing end at the explode; a filter on the ids before it
+    would be moved below them and do all tests again.
     """
     ids = F.array_compact(F.array(*[F.when(test, F.lit(i).cast("bigint")) for i, test in tests]))
-    return (
-        lines.withColumn("__ids", ids)
-        .where(F.size("__ids") > 0)
-        .select(F.explode("__ids").alias(id_name), *lines.columns)
-    )
+    return lines.select(F.explode(ids).alias(id_name), *lines.columns)
 
 
 def _passes(lines: DataFrame, patterns: DataFrame, test: Callable[[Row], Column | None]) -> DataFrame:
@@ -87,8 +89,8 @@ def _bands(lengths: list[int]) -> list[tuple[int, int, int]]:
     Each band is one more walk over the text, so the middle lengths share one: the
     one its shortest pattern allows.
     """
-    middle = [n for n in lengths if MIDDLE_BANDS[-1][0] <= n < LONG_BAND[0]]
-    chosen = [LONG_BAND]
+    middle = [n for n in lengths if MIDDLE_BANDS[-1][0] <= n < LONG_BANDS[-1][0]]
+    chosen = [*LONG_BANDS]
     if middle:
         chosen.append(next(b for b in MIDDLE_BANDS if b[0] <= min(middle)))
     return [*chosen, SHORT_BAND]
@@ -96,7 +98,8 @@ def _bands(lengths: list[int]) -> list[tuple[int, int, int]]:
 
 def _cut(text: Column, q: int, s: int) -> Column:
     """The q-character grams starting at every s-th character, in one pass."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}})).{{1,{s}}}"), F.lit(1))
+    # \G: the rest, too short for a gram, is not tried from each of its characters
+    return F.regexp_extract_all(text, F.lit(rf"(?s)\G(?=(.{{{q}}})).{{1,{s}}}"), F.lit(1))
 
 
 def _keyed(patterns: DataFrame, bands: list[tuple[int, int, int]], within: tuple[str, ...]) -> DataFrame:
@@ -147,7 +150,7 @@ def substring_matches(
     counts = _counts(patterns)
     found, longest = None, 0
     if strategy in ("auto", "trie"):
-        found, longest = _walked(lines, patterns, counts, text_col, within, kept, 0 if strategy == "trie" else TESTS_PER_WALK)
+        found, longest = _walked(lines, patterns, counts, text_col, within, kept, 0 if strategy == "trie" else TESTS_PER_TRIE)
     others = {n: c for n, c in counts.items() if n > longest}
     if found is None:
         return _by_length(lines, patterns, others, text_col, line_key, strategy, within).select("pattern_id", *kept)
@@ -158,8 +161,8 @@ def substring_matches(
 
 
 def _counts(patterns: DataFrame) -> dict[int, int]:
-    """Number of patterns of each length; those too long to be walked count as one length."""
-    size = F.least(F.length("pattern"), F.lit(automaton.LONGEST + 1))
+    """Number of patterns of each length; those of the longest band count as one length."""
+    size = F.least(F.length("pattern"), F.lit(LONGEST_BAND))
     return {r["n"]: r["count"] for r in patterns.groupBy(size.alias("n")).count().collect()}
 
 
@@ -180,12 +183,7 @@ def _by_length(
     lines: DataFrame, patterns: DataFrame, counts: dict[int, int], text_col: str, line_key: str, strategy: str, within: tuple[str, ...],
 ) -> DataFrame:
     """Walks for the lengths that have enough patterns, literal tests for the others."""
-    # one count per length up to that of the long band
-    size = F.least(F.length("pattern"), F.lit(LONG_BAND[0]))
-    banded: dict[int, int] = {}
-    for n, count in counts.items():
-        banded[min(n, LONG_BAND[0])] = banded.get(min(n, LONG_BAND[0]), 0) + count
-    counts = banded
+    size = F.least(F.length("pattern"), F.lit(LONGEST_BAND))
     bands = _bands(list(counts))
     walk_of = {n: next(((q, s) for low, q, s in bands if n >= low), (n, 1)) for n in counts}
     per_walk: dict[tuple[int, int], int] = {}
@@ -233,12 +231,13 @@ def _gram_matches(
         # the gram lookup happens where the line is read; no shuffle
         return grams.join(F.broadcast(keyed), on).where(first_hit).select(*put_out)
     # Pattern tables past the bound: shuffle (gram, line key, cut), not the text,
-    # then bring the text to the candidate pairs only. A frequent gram is split by
+    # then bring the texts to the candidate pairs only. A frequent gram is split by
     # AQE's skew join.
-    pairs = grams.select(*on, line_key, "cut").join(
-        keyed.select(*on, "pattern_id", "pattern", "stride", "shift"), on
-    )
-    return pairs.join(lines, [*within, line_key]).where(first_hit).select(*put_out)
+    numbered = materialise(patterns.withColumn("__row", F.monotonically_increasing_id()), "patterns")
+    keyed = _keyed(numbered, bands, within).select(*on, "__row", "stride", "shift")
+    pairs = materialise(grams.select(*on, line_key, "cut").join(keyed, on).drop("gram_key"), "pairs")
+    spelled = pairs.join(broadcast_if_small(numbered.select("__row", "pattern_id", "pattern")), "__row")
+    return lines.join(broadcast_if_small(spelled), [*within, line_key]).where(first_hit).select(*put_out)
 
 
 def _compiled(spark: SparkSession, pattern: str, ignore_case: bool) -> str | None:
@@ -249,9 +248,9 @@ def _compiled(spark: SparkSession, pattern: str, ignore_case: bool) -> str | Non
     return translated if regex.runs_on_jvm(spark, translated) else None
 
 
-def _guarded(text: Column, pattern: str, translated: str, ignore_case: bool) -> Column:
-    """The test for a pattern behind those for the texts that its matches must hold."""
-    within = F.lower(text) if factors.folds(pattern, ignore_case) else text
+def _guarded(text: Column, pattern: str, translated: str, ignore_case: bool, lowered: bool = False) -> Column:
+    """The test for a pattern behind those for the texts that its matches must hold; ``lowered``: the text is in lower case."""
+    within = F.lower(text) if not lowered and factors.folds(pattern, ignore_case) else text
     groups = [reduce(lambda a, b: a | b, [F.contains(within, F.lit(t)) for t in sorted(g)]) for g in factors.required(pattern, ignore_case)]
     return reduce(lambda a, b: a & b, [*groups, text.rlike(translated)])
 
@@ -304,20 +303,25 @@ def _factored(patterns: DataFrame, ignore_case: bool) -> DataFrame:
 
 
 def _candidates(lines: DataFrame, known: DataFrame, text_col: str, line_key: str) -> DataFrame:
-    """Lines that hold one of the texts of a pattern, and on which it is found."""
-    spelled = known.select("pattern_id", "translated", "folded", F.explode("texts").alias("text"))
-    texts = materialise(spelled.select("folded", "text").distinct().select(F.monotonically_increasing_id().alias("pattern_id"), "folded", F.col("text").alias("pattern")), "texts")
-    views = lines.select(text_col, line_key, F.explode(F.array(
-        F.struct(F.lit(False).alias("folded"), F.col(text_col).alias("seen")), F.struct(F.lit(True).alias("folded"), F.lower(text_col).alias("seen")),
-    )).alias("v")).select(text_col, line_key, "v.*")
-    kinds = [r[0] for r in texts.select("folded").distinct().collect()]
-    views = views.where(F.col("folded").isin(kinds))
-    hits = substring_matches(views, texts, "seen", line_key, within=("folded",)).select(F.col("pattern_id").alias("text_id"), line_key)
-    asked = spelled.join(texts.select("folded", F.col("pattern").alias("text"), F.col("pattern_id").alias("text_id")), ["folded", "text"])
-    # a line that holds several texts of one pattern is tried once
-    pairs = hits.join(broadcast_if_small(asked.select("text_id", "pattern_id", "translated")), "text_id").select("pattern_id", "translated", line_key).distinct()
-    found = pairs.join(lines, line_key).where(F.expr(f"`{text_col}` rlike translated"))
-    return found.select("pattern_id", *lines.columns)
+    """Lines that hold one of the texts of a pattern, and on which it is found. Lines without a key are left out.
+
+    The pattern is tried where the text is found, so that no line is shuffled.
+    """
+    known = known.distinct().select(F.monotonically_increasing_id().alias("number"), "*")
+    known = materialise(known.select("number", "pattern_id", "translated", "folded", "texts"), "numbered")
+    asked = broadcast_if_small(known.select("number", "pattern_id", "translated"))
+    lines = lines.where(F.col(line_key).isNotNull())
+    parts = [lines.select(F.lit(None).cast(known.schema["pattern_id"].dataType).alias("pattern_id"), "*").limit(0)]
+    for folded, several in [(r["folded"], r["several"]) for r in known.select("folded", (F.size("texts") > 1).alias("several")).distinct().collect()]:
+        mine = known.where((F.col("folded") == folded) & ((F.size("texts") > 1) == several))
+        texts = mine.select(F.col("number").alias("pattern_id"), F.explode("texts").alias("pattern"))
+        seen = lines.withColumn("__seen", F.lower(text_col) if folded else F.col(text_col))
+        hits = substring_matches(seen, texts, "__seen", line_key, kept=lines.columns).withColumnRenamed("pattern_id", "number")
+        found = hits.join(asked, "number").where(F.expr(f"`{text_col}` rlike translated"))
+        # a line may hold several texts of a pattern
+        found = found.dropDuplicates(["number", line_key]) if several else found
+        parts.append(found.select("pattern_id", *lines.columns))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def offsets_of_many(
@@ -342,7 +346,7 @@ def offsets_of_many(
     if strategy == "auto":
         found, longest = _walked(lines, patterns, counts, text_col, (), kept, 0, every=True)
         parts = [found] if found is not None else []
-    lengths = sorted({min(n, LONG_BAND[0]) for n in counts if n > longest})
+    lengths = sorted(n for n in counts if n > longest)
     if lengths:
         bands = _bands(lengths)
         walks = sorted({next(((q, s) for low, q, s in bands if n >= low), (n, 1)) for n in lengths})
@@ -400,31 +404,57 @@ def batch_search(index: DataFrame, queries: DataFrame) -> DataFrame:
     max_count), already validated. Both search views are laid under each other,
     so each kind of query needs one scan for both: whole-line queries are an
     equality join, substrings the pattern join, regex and inverted queries literal
-    tests.
+    tests. Queries that differ in their limits alone are one search, and those with
+    a limit keep their first matches only.
     """
+    q = queries.fillna({"case_sensitive": False, "whole_line": False, "regex": False, "invert": False})
+    limit = F.greatest(F.coalesce("max_count", F.lit(0)), F.lit(0))
+    q = q.select(F.col("query_id").cast("bigint").alias("query_id"), "query", F.col("case_sensitive").alias("sensitive"), *ASKED[2:], limit.alias("limit"), (limit > 0).alias("limited"))
+    searches = q.groupBy(*ASKED, "limited").agg(F.max("limit").alias("most"))
+    searches = materialise(searches.select(F.monotonically_increasing_id().alias("pattern_id"), "*"), "searches")
+    own = join_groups(q, searches.select("pattern_id", *ASKED, "limited"), [*ASKED, "limited"]).select("pattern_id", "query_id")
+    own = broadcast_if_small(materialise(own, "own"))
+    sizes = {r["limited"]: r["most"] for r in searches.groupBy("limited").agg(F.max("most").alias("most")).collect()}
+    kinds = [r[0] for r in searches.select("sensitive").distinct().collect()]
     sensitive = F.struct(F.lit(True).alias("sensitive"), F.col("line").alias("text"), "first_pos")
     folded = F.struct(
         F.lit(False).alias("sensitive"), F.col("line_lower").alias("text"), F.col("fold_first_pos").alias("first_pos")
     )
-    views = index.select("line", F.explode(F.array_compact(F.array(sensitive, F.when(F.col("is_fold"), folded)))).alias("v"))
-    views = views.select("line", "v.*")
-    q = (
-        queries.fillna({"case_sensitive": False, "whole_line": False, "regex": False, "invert": False})
-        .withColumnRenamed("case_sensitive", "sensitive")
-        .withColumnRenamed("query_id", "pattern_id")
-        .withColumn("pattern", F.when(F.col("sensitive"), F.col("query")).otherwise(F.lower("query")))
-    )
+    asked = [v for kind, v in ((True, sensitive), (False, F.when(F.col("is_fold"), folded))) if kind in kinds or not kinds]
+    views = index.select("line", F.explode(F.array_compact(F.array(*asked))).alias("v")).select("line", "v.*")
+    parts = []
+    for limited in sizes or (False,):
+        found = _found(views, searches.where(F.col("limited") == limited))
+        if limited:
+            # cut where they are found: neither a sort nor a written table meets all matches
+            found = materialise(first_matches(found, sizes[limited], "pattern_id"), "first")
+        out = found.join(own, "pattern_id").select("query_id", "line", "first_pos")
+        parts.append(limit_per_query(out, queries.where(F.col("max_count") > 0)) if limited else out)
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: What makes two queries one search.
+ASKED = ("query", "sensitive", "whole_line", "regex", "invert")
+
+
+def _found(views: DataFrame, searches: DataFrame) -> DataFrame:
+    """All matches of different searches: (pattern_id, line, first_pos)."""
+    q = searches.withColumn("pattern", F.when(F.col("sensitive"), F.col("query")).otherwise(F.lower("query")))
     joined = q.where("not regex and not invert")
     whole = joined.where("whole_line").select("pattern_id", "sensitive", F.col("pattern").alias("text"))
     parts = [
         views.join(broadcast_if_small(whole), ["sensitive", "text"]),
-        substring_matches(views, joined.where("not whole_line"), "text", within=("sensitive",)),
+        substring_matches(views, joined.where("not whole_line"), "text", within=("sensitive",), kept=["line", "first_pos"]),
         _passes(views, q.where("regex or invert"), _option_test),
     ]
-    out = reduce(DataFrame.unionByName, [p.select(F.col("pattern_id").alias("query_id"), "line", "first_pos") for p in parts])
-    return limit_per_query(out, queries)
+    return reduce(DataFrame.unionByName, [p.select("pattern_id", "line", "first_pos") for p in parts])
 
 
 def _option_test(r: Row) -> Column:
     options = SearchOptions(r["sensitive"], r["whole_line"], r["regex"], r["invert"])
-    return (F.col("sensitive") == r["sensitive"]) & predicate(r["query"], options, F.col("text"))
+    test = predicate(r["query"], options, F.col("text"))
+    if options.regex and regex.is_valid(r["query"]):
+        fold = not options.case_sensitive
+        test = _guarded(F.col("text"), r["query"], regex.to_jvm(r["query"], ignore_case=fold), fold, lowered=fold)
+        test = ~test if options.invert else test
+    return (F.col("sensitive") == r["sensitive"]) & test

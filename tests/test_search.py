@@ -235,3 +235,48 @@ def test_short_patterns_walk_within_groups_and_chunks(spark, monkeypatch):
     assert automaton.short_matches(lines, pats, "line", ("kind",)) is None
     again = patterns.substring_matches(lines, pats, strategy="trie", within=("kind",))
     assert sorted(map(tuple, again.select("pattern_id", "first_pos").collect())) == [(1, 1), (1, 4), (2, 2), (3, 1), (4, 1), (4, 4)]
+
+
+QUERIES = "query_id bigint, query string, case_sensitive boolean, whole_line boolean, regex boolean, invert boolean, max_count int"
+
+
+def test_queries_that_differ_in_their_limits_are_one_search(spark, corpus_of, monkeypatch):
+    table = index.build(corpus_of([f"aa {i}" for i in range(30)]))
+    queries = spark.createDataFrame([(i, "a+", False, False, True, False, i) for i in range(1, 12)], QUERIES)
+    asked, passes = [], patterns._passes
+    monkeypatch.setattr(patterns, "_passes", lambda lines, pats, test: asked.append(pats.count()) or passes(lines, pats, test))
+    got = patterns.batch_search(table, queries).groupBy("query_id").agg(F.count("line").alias("n"), F.max("first_pos").alias("last")).collect()
+    assert {r.query_id: r.n for r in got} == {i: i for i in range(1, 12)}
+    first = sorted(r.first_pos for r in table.select("first_pos").collect())
+    assert {r.query_id: r["last"] for r in got} == {i: first[i - 1] for i in range(1, 12)}
+    assert sum(asked) == 1
+
+
+def test_long_patterns_meet_few_candidates(spark, corpus_of, monkeypatch):
+    rng, common = random.Random(3), "the nation of the station and the ration "
+    texts = [common * 6 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) + f" {common * 2}" for _ in range(40)]
+    lines = corpus.exact_view(corpus_of([f"x {t} y" for t in texts])).select("line", "first_pos")
+    pats = spark.createDataFrame([(i, t.strip()) for i, t in enumerate(texts)] + [(100 + i, t[200:320].strip()) for i, t in enumerate(texts)], "pattern_id bigint, pattern string")
+    sizes, write = {}, patterns.materialise
+
+    def counted(df, label):
+        sizes[label] = (out := write(df, label)).count()
+        return out
+
+    monkeypatch.setattr(patterns, "fits", lambda df: False)
+    monkeypatch.setattr(patterns, "materialise", counted)
+    got = {(r.pattern_id, r.line) for r in patterns.substring_matches(lines, pats, strategy="grams").collect()}
+    assert got == {(i, f"x {t} y") for i, t in enumerate(texts)} | {(100 + i, f"x {t} y") for i, t in enumerate(texts)}
+    # a gram of nine characters of the common words stands in every line
+    assert sizes["pairs"] < 40 * len(texts) * 4
+
+
+def test_factored_regexes_shuffle_no_line(spark, corpus_of):
+    lines = corpus.exact_view(corpus_of([*FOUR, "first of the final lines"])).select("line", "first_pos").coalesce(1)
+    lines = lines.localCheckpoint()
+    pats = spark.createDataFrame([(1, "final[a-z]* .*line"), (2, "(test|first).*(lines?|of)"), (3, "zzz+")], "pattern_id bigint, pattern string")
+    hits = patterns.regex_matches(lines, pats, strategy="factors")
+    want = {(1, "final test line"), (1, "first of the final lines"), (2, "first of the final lines")} | {(2, t) for t in FOUR}
+    assert sorted((r.pattern_id, r.line) for r in hits.collect()) == sorted(want)
+    one = patterns.regex_matches(lines, pats.where("pattern_id <> 2"), strategy="factors")
+    assert "hashpartitioning(first_pos" not in one._jdf.queryExecution().toString()
