@@ -35,9 +35,11 @@ def with_fold(exact: DataFrame) -> DataFrame:
     """Exact view with the figures of each line's lower-cased group.
 
     The group holds the distinct spellings of one line, so a window over it is
-    small; unlike an aggregation that carries text it sorts once.
+    small; unlike an aggregation that carries text it sorts once. The rows come to
+    it by their lower-cased form, which is made again there and not shuffled.
     """
     spellings = W.partitionBy("line_lower")
+    exact = exact.drop("line_lower").repartition(F.lower("line")).withColumn("line_lower", F.lower("line")).select(*exact.columns)
     return (
         exact.withColumn("is_fold", F.col("last_pos") == F.max("last_pos").over(spellings))
         .withColumn("fold_first_pos", F.min("first_pos").over(spellings))

@@ -20,6 +20,9 @@ from lineseek.functions.hashing import BUCKETS, bucket_of
 from lineseek.operators.corpus import exact_view, with_fold
 
 COLUMNS = ("line", "line_lower", "n_occurrences", "first_pos", "last_pos", "last_line_no", "is_fold", "fold_first_pos")
+#: A saved index holds every line twice and is read often, so it is packed well.
+CODEC = "zstd"
+
 
 def build(lines: DataFrame) -> DataFrame:
     return with_fold(exact_view(lines)).select(*COLUMNS)
@@ -38,12 +41,15 @@ def write(lines: DataFrame, path: str, partitions: int | None = None, mode: str
 
 def save(lines: DataFrame, name: str, path: str, buckets: int = BUCKETS) -> DataFrame:
     """The index as table ``name`` at ``path``, with the column ``part`` (the bucket of the line) as folders."""
-    table = build(lines).withColumn("part", bucket_of("line", buckets)).repartition(buckets, "line")
+    # the lower-cased form is made again where it is written, not shuffled beside the line
+    table = build(lines).drop("line_lower").repartition(buckets, "line")
+    table = table.withColumn("line_lower", F.lower("line")).select(*COLUMNS, bucket_of("line", buckets).alias("part"))
     (
         table.write.partitionBy("part")
         .bucketBy(buckets, "line")
         .sortBy("line")
         .option("path", path)
+        .option("compression", CODEC)
         .option("parquet.bloom.filter.enabled#line", "true")
         .saveAsTable(name)
     )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lineseek.operators import membership
+from lineseek.operators import corpus, membership
 from lineseek.sources import index
 
 
@@ -33,3 +33,10 @@ def test_saved_index_prunes_and_needs_no_shuffle(spark, corpus_of, tmp_path):
         assert membership.lookup_pruned(saved, queries.where("false"), buckets=8).count() == 0
     finally:
         spark.sql("drop table saved_index_test")
+
+
+def test_the_lower_cased_form_is_not_shuffled(corpus_of):
+    exact = corpus.exact_view(corpus_of(["One", "one", "TWO"]))
+    plan = corpus.with_fold(exact)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Exchange hashpartitioning(lower(line" in plan
+    assert {(r.line, r.is_fold) for r in corpus.with_fold(exact).collect()} == {("One", False), ("one", True), ("TWO", True)}
