@@ -38,7 +38,7 @@ PER_SCAN = 64
 PER_PLAN = 1024
 # literal tests that cost as much as cutting the text at every character once, and as walking it by trie
 TESTS_PER_WALK = 200
-TESTS_PER_TRIE = 40
+TESTS_PER_TRIE = 20
 # patterns beyond which their texts are joined to the lines instead of tested one by one
 REGEX_TESTS = 128
 # (shortest pattern, gram length, stride). Long grams keep candidate pairs few,
