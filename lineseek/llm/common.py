@@ -13,6 +13,9 @@ from lineseek.plans.session import scratch_path
 
 #: Bytes of text that a vectorised step takes at a time; one longer text is taken alone.
 CHUNK_BYTES = 1 << 20
+#: Bytes of rows that Python workers get at a time, unless the session says otherwise: whole texts differ too much in size to be counted in rows.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.label, self.paths = spark, label, {}
+        if spark.conf.get(BATCH_SETTING, None) is None:
+            spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
     def keep(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
         path = scratch_path(self.spark, f"{self.label}-{name}")
@@ -41,6 +46,12 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def only(self, name: str, df: DataFrame) -> DataFrame:
+        """Keeps a table that ends the work and drops all others."""
+        df = self.keep(name, df)
+        self.drop(*(other for other in self.paths if other != name))
+        return df
+
 
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that matter, whatever else the table carries; null text counts as empty."""

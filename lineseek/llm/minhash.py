@@ -163,7 +163,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch,
     return links
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     A document's set holds the distinct runs of ``size`` lower-cased words (fewer
@@ -180,10 +180,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     each pair in the first band it shares. Pairs pass an exact bound on the set
     sizes and one on the agreement of 512 signature bits before that. A group of
     true copies thus costs one comparison a member, no bucket is capped, and pairs
-    are not written. Every link is confirmed on full sets.
+    are not written. Every link is confirmed on full sets. ``scratch``: where the
+    tables are written that the rows are read from.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minmax")
+    scratch = scratch or Scratch(docs.sparkSession, "minmax")
     docs = texts(docs, key, text)
     digest = scratch.keep("digest", docs.mapInArrow(
         _digest(size), "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>"))
@@ -198,6 +198,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     members = scratch.keep("members", rows.join(hubs, "band").select("band", "node", "hub", "n"))
     traits = nodes.select("node", "n_shingles", "bits", "bands").join(members.select("node").distinct(), "node")
     traits = scratch.keep("traits", traits.select("node", F.col("n_shingles").alias("n_set"), "bits", "bands"))
+    scratch.drop("firsts", "nodes")
     alike = " and ".join([
         f"100 * least(s.n_set, t.n_set) >= {percent} * greatest(s.n_set, t.n_set)",
         f"{' + '.join(f'bit_count(s.bits[{i}] ^ t.bits[{i}])' for i in range(BITS // 64))} <= {BITS - AGREE}",
@@ -236,7 +237,9 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     word-free texts are near nothing and stay; very long texts are compared whole.
     All columns stay as they are, whatever their names. An empty table gives no rows.
     """
-    kept = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    scratch = Scratch(docs.sparkSession, "minmax")
+    kept = near_duplicates(docs, size, percent, scratch=scratch).where("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    kept = scratch.only("kept", kept)
     rows = packed(docs, F.col("doc_id").cast("long").alias("id"))
     first = F.row_number().over(Window.partitionBy("id").orderBy("id"))
     named = rows.where("id is not null").join(kept.hint("merge"), "id", "left_semi").withColumn("turn", first).where("turn = 1")

@@ -147,7 +147,7 @@ def _ties(rows: DataFrame) -> DataFrame:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word hashes of the ranges that are asked of each text."""
     for batch in batches:
-        docs, first, last, base, out, size = [], [], [], [], [], 0
+        docs, first, last, base, out, ends, size = [], [], [], [], [], [], 0
         for doc, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             data = np.frombuffer(text.as_buffer(), np.uint8)
             hashes = words(data, np.array([0, len(data)]))[0]
@@ -157,16 +157,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last.append(r["to"])
                 base.append(max(r["from"], 0))
                 out.append(hashes[base[-1] : max(r["to"], 0)].tobytes())
+                ends.append((r["is_a"], r["is_b"]))
                 size += len(out[-1])
             if size >= STRETCH_TEXT:
-                yield _cut_batch(docs, first, last, base, out)
-                docs, first, last, base, out, size = [], [], [], [], [], 0
-        yield _cut_batch(docs, first, last, base, out)
+                yield _cut_batch(docs, first, last, base, out, ends)
+                docs, first, last, base, out, ends, size = [], [], [], [], [], [], 0
+        yield _cut_batch(docs, first, last, base, out, ends)
 
 
-def _cut_batch(docs: list, first: list, last: list, base: list, out: list) -> pa.RecordBatch:
+def _cut_batch(docs: list, first: list, last: list, base: list, out: list, ends: list[tuple[bool, bool]]) -> pa.RecordBatch:
     columns = [pa.array(docs, pa.int64()), *(pa.array(c, pa.int32()) for c in (first, last, base)), pa.array(out, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["doc", "from", "to", "base", "codes"])
+    columns += [pa.array([e[i] for e in ends], pa.bool_()) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays(columns, ["doc", "from", "to", "base", "codes", "is_a", "is_b"])
 
 
 def _spans(x: np.ndarray, y: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int, float]]:
@@ -285,7 +287,7 @@ def _compare(least: int, percent: int):
 FOUND = "kind int, doc_id long, start_word int, end_word int, source_id long, source_start int, source_end int, similarity double, key long"
 
 
-def repeated(docs: DataFrame, least: int = LEAST, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, least: int = LEAST, percent: int = 80, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Passages that repeat across documents, each with an earlier document that holds it.
 
     Columns: doc_id, start_word, end_word (exclusive), source_id, source_start,
@@ -306,9 +308,10 @@ def repeated(docs: DataFrame, least: int = LEAST, percent: int = 80, key: str =
     and so on until no group is left. A group shares at least one word more than
     the one it comes from, so after at most ``least`` rounds it shares a passage.
     Equal passages are found always; near ones at similarity 0.8 share a signature in
-    0.9997 of cases for each stretch of ``least`` words they have.
+    0.9997 of cases for each stretch of ``least`` words they have. ``scratch``: where
+    the tables are written that the rows are read from.
     """
-    scratch = Scratch(docs.sparkSession, "passages")
+    scratch = scratch or Scratch(docs.sparkSession, "passages")
     docs = texts(docs, key, text).where("doc_id is not null")
     edge = least + RUN
 
@@ -316,17 +319,19 @@ def repeated(docs: DataFrame, least: int = LEAST, percent: int = 80, key: str =
         ends = {"a": F.lit(0), "b": F.col("shift")}
         ties = ties.select("*", *((F.col(at) - shift + side * edge).cast("int").alias(f"{end}_{name_of}")
                                   for end, shift in ends.items() for at, side, name_of in (("first", -1, "from"), ("last", 1, "to"))))
-        asked = reduce(DataFrame.unionByName, (ties.select(F.col(e).alias("doc"), F.col(f"{e}_from").alias("from"), F.col(f"{e}_to").alias("to")) for e in ends))
+        asked = reduce(DataFrame.unionByName, (ties.select(
+            F.col(e).alias("doc"), F.col(f"{e}_from").alias("from"), F.col(f"{e}_to").alias("to"), *(F.lit(e == end).alias(f"is_{end}") for end in ends)) for e in ends))
         # each range once, however many texts are tied to it, and the ranges of a section of a text beside one copy of it
-        asked = scratch.keep(f"{name}-asked", asked.distinct())
+        asked = scratch.keep(f"{name}-asked", asked.groupBy("doc", "from", "to").agg(*(F.max(f"is_{e}").alias(f"is_{e}") for e in ends)))
         # later rounds ask few texts: the others are left out before texts are shuffled
         own = asked.select(F.col("doc").alias("doc_id")).distinct()
         some = docs.join(F.broadcast(own), "doc_id", "left_semi") if fits(own) else docs
-        asked = asked.groupBy("doc", F.floor(F.col("from") / SECTION).alias("section")).agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+        asked = asked.groupBy("doc", F.floor(F.col("from") / SECTION).alias("section")).agg(F.collect_list(F.struct("from", "to", *(f"is_{e}" for e in ends))).alias("ranges"))
         cut = asked.hint("merge").join(some.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "text", "ranges")
-        cut = scratch.keep(f"{name}-cuts", cut.mapInArrow(_slices, "doc long, from int, to int, base int, codes binary"))
+        cut = scratch.keep(f"{name}-cuts", cut.mapInArrow(_slices, "doc long, from int, to int, base int, codes binary, is_a boolean, is_b boolean"))
         for end, value in (("a", "x"), ("b", "y")):
-            own = cut.select(F.col("doc").alias(end), F.col("from").alias(f"{end}_from"), F.col("to").alias(f"{end}_to"), F.col("base").alias(f"{value}_base"), F.col("codes").alias(value))
+            # of the cut ranges, only those of this end are shuffled
+            own = cut.where(f"is_{end}").select(F.col("doc").alias(end), F.col("from").alias(f"{end}_from"), F.col("to").alias(f"{end}_to"), F.col("base").alias(f"{value}_base"), F.col("codes").alias(value))
             ties = ties.hint("merge").join(own, [end, f"{end}_from", f"{end}_to"])
         found = scratch.keep(f"{name}-found", ties.mapInArrow(_compare(least, percent), FOUND))
         scratch.drop(f"{name}-asked", f"{name}-cuts")
@@ -379,12 +384,13 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, percent: int = 80) -> Da
     An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "passages")
-    found = repeated(docs, least, percent)
+    found = repeated(docs, least, percent, scratch=scratch)
     found = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
-    found = scratch.keep("spans", found)
+    found = scratch.only("spans", found)
     mixed = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).where("x <> y")
     found = found.join(mixed.select("id"), "id", "left_anti")
-    both = packed(docs, F.col("doc_id").cast("long").alias("id")).join(found, "id", "left")
+    # merged at every size: spans that are broadcast while they are few would only behave differently once they have grown
+    both = packed(docs, F.col("doc_id").cast("long").alias("id")).hint("merge").join(found, "id", "left")
     text = F.col("row").getField("text")
     both = both.withColumn("cut", _without(text, F.col("spans")))
     both = both.where(F.col("spans").isNull() | (F.regexp_instr("cut", F.lit(r"[^\x20\x09-\x0D]")) > 0))

@@ -148,7 +148,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     reliable = patterns(slots.where("pattern is not null").select("pattern", "value", (F.col("inside") | F.col("secret")).alias("seed")), scratch)
     learned = slots.where("not inside and not secret").join(reliable.select("pattern"), "pattern").unionByName(slots.where("not inside and secret"))
     columns = ["doc_id", "mark", "kind", "start", "end"]
-    return scratch.keep("spans", base.select(columns).unionByName(learned.select(columns)).distinct())
+    return scratch.only("spans", base.select(columns).unionByName(learned.select(columns)).distinct())
 
 
 def _listed(rows: Column) -> Column:
@@ -198,6 +198,7 @@ def redact(docs: DataFrame) -> DataFrame:
     parts = F.transform("cuts", lambda c: F.concat(F.substring(text, c["from"].cast("int") + 1, (c["start"] - c["from"]).cast("int")), names[c["kind"]]))
     tail = F.substring(text, F.element_at("cuts", -1)["end"].cast("int") + 1, F.length(text))
     rows = packed(docs, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
-    both = rows.join(cuts.withColumnsRenamed({"doc_id": "found_id"}), F.expr("id <=> found_id and own = mark"), "left")
+    # merged at every size: spans that are broadcast while they are few would only behave differently once they have grown
+    both = rows.join(cuts.withColumnsRenamed({"doc_id": "found_id"}).hint("merge"), F.expr("id <=> found_id and own = mark"), "left")
     new = F.when(F.col("cuts").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), tail))
     return unpacked(both, docs.columns, text=new)

@@ -1,9 +1,14 @@
 """Stages that keep rows: odd rows, odd column names, empty tables."""
 
+from pathlib import Path
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lineseek.llm import gam, minhash, passages, pii
+from lineseek.llm.common import BATCH_BYTES, Scratch
+from lineseek.plans.session import shared_dir
 from tests.llm.conftest import CLASHES
 
 NAMES = (*CLASHES, "row", "id", "own", "turn", "cuts", "__doc", "__kept", "found_id", "a.b", "doc_id.x", "b`c", "found", "mark", "text.x")
@@ -48,3 +53,34 @@ def test_a_pattern_does_not_end_at_the_slot_before(spark):
     got = {(r.doc_id, r.value): r.p for r in found.collect()}
     assert got[9, "zz99yy88"][0] == "api_key0: "
     assert got[0, "ab12cd0"][0] == "key0: "
+
+
+@pytest.mark.parametrize("stage, left", [(minhash.one_of_each, "kept"), (passages.remove_repeats, "spans"), (pii.redact, "spans")])
+def test_stages_leave_one_small_table_and_merge_texts_at_any_size(odd, stage, left):
+    root = Path(shared_dir(odd.sparkSession).removeprefix("file:")) / "lineseek"
+    before = set(root.glob("*"))
+    out = stage(odd)
+    assert [p.name.split("-")[1] for p in set(root.glob("*")) - before] == [left]
+    rows = sorted(map(str, out.collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert rows == sorted(map(str, stage(odd.repartition(3)).collect()))
+
+
+def test_workers_get_texts_by_bytes(spark):
+    Scratch(spark, "sizes")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    rows = spark.range(0, 500, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("text"))
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) <= BATCH_BYTES + 200_000
+
+
+def test_a_cut_range_goes_to_the_ends_that_ask_it():
+    text = " ".join(f"w{i}" for i in range(20))
+    ranges = [{"from": 0, "to": 5, "is_a": True, "is_b": False}, {"from": -3, "to": 9, "is_a": False, "is_b": True}]
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text]), pa.array([ranges])], ["doc", "text", "ranges"])
+    got = pa.Table.from_batches(passages._slices([batch])).to_pylist()
+    assert [(r["from"], r["to"], r["base"], len(r["codes"]) // 8, r["is_a"], r["is_b"]) for r in got] == [(0, 5, 0, 5, True, False), (-3, 9, 0, 9, False, True)]
