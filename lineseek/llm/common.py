@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lineseek.plans.session import scratch_path
 
 #: Bytes of text that a vectorised step takes at a time; one longer text is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Bytes of rows that Python workers get at a time, unless the session says otherwise: whole texts differ too much in size to be counted in rows.
 BATCH_BYTES = 8 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -27,11 +27,12 @@ class Scratch:
 
     A written table survives lost executors and is computed once however often
     it is read. ``drop`` gives a table's space back when nothing reads it any more.
+    ``by_bytes``: Python workers get the session's rows by ``BATCH_BYTES``.
     """
 
-    def __init__(self, spark: SparkSession, label: str) -> None:
+    def __init__(self, spark: SparkSession, label: str, by_bytes: bool = False) -> None:
         self.spark, self.label, self.paths = spark, label, {}
-        if spark.conf.get(BATCH_SETTING, None) is None:
+        if by_bytes and spark.conf.get(BATCH_SETTING, None) is None:
             spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
     def keep(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:

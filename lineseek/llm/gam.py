@@ -195,7 +195,7 @@ def _scores(model: Additive):
 def learn(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, key: str = "doc_id", text: str = "text",
           label: str = "quality") -> tuple[Additive, DataFrame]:
     """The model fitted on labelled rows for which ``training`` holds, and the written feature table of all documents."""
-    scratch = Scratch(docs.sparkSession, "gam")
+    scratch = Scratch(docs.sparkSession, "gam", by_bytes=True)
     table = scratch.keep("features", texts(docs, key, text).mapInArrow(_features, "doc_id long, x array<double>"))
     marks = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(training)
     rows = table.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).select("x", "y").toArrow()

@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     are not written. Every link is confirmed on full sets. ``scratch``: where the
     tables are written that the rows are read from.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "minmax")
+    scratch = scratch or Scratch(docs.sparkSession, "minmax", by_bytes=True)
     docs = texts(docs, key, text)
     digest = scratch.keep("digest", docs.mapInArrow(
         _digest(size), "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>"))
@@ -237,7 +237,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     word-free texts are near nothing and stay; very long texts are compared whole.
     All columns stay as they are, whatever their names. An empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "minmax")
+    scratch = Scratch(docs.sparkSession, "minmax", by_bytes=True)
     kept = near_duplicates(docs, size, percent, scratch=scratch).where("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
     kept = scratch.only("kept", kept)
     rows = packed(docs, F.col("doc_id").cast("long").alias("id"))

@@ -311,7 +311,7 @@ def repeated(docs: DataFrame, least: int = LEAST, percent: int = 80, key: str =
     0.9997 of cases for each stretch of ``least`` words they have. ``scratch``: where
     the tables are written that the rows are read from.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "passages")
+    scratch = scratch or Scratch(docs.sparkSession, "passages", by_bytes=True)
     docs = texts(docs, key, text).where("doc_id is not null")
     edge = least + RUN
 
@@ -383,7 +383,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, percent: int = 80) -> Da
     both count as one document and keep theirs. Very long texts are handled whole.
     An empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "passages")
+    scratch = Scratch(docs.sparkSession, "passages", by_bytes=True)
     found = repeated(docs, least, percent, scratch=scratch)
     found = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     found = scratch.only("spans", found)

@@ -1,12 +1,13 @@
 """Stages that keep rows: odd rows, odd column names, empty tables."""
 
+import tracemalloc
 from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lineseek.llm import gam, minhash, passages, pii
+from lineseek.llm import common, gam, minhash, passages, pii
 from lineseek.llm.common import BATCH_BYTES, Scratch
 from lineseek.plans.session import shared_dir
 from tests.llm.conftest import CLASHES
@@ -68,7 +69,7 @@ def test_stages_leave_one_small_table_and_merge_texts_at_any_size(odd, stage, le
 
 
 def test_workers_get_texts_by_bytes(spark):
-    Scratch(spark, "sizes")
+    Scratch(spark, "sizes", by_bytes=True)
 
     def sizes(batches):
         for batch in batches:
@@ -84,3 +85,16 @@ def test_a_cut_range_goes_to_the_ends_that_ask_it():
     batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text]), pa.array([ranges])], ["doc", "text", "ranges"])
     got = pa.Table.from_batches(passages._slices([batch])).to_pylist()
     assert [(r["from"], r["to"], r["base"], len(r["codes"]) // 8, r["is_a"], r["is_b"]) for r in got] == [(0, 5, 0, 5, True, False), (-3, 9, 0, 9, False, True)]
+
+
+@pytest.mark.parametrize("step", [gam._features, minhash._digest(5)], ids=["features", "digest"])
+def test_texts_are_taken_in_small_parts(monkeypatch, step):
+    texts = [" ".join(f"w{(i * 7 + k) % 5000}" for k in range(600)) for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(step([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    monkeypatch.setattr(common, "CHUNK_BYTES", 1 << 20)
+    assert got.equals(pa.Table.from_batches(step([batch])))
